@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+Releases are yearly batch artifacts; late data arrives as a newer release and is
+handled by ``tallymark.operators.revision``.
+"""
