@@ -22,7 +22,7 @@ def as_column(column: Column | str) -> Column:
 def is_blank(column: Column | str) -> Column:
     """Null, empty, or only spaces (other white space counts as text)."""
     value = as_column(column)
-    return value.isNull() | (F.length(F.trim(value)) == 0)
+    return value.isNull() | (F.trim(value) == "")
 
 
 def any_of(conditions) -> Column:

@@ -20,8 +20,8 @@ RELEASES = (
     ("R1", 2025, "2025-financial-year-provisional"),
     ("R2", 2026, "2026-financial-year-provisional"),
 )
-# Customer keys per numbering bucket: about a million rows to sort in one task.
-KEYS_PER_BUCKET = 65_536
+# Customer keys per numbering bucket: a small sort for one task.
+KEYS_PER_BUCKET = 4_096
 
 
 def read_tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
