@@ -19,10 +19,8 @@ from tallymark.functions.text import UNIT_SEPARATOR
 
 def row_digest(columns: Sequence[str] = RAW_COLUMNS) -> Column:
     """SHA-256 over a row's text, nulls marked (lower-case hex)."""
-    return F.sha2(
-        F.concat_ws(UNIT_SEPARATOR, *[F.coalesce(F.col(c), F.lit("<null>")) for c in columns]),
-        256,
-    )
+    marked = ", ".join(f"coalesce(`{name}`, '<null>')" for name in columns)
+    return F.expr(f"sha2(concat_ws('{UNIT_SEPARATOR}', {marked}), 256)")
 
 
 def digest_lines(lines: Column) -> Column:

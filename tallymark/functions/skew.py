@@ -9,9 +9,8 @@ no task sees more than a bounded share of the data whatever the key distribution
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The broadcast side never exceeds HOT_GROUPS rows. With N rows in total, every
@@ -38,43 +37,31 @@ def attach_group_facts(
     match each other, as they do in a window.
     """
     added = [name for name in facts.columns if name not in keys]
+    packed = f"struct({', '.join(added)})"
     hot = (
-        facts.where(F.col(size) >= hot_min_rows)
-        .orderBy(F.col(size).desc())
+        facts.where(f"{size} >= {hot_min_rows}")
+        .orderBy(F.desc(size))
         .limit(HOT_GROUPS)
-        .select(
-            *[F.col(key).alias(f"_hot_{key}") for key in keys],
-            F.struct(*added).alias("_hot"),
-        )
+        .selectExpr(*[f"{key} AS _hot_{key}" for key in keys], f"{packed} AS _hot")
     )
-    cold = facts.select(
-        *[F.col(key).alias(f"_cold_{key}") for key in keys],
-        F.struct(*added).alias("_cold"),
-        F.lit(0).alias("_cold_salt"),
+    cold = facts.selectExpr(
+        *[f"{key} AS _cold_{key}" for key in keys], f"{packed} AS _cold", "0 AS _cold_salt"
     )
+    equals = "<=>" if null_safe else "="
+    on_hot = " AND ".join(f"{key} {equals} _hot_{key}" for key in keys)
+    on_cold = " AND ".join(f"{key} {equals} _cold_{key}" for key in keys)
     # Partition id and row content only: a retried task salts its rows the same way.
-    salt = F.when(
-        F.col("_hot").isNotNull(),
-        F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(SALTS)).cast("int") + 1,
-    ).otherwise(0)
+    content = ", ".join(f"`{name}`" for name in rows.columns)
+    salt = f"""CASE WHEN _hot IS NULL THEN 0 ELSE
+        1 + CAST(pmod(xxhash64(spark_partition_id(), {content}), {SALTS}) AS INT) END"""
     joined = (
-        rows.join(F.broadcast(hot), _matching(keys, "_hot", null_safe), "left")
-        .withColumn("_salt", salt)
-        .join(
-            cold,
-            _matching(keys, "_cold", null_safe) & (F.col("_salt") == F.col("_cold_salt")),
-            "left",
-        )
-        .withColumn("_fact", F.coalesce("_hot", "_cold"))
+        rows.join(F.broadcast(hot), F.expr(on_hot), "left")
+        .withColumn("_salt", F.expr(salt))
+        .join(cold, F.expr(f"{on_cold} AND _salt = _cold_salt"), "left")
     )
     if required:
-        joined = joined.where(F.col("_fact").isNotNull())
-    return joined.select(*rows.columns, *[F.col("_fact")[name].alias(name) for name in added])
-
-
-def _matching(keys: Sequence[str], prefix: str, null_safe: bool) -> Column:
-    pairs = ((F.col(key), F.col(f"{prefix}_{key}")) for key in keys)
-    return reduce(
-        lambda a, b: a & b,
-        (left.eqNullSafe(right) if null_safe else left == right for left, right in pairs),
+        joined = joined.where("_hot IS NOT NULL OR _cold IS NOT NULL")
+    return joined.selectExpr(
+        *[f"`{name}`" for name in rows.columns],
+        *[f"coalesce(_hot.{name}, _cold.{name}) AS {name}" for name in added],
     )

@@ -1,9 +1,12 @@
-"""Column rules for raw observation text. All built-in expressions, no UDF."""
+"""Rules for raw observation text, as Spark SQL expressions.
+
+Every function takes SQL expressions (usually a column name) and returns one, so a
+rule set reaches Spark as a few parsed expressions rather than thousands of calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 from tallymark.contracts import (
     NUMERIC_PATTERN,
@@ -15,90 +18,66 @@ from tallymark.contracts import (
 UNIT_SEPARATOR = "\u001f"
 
 
-def as_column(column: Column | str) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def is_blank(column: Column | str) -> Column:
-    """Null, empty, or only spaces (other white space counts as text)."""
-    value = as_column(column)
-    return value.isNull() | (F.trim(value) == "")
+def quoted_list(texts: Iterable[str]) -> str:
+    return ", ".join(map(quoted, texts))
+
 
+def any_of(conditions: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"({condition})" for condition in conditions) + ")"
 
-def any_of(conditions) -> Column:
-    first, *rest = conditions
-    for condition in rest:
-        first = first | condition
-    return first
+
+def is_blank(value: str) -> str:
+    """Null, empty, or only spaces (other white space counts as text)."""
+    return f"({value} IS NULL OR trim({value}) = '')"
 
 
-def is_numeric_text(column: Column | str) -> Column:
+def is_numeric_text(value: str) -> str:
     """Plain or correctly grouped digits with an optional sign and fraction."""
-    return as_column(column).rlike(NUMERIC_PATTERN)
+    return f"({value} RLIKE r'{NUMERIC_PATTERN}')"
 
 
-def numeric_value(column: Column | str) -> Column:
+def numeric_value(value: str) -> str:
     """The number behind grouped text, or null when it does not fit the value type."""
-    return F.regexp_replace(as_column(column), ",", "").try_cast(VALUE_TYPE)
+    return f"try_cast(replace({value}, ',', '') AS {VALUE_TYPE})"
 
 
-def value_status(column: Column | str) -> Column:
+def value_status(value: str) -> str:
     """Classify a raw value; the first matching branch wins."""
-    value = as_column(column)
-    return (
-        F.when(is_blank(value), "UNAVAILABLE")
-        .when(value == "C", "CONFIDENTIAL")
-        .when(value == "S", "SUPPRESSED")
-        .when(is_numeric_text(value) & numeric_value(value).isNotNull(), "PUBLISHED")
-        .otherwise("INVALID")
-    )
+    return f"""CASE
+        WHEN {is_blank(value)} THEN 'UNAVAILABLE'
+        WHEN {value} = 'C' THEN 'CONFIDENTIAL'
+        WHEN {value} = 'S' THEN 'SUPPRESSED'
+        WHEN {is_numeric_text(value)} AND {numeric_value(value)} IS NOT NULL THEN 'PUBLISHED'
+        ELSE 'INVALID' END"""
 
 
-def is_year_text(column: Column | str) -> Column:
-    return as_column(column).rlike(YEAR_PATTERN)
+def is_year_text(value: str) -> str:
+    return f"({value} RLIKE r'{YEAR_PATTERN}')"
 
 
-def year_value(column: Column | str) -> Column:
+def year_value(value: str) -> str:
     """Four-digit text as an integer, null for anything else (never an ANSI error)."""
-    value = as_column(column)
-    return F.when(is_year_text(value), value.try_cast("int"))
+    return f"CASE WHEN {is_year_text(value)} THEN try_cast({value} AS INT) END"
 
 
-def is_known_definition(code: str, name: str, category: str, units: str) -> Column:
+def is_known_definition(code: str, name: str, category: str, units: str) -> str:
     """Whether the whole tuple is an approved definition (three-valued on nulls).
 
     Complete tuples take one hash-set probe. No field of a definition holds the
     separator, so equal joined text means equal fields.
     """
-    fields = [F.col(code), F.col(name), F.col(category), F.col(units)]
-    complete = ~any_of(field.isNull() for field in fields)
-    probe = F.concat_ws(UNIT_SEPARATOR, *fields).isin(
-        [UNIT_SEPARATOR.join(definition) for definition in VARIABLE_DEFINITIONS]
-    )
-    definitions = F.array(
-        *[F.array(*map(F.lit, definition)) for definition in VARIABLE_DEFINITIONS]
-    )
-    compatible = F.exists(
-        definitions,
-        lambda d: (fields[0] == d[0])
-        & (fields[1] == d[1])
-        & (fields[2] == d[2])
-        & (fields[3] == d[3]),
-    )
-    return F.when(complete, probe).otherwise(compatible)
-
-
-def string_array(column: Column | str) -> Column:
-    """JSON text of a string array as ``array<string>``.
-
-    Null text gives an empty array. Anything but an array whose items are all JSON
-    strings gives null; see :func:`is_string_array`.
-    """
-    value = as_column(column)
-    items = F.from_json(value, "array<string>")
-    return F.when(value.isNull(), F.array().cast("array<string>")).when(
-        is_string_array(value), items
-    )
+    fields = (code, name, category, units)
+    joined = quoted_list(UNIT_SEPARATOR.join(d) for d in VARIABLE_DEFINITIONS)
+    listed = ", ".join(f"array({quoted_list(d)})" for d in VARIABLE_DEFINITIONS)
+    same = " AND ".join(f"d[{i}] = {field}" for i, field in enumerate(fields))
+    return f"""CASE WHEN {any_of(f"{field} IS NULL" for field in fields)}
+        THEN exists(array({listed}), d -> {same})
+        ELSE concat_ws('{UNIT_SEPARATOR}', {", ".join(fields)}) IN ({joined}) END"""
 
 
 # A JSON array of strings and nothing else.
@@ -108,11 +87,21 @@ _JSON_STRING_ARRAY = (
 )
 
 
-def is_string_array(column: Column | str) -> Column:
+def is_string_array(value: str) -> str:
     """True for null or well-formed text; false marks a value to reject.
 
     ``from_json`` alone turns numbers into strings and keeps null items, so the
     text form is checked first.
     """
-    value = as_column(column)
-    return value.isNull() | value.rlike(_JSON_STRING_ARRAY)
+    return f"({value} IS NULL OR {value} RLIKE r'{_JSON_STRING_ARRAY}')"
+
+
+def string_array(value: str) -> str:
+    """JSON text of a string array as ``array<string>``.
+
+    Null text gives an empty array. Anything but an array whose items are all JSON
+    strings gives null; see :func:`is_string_array`.
+    """
+    return f"""CASE
+        WHEN {value} IS NULL THEN CAST(array() AS array<string>)
+        WHEN {is_string_array(value)} THEN from_json({value}, 'array<string>') END"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.contracts import (
@@ -17,6 +17,7 @@ from tallymark.contracts import (
     Metric,
 )
 from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts
+from tallymark.functions.text import quoted, quoted_list
 from tallymark.operators.bronze import iso_instant
 from tallymark.operators.schema_check import EXACT, check_schema
 
@@ -30,13 +31,15 @@ _LINEAGE = {
     "ingestion_ids": "ingestion_id",
     "sha256s": "source_sha256",
 }
-_VARIABLES = [metric.variable_code for metric in METRICS]
+
+COMPLETE_IDENTITY = "(" + " AND ".join(f"{name} IS NOT NULL" for name in IDENTITY) + ")"
+NO_STRINGS = "CAST(array() AS array<string>)"
 
 
 def build_gold(
     silver: DataFrame,
     *,
-    fingerprint: str | Column,
+    fingerprint: str,
     processed_at: datetime,
     inline_lineage: int = INLINE_LINEAGE,
     hot_min_rows: int = HOT_MIN_ROWS,
@@ -50,40 +53,24 @@ def build_gold(
         .orderBy("year")
         .rangeBetween(-1, -1)
     )
-    inputs = [metric.direct_id for metric in METRICS]
-    paired = direct.withColumn(
-        "_prior",
-        F.when(
-            _complete_identity(),
-            F.first(F.struct(*inputs, "silver_input_fingerprints")).over(previous_year),
-        ),
-    )
-    rows = F.array(
-        *[_direct_row(metric) for metric in METRICS], *[_change_row(metric) for metric in METRICS]
-    )
-    version = fingerprint if isinstance(fingerprint, Column) else F.lit(fingerprint)
-    metric_rows = paired.select(
-        *IDENTITY, "industry_name_nzsioc", "industry_code_anzsic06", F.inline(rows)
+    inputs = ", ".join([*[m.direct_id for m in METRICS], "silver_input_fingerprints"])
+    paired = direct.withColumn("_before", F.first(F.expr(f"struct({inputs})")).over(previous_year))
+    rows = ", ".join([*map(_direct_row, METRICS), *map(_change_row, METRICS)])
+    metric_rows = paired.withColumn(
+        "_prior", F.expr(f"CASE WHEN {COMPLETE_IDENTITY} THEN _before END")
+    ).selectExpr(
+        *IDENTITY, "industry_name_nzsioc", "industry_code_anzsic06", f"inline(array({rows}))"
     )
+    version = quoted(fingerprint)
     gold = {
-        "metric_record_id": F.sha2(
-            F.concat_ws(
-                "|",
-                version,
-                F.coalesce(F.col("year").cast("string"), F.lit("<null>")),
-                F.col("industry_aggregation_nzsioc"),
-                F.col("industry_code_nzsioc"),
-                F.col("metric_id"),
-            ),
-            256,
-        ),
-        "gold_schema_version": F.lit(GOLD_SCHEMA_VERSION),
+        "metric_record_id": f"""sha2(concat_ws('|', {version},
+            coalesce(CAST(year AS STRING), '<null>'), industry_aggregation_nzsioc,
+            industry_code_nzsioc, metric_id), 256)""",
+        "gold_schema_version": quoted(GOLD_SCHEMA_VERSION),
         "gold_input_fingerprint": version,
-        "gold_processing_timestamp": F.lit(iso_instant(processed_at)).cast("timestamp"),
+        "gold_processing_timestamp": f"TIMESTAMP {quoted(iso_instant(processed_at))}",
     }
-    return metric_rows.select(
-        *[gold.get(name, F.col(name)).alias(name) for name in GOLD_TYPES]
-    )
+    return metric_rows.selectExpr(*[f"{gold.get(name, name)} AS {name}" for name in GOLD_TYPES])
 
 
 def direct_inputs(
@@ -99,48 +86,40 @@ def direct_inputs(
     and keeps a single record per metric; repeated observations are looked up apart.
     """
     aggregates = [
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("industry_name_nzsioc").alias("industry_name_nzsioc"),
-        F.max("industry_name_nzsioc").alias("_last_name"),
-        F.count("industry_name_nzsioc").alias("_named"),
-        F.min("industry_code_anzsic06").alias("industry_code_anzsic06"),
-        F.max("industry_code_anzsic06").alias("_last_anzsic"),
-        F.count("industry_code_anzsic06").alias("_mapped"),
-        F.sort_array(F.collect_set("silver_input_fingerprint")).alias(
-            "silver_input_fingerprints"
-        ),
+        "count(*) AS _rows",
+        "min(industry_name_nzsioc) AS industry_name_nzsioc",
+        "max(industry_name_nzsioc) AS _last_name",
+        "count(industry_name_nzsioc) AS _named",
+        "min(industry_code_anzsic06) AS industry_code_anzsic06",
+        "max(industry_code_anzsic06) AS _last_anzsic",
+        "count(industry_code_anzsic06) AS _mapped",
+        "sort_array(collect_set(silver_input_fingerprint)) AS silver_input_fingerprints",
     ]
-    record = F.struct(
-        "value_status", "is_valid", "value_numeric", *_LINEAGE.values()
-    )
+    record = f"struct(value_status, is_valid, value_numeric, {', '.join(_LINEAGE.values())})"
     for metric in METRICS:
-        selected = F.col("variable_code") == metric.variable_code
+        selected = f"variable_code = {quoted(metric.variable_code)}"
         described = (
-            (F.col("variable_name") == metric.name)
-            & (F.col("variable_category") == metric.category)
-            & (F.col("units") == metric.source_units)
+            f"variable_name = {quoted(metric.name)} "
+            f"AND variable_category = {quoted(metric.category)} "
+            f"AND units = {quoted(metric.source_units)}"
         )
         aggregates += [
-            F.count_if(selected).alias(f"_n_{metric.direct_id}"),
-            F.count_if(selected & described).alias(f"_described_{metric.direct_id}"),
-            F.min(F.when(selected, record)).alias(f"_record_{metric.direct_id}"),
+            f"count_if({selected}) AS _n_{metric.direct_id}",
+            f"count_if({selected} AND {described}) AS _described_{metric.direct_id}",
+            f"min(CASE WHEN {selected} THEN {record} END) AS _record_{metric.direct_id}",
         ]
-    grouped = silver.groupBy(*IDENTITY).agg(*aggregates)
-    repeated = repeated_lineage(silver, inline_lineage, hot_min_rows)
-    joined = grouped.join(
-        repeated.select(
-            *[F.col(name).alias(f"_r_{name}") for name in IDENTITY],
-            *[f"_repeated_{metric.direct_id}" for metric in METRICS],
-        ),
-        [F.col(name) == F.col(f"_r_{name}") for name in IDENTITY],
-        "left",
+    grouped = silver.groupBy(*IDENTITY).agg(*map(F.expr, aggregates))
+    repeated = repeated_lineage(silver, inline_lineage, hot_min_rows).selectExpr(
+        *[f"{name} AS _r_{name}" for name in IDENTITY],
+        *[f"_repeated_{metric.direct_id}" for metric in METRICS],
     )
-    return joined.select(
+    same = " AND ".join(f"{name} = _r_{name}" for name in IDENTITY)
+    return grouped.join(repeated, F.expr(same), "left").selectExpr(
         *IDENTITY,
         "industry_name_nzsioc",
         "industry_code_anzsic06",
         "silver_input_fingerprints",
-        *[_direct_struct(metric).alias(metric.direct_id) for metric in METRICS],
+        *[f"{_direct_struct(metric)} AS {metric.direct_id}" for metric in METRICS],
     )
 
 
@@ -153,28 +132,21 @@ def repeated_lineage(
     collected; larger ones are left to :func:`metric_lineage`.
     """
     keys = (*IDENTITY, "variable_code")
-    rows = silver.where(
-        F.col("variable_code").isin(_VARIABLES) & _complete_identity()
-    ).select(*keys, *_LINEAGE.values())
+    rows = _input_rows(silver).select(*keys, *_LINEAGE.values())
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     listed = attach_group_facts(
         rows, sizes, keys, "_size", required=True, hot_min_rows=hot_min_rows
-    ).where(F.col("_size") <= inline_lineage)
-    return listed.groupBy(*IDENTITY).agg(
-        *[
-            F.struct(
-                *[
-                    F.sort_array(
-                        F.collect_set(
-                            F.when(F.col("variable_code") == metric.variable_code, F.col(source))
-                        )
-                    ).alias(name)
-                    for name, source in _LINEAGE.items()
-                ]
-            ).alias(f"_repeated_{metric.direct_id}")
-            for metric in METRICS
-        ]
-    )
+    ).where(f"_size <= {inline_lineage}")
+
+    def sets(metric: Metric) -> str:
+        fields = ", ".join(
+            f"""{quoted(name)}, sort_array(collect_set(
+                CASE WHEN variable_code = {quoted(metric.variable_code)} THEN {source} END))"""
+            for name, source in _LINEAGE.items()
+        )
+        return f"named_struct({fields}) AS _repeated_{metric.direct_id}"
+
+    return listed.groupBy(*IDENTITY).agg(*[F.expr(sets(metric)) for metric in METRICS])
 
 
 def metric_lineage(silver: DataFrame) -> DataFrame:
@@ -183,134 +155,118 @@ def metric_lineage(silver: DataFrame) -> DataFrame:
     A change metric depends on its direct metric's records of the same year and of
     the year before.
     """
-    named = F.create_map(
-        *[F.lit(text) for metric in METRICS for text in (metric.variable_code, metric.direct_id)]
+    names = " ".join(
+        f"WHEN {quoted(metric.variable_code)} THEN {quoted(metric.direct_id)}"
+        for metric in METRICS
     )
-    return silver.where(
-        F.col("variable_code").isin(_VARIABLES) & _complete_identity()
-    ).select(
-        *IDENTITY,
-        named[F.col("variable_code")].alias("metric_id"),
-        "record_id",
-        "ingestion_id",
-        "source_sha256",
+    return _input_rows(silver).selectExpr(
+        *IDENTITY, f"CASE variable_code {names} END AS metric_id", *_LINEAGE.values()
     )
 
 
-def _complete_identity() -> Column:
-    year, level, code = (F.col(name).isNotNull() for name in IDENTITY)
-    return year & level & code
-
-
-def _strings() -> Column:
-    return F.array().cast("array<string>")
+def _input_rows(silver: DataFrame) -> DataFrame:
+    codes = quoted_list(metric.variable_code for metric in METRICS)
+    return silver.where(f"variable_code IN ({codes}) AND {COMPLETE_IDENTITY}")
 
 
-def _direct_struct(metric: Metric) -> Column:
-    record = F.col(f"_record_{metric.direct_id}")
-    repeated = F.col(f"_repeated_{metric.direct_id}")
+def _direct_struct(metric: Metric) -> str:
+    """Status, value and lineage of one direct metric, from the grouped columns."""
+    record, repeated = f"_record_{metric.direct_id}", f"_repeated_{metric.direct_id}"
     # An identity with a null part is never matched to a source record.
-    n = F.when(_complete_identity(), F.col(f"_n_{metric.direct_id}")).otherwise(0)
-    one_definition = (
-        F.col("industry_name_nzsioc").eqNullSafe(F.col("_last_name"))
-        & F.col("industry_code_anzsic06").eqNullSafe(F.col("_last_anzsic"))
-        & F.col("_named").isin(F.lit(0), F.col("_rows"))
-        & F.col("_mapped").isin(F.lit(0), F.col("_rows"))
-    )
-    state = record["value_status"]
-    usable = (state == "PUBLISHED") & record["is_valid"] & record["value_numeric"].isNotNull()
-    status = (
-        F.when(~one_definition, "INVALID_VALUE")
-        .when(n == 0, "UNAVAILABLE")
-        .when(n > 1, "INVALID_DUPLICATE")
-        .when(F.col(f"_described_{metric.direct_id}") != 1, "INVALID_VALUE")
-        .when(state.isin("CONFIDENTIAL", "SUPPRESSED", "UNAVAILABLE"), state)
-        .when(usable, "PUBLISHED")
-        .otherwise("INVALID_VALUE")
-    )
-    lineage = [
-        F.when(n == 1, F.array_compact(F.array(record[source])))
-        .when(n > 1, F.coalesce(repeated[name], _strings()))
-        .otherwise(_strings())
-        .alias(name)
+    n = f"(CASE WHEN {COMPLETE_IDENTITY} THEN _n_{metric.direct_id} ELSE 0 END)"
+    one_definition = """(industry_name_nzsioc <=> _last_name
+        AND industry_code_anzsic06 <=> _last_anzsic
+        AND _named IN (0, _rows) AND _mapped IN (0, _rows))"""
+    status = f"""CASE
+        WHEN NOT {one_definition} THEN 'INVALID_VALUE'
+        WHEN {n} = 0 THEN 'UNAVAILABLE'
+        WHEN {n} > 1 THEN 'INVALID_DUPLICATE'
+        WHEN _described_{metric.direct_id} <> 1 THEN 'INVALID_VALUE'
+        WHEN {record}.value_status IN ('CONFIDENTIAL', 'SUPPRESSED', 'UNAVAILABLE')
+            THEN {record}.value_status
+        WHEN {record}.value_status = 'PUBLISHED' AND {record}.is_valid
+            AND {record}.value_numeric IS NOT NULL THEN 'PUBLISHED'
+        ELSE 'INVALID_VALUE' END"""
+    lineage = ", ".join(
+        f"""{quoted(name)}, CASE
+            WHEN {n} = 1 THEN array_compact(array({record}.{source}))
+            WHEN {n} > 1 THEN coalesce({repeated}.{name}, {NO_STRINGS})
+            ELSE {NO_STRINGS} END"""
         for name, source in _LINEAGE.items()
-    ]
-    return F.struct(
-        status.alias("status"),
-        F.when(status == "PUBLISHED", record["value_numeric"]).alias("value"),
-        *lineage,
     )
-
-
-def _direct_row(metric: Metric) -> Column:
-    current = F.col(metric.direct_id)
-    return F.struct(
-        *_labels(metric, metric.direct_id, metric.name, "DIRECT", metric.unit),
-        current["value"].alias("metric_value"),
-        current["status"].alias("metric_status"),
-        current["status"].alias("current_input_status"),
-        current["value"].alias("current_input_value"),
-        current["record_ids"].alias("current_input_record_ids"),
-        F.lit(None).cast("string").alias("prior_input_status"),
-        F.lit(None).cast(VALUE_TYPE).alias("prior_input_value"),
-        _strings().alias("prior_input_record_ids"),
-        current["record_ids"].alias("source_silver_record_ids"),
-        current["ingestion_ids"].alias("source_ingestion_ids"),
-        current["sha256s"].alias("source_sha256s"),
-        F.col("silver_input_fingerprints"),
+    return f"""named_struct('status', {status},
+        'value', CASE WHEN {status} = 'PUBLISHED' THEN {record}.value_numeric END, {lineage})"""
+
+
+def _direct_row(metric: Metric) -> str:
+    m = metric.direct_id
+    return _row(
+        {
+            **_labels(metric, metric.direct_id, metric.name, "DIRECT", metric.unit),
+            "metric_value": f"{m}.value",
+            "metric_status": f"{m}.status",
+            "current_input_status": f"{m}.status",
+            "current_input_value": f"{m}.value",
+            "current_input_record_ids": f"{m}.record_ids",
+            "prior_input_status": "CAST(NULL AS STRING)",
+            "prior_input_value": f"CAST(NULL AS {VALUE_TYPE})",
+            "prior_input_record_ids": NO_STRINGS,
+            "source_silver_record_ids": f"{m}.record_ids",
+            "source_ingestion_ids": f"{m}.ingestion_ids",
+            "source_sha256s": f"{m}.sha256s",
+            "silver_input_fingerprints": "silver_input_fingerprints",
+        }
     )
 
 
-def _change_row(metric: Metric) -> Column:
-    current, before = F.col(metric.direct_id), F.col("_prior")[metric.direct_id]
+def _change_row(metric: Metric) -> str:
+    m, before = metric.direct_id, f"_prior.{metric.direct_id}"
     status, value = change_of(
-        current["status"], current["value"], before["status"], before["value"],
+        f"{m}.status", f"{m}.value", f"{before}.status", f"{before}.value",
         percent=metric.change_is_percent,
     )
 
-    def merged(name: str) -> Column:
-        return F.array_union(current[name], F.coalesce(before[name], _strings()))
-
-    return F.struct(
-        *_labels(metric, metric.change_id, metric.change_name, "DERIVED", metric.change_unit),
-        value.alias("metric_value"),
-        status.alias("metric_status"),
-        current["status"].alias("current_input_status"),
-        current["value"].alias("current_input_value"),
-        current["record_ids"].alias("current_input_record_ids"),
-        F.coalesce(before["status"], F.lit("UNAVAILABLE")).alias("prior_input_status"),
-        before["value"].alias("prior_input_value"),
-        F.coalesce(before["record_ids"], _strings()).alias("prior_input_record_ids"),
-        merged("record_ids").alias("source_silver_record_ids"),
-        merged("ingestion_ids").alias("source_ingestion_ids"),
-        merged("sha256s").alias("source_sha256s"),
-        F.array_union(
-            F.col("silver_input_fingerprints"),
-            F.coalesce(F.col("_prior")["silver_input_fingerprints"], _strings()),
-        ).alias("silver_input_fingerprints"),
+    def merged(name: str) -> str:
+        return f"array_union({m}.{name}, coalesce({before}.{name}, {NO_STRINGS}))"
+
+    return _row(
+        {
+            **_labels(metric, metric.change_id, metric.change_name, "DERIVED", metric.change_unit),
+            "metric_value": value,
+            "metric_status": status,
+            "current_input_status": f"{m}.status",
+            "current_input_value": f"{m}.value",
+            "current_input_record_ids": f"{m}.record_ids",
+            "prior_input_status": f"coalesce({before}.status, 'UNAVAILABLE')",
+            "prior_input_value": f"{before}.value",
+            "prior_input_record_ids": f"coalesce({before}.record_ids, {NO_STRINGS})",
+            "source_silver_record_ids": merged("record_ids"),
+            "source_ingestion_ids": merged("ingestion_ids"),
+            "source_sha256s": merged("sha256s"),
+            "silver_input_fingerprints": f"""array_union(silver_input_fingerprints,
+                coalesce(_prior.silver_input_fingerprints, {NO_STRINGS}))""",
+        }
     )
 
 
 def change_of(
-    status: Column, value: Column, prior_status: Column, prior_value: Column, *, percent: bool
-) -> tuple[Column, Column]:
-    """Status and value of a yearly change.
+    status: str, value: str, prior_status: str, prior_value: str, *, percent: bool
+) -> tuple[str, str]:
+    """Status and value of a yearly change, as SQL expressions.
 
     Percentages are computed in double: decimal division keeps six decimals only.
     """
-    both = F.coalesce((status == "PUBLISHED") & (prior_status == "PUBLISHED"), F.lit(False))
-    outcome = F.when(~both, "UNAVAILABLE_INPUT")
+    both = f"coalesce({status} = 'PUBLISHED' AND {prior_status} = 'PUBLISHED', false)"
+    meaningful = f"WHEN {prior_value} <= 0 THEN 'NOT_MEANINGFUL_BASE'" if percent else ""
+    outcome = f"CASE WHEN NOT {both} THEN 'UNAVAILABLE_INPUT' {meaningful} ELSE 'PUBLISHED' END"
+    change = f"{value} - {prior_value}"
     if percent:
-        outcome = outcome.when(prior_value <= 0, "NOT_MEANINGFUL_BASE")
-        base = prior_value.cast("double")
-        change = (value.cast("double") - base) * 100 / base
-    else:
-        change = value - prior_value
-    outcome = outcome.otherwise("PUBLISHED")
-    return outcome, F.when(outcome == "PUBLISHED", change.cast(VALUE_TYPE))
+        base = f"CAST({prior_value} AS DOUBLE)"
+        change = f"(CAST({value} AS DOUBLE) - {base}) * 100 / {base}"
+    return outcome, f"CASE WHEN {outcome} = 'PUBLISHED' THEN CAST({change} AS {VALUE_TYPE}) END"
 
 
-def _labels(metric: Metric, metric_id: str, name: str, kind: str, unit: str) -> list[Column]:
+def _labels(metric: Metric, metric_id: str, name: str, kind: str, unit: str) -> dict[str, str]:
     texts = {
         "metric_id": metric_id,
         "metric_name": name,
@@ -321,7 +277,12 @@ def _labels(metric: Metric, metric_id: str, name: str, kind: str, unit: str) ->
         "source_variable_category": metric.category,
         "source_variable_units": metric.source_units,
     }
-    return [F.lit(text).alias(column) for column, text in texts.items()]
+    return {column: quoted(text) for column, text in texts.items()}
+
+
+def _row(columns: dict[str, str]) -> str:
+    fields = ", ".join(f"{quoted(name)}, {value}" for name, value in columns.items())
+    return f"named_struct({fields})"
 
 
 def metric_status_counts(gold: DataFrame) -> DataFrame:

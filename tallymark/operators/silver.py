@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.contracts import (
@@ -22,6 +22,8 @@ from tallymark.functions.text import (
     is_known_definition,
     is_year_text,
     numeric_value,
+    quoted,
+    quoted_list,
     value_status,
     year_value,
 )
@@ -43,7 +45,7 @@ LINEAGE_TYPED = ("dataset_year", "ingestion_timestamp", "row_count", "source_row
 def to_silver(
     bronze: DataFrame,
     *,
-    fingerprint: str | Column,
+    fingerprint: str,
     processed_at: datetime,
     many_artifacts: bool = False,
     hot_min_rows: int = HOT_MIN_ROWS,
@@ -66,7 +68,7 @@ def to_silver(
 def build_silver(
     history: DataFrame,
     *,
-    fingerprint: str | Column,
+    fingerprint: str,
     processed_at: datetime,
     many_artifacts: bool = False,
     hot_min_rows: int = HOT_MIN_ROWS,
@@ -84,7 +86,7 @@ def build_silver(
 def _checked(
     rows: DataFrame,
     history: DataFrame,
-    fingerprint: str | Column,
+    fingerprint: str,
     processed_at: datetime,
     many_artifacts: bool,
     hot_min_rows: int,
@@ -114,65 +116,57 @@ def _checked(
             F.broadcast(counts), F.col("ingestion_id").eqNullSafe(F.col("_artifact")), "left"
         )
     # Both arrays come from one list of structs, so they stay aligned.
-    failures = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    condition,
-                    F.struct(F.lit(rule).alias("rule"), F.lit(ROW_RULES[rule]).alias("reason")),
-                )
-                for rule, condition in row_rules().items()
-            ]
-        )
+    failures = ", ".join(
+        f"CASE WHEN {condition} THEN "
+        f"named_struct('rule', {quoted(rule)}, 'reason', {quoted(ROW_RULES[rule])}) END"
+        for rule, condition in row_rules().items()
+    )
+    typed = rows.withColumn("_status", F.expr(value_status("Value"))).withColumn(
+        "_failures", F.expr(f"array_compact(array({failures}))")
     )
-    typed = rows.withColumn("_status", value_status("Value")).withColumn("_failures", failures)
-    valid = F.size("_failures") == 0
-    stamp = F.lit(iso_instant(processed_at)).cast("timestamp")
-    version = fingerprint if isinstance(fingerprint, Column) else F.lit(fingerprint)
-    silver = {
-        "record_id": F.concat_ws(":", "ingestion_id", F.col("source_row_number").cast("string")),
+    sources = {
+        "record_id": "concat_ws(':', ingestion_id, CAST(source_row_number AS STRING))",
         "year": year_value("Year"),
-        "year_raw": F.col("Year"),
-        "industry_aggregation_nzsioc": F.col("Industry_aggregation_NZSIOC"),
-        "industry_code_nzsioc": F.col("Industry_code_NZSIOC"),
-        "industry_name_nzsioc": F.col("Industry_name_NZSIOC"),
-        "industry_code_anzsic06": F.col("Industry_code_ANZSIC06"),
-        "variable_code": F.col("Variable_code"),
-        "variable_name": F.col("Variable_name"),
-        "variable_category": F.col("Variable_category"),
-        "units": F.col("Units"),
-        "value_raw": F.col("Value"),
-        "value_numeric": F.when(F.col("_status") == "PUBLISHED", numeric_value("Value")),
-        "value_status": F.col("_status"),
-        "record_status": F.when(valid, "VALID").otherwise("INVALID"),
-        "is_valid": valid,
-        "validation_rule_ids": F.col("_failures.rule"),
-        "validation_failure_reasons": F.col("_failures.reason"),
-        "source_row_count": F.col("row_count"),
-        "source_schema_version": F.col("schema_version"),
-        "silver_schema_version": F.lit(SILVER_SCHEMA_VERSION),
-        "silver_input_fingerprint": version,
-        "silver_processing_timestamp": stamp,
+        "year_raw": "Year",
+        "industry_aggregation_nzsioc": "Industry_aggregation_NZSIOC",
+        "industry_code_nzsioc": "Industry_code_NZSIOC",
+        "industry_name_nzsioc": "Industry_name_NZSIOC",
+        "industry_code_anzsic06": "Industry_code_ANZSIC06",
+        "variable_code": "Variable_code",
+        "variable_name": "Variable_name",
+        "variable_category": "Variable_category",
+        "units": "Units",
+        "value_raw": "Value",
+        "value_numeric": f"CASE WHEN _status = 'PUBLISHED' THEN {numeric_value('Value')} END",
+        "value_status": "_status",
+        "record_status": "CASE WHEN size(_failures) = 0 THEN 'VALID' ELSE 'INVALID' END",
+        "is_valid": "size(_failures) = 0",
+        "validation_rule_ids": "_failures.rule",
+        "validation_failure_reasons": "_failures.reason",
+        "source_row_count": "row_count",
+        "source_schema_version": "schema_version",
+        "silver_schema_version": quoted(SILVER_SCHEMA_VERSION),
+        "silver_input_fingerprint": quoted(fingerprint),
+        "silver_processing_timestamp": f"TIMESTAMP {quoted(iso_instant(processed_at))}",
     }
-    return typed.select(
-        *[silver.get(name, F.col(name)).alias(name) for name in SILVER_TYPES]
-    )
+    return typed.selectExpr(*[f"{sources.get(name, name)} AS {name}" for name in SILVER_TYPES])
 
 
-def row_rules() -> dict[str, Column]:
+def row_rules() -> dict[str, str]:
     """Rule id -> condition under which a row fails it.
 
     Needs the raw columns plus ``_status`` and the attached counts
     ``observation_rows``, ``number_rows`` and ``artifact_rows`` (null = 1).
     """
-    year, level = F.col("Year"), F.col("Industry_aggregation_NZSIOC")
     definition = ("Variable_code", "Variable_name", "Variable_category", "Units")
-    number, stated = F.col("source_row_number"), F.col("row_count")
+    level = "Industry_aggregation_NZSIOC"
     conditions = {
-        "YEAR_REQUIRED": is_blank(year),
-        "YEAR_INVALID_FORMAT": ~is_blank(year) & ~is_year_text(year),
+        "YEAR_REQUIRED": is_blank("Year"),
+        "YEAR_INVALID_FORMAT": f"NOT {is_blank('Year')} AND NOT {is_year_text('Year')}",
         "INDUSTRY_AGGREGATION_REQUIRED": is_blank(level),
-        "INDUSTRY_AGGREGATION_UNEXPECTED": ~is_blank(level) & ~level.isin(*LEVELS),
+        "INDUSTRY_AGGREGATION_UNEXPECTED": (
+            f"NOT {is_blank(level)} AND {level} NOT IN ({quoted_list(LEVELS)})"
+        ),
         "INDUSTRY_CODE_REQUIRED": is_blank("Industry_code_NZSIOC"),
         "INDUSTRY_NAME_REQUIRED": is_blank("Industry_name_NZSIOC"),
         "ANZSIC_MAPPING_REQUIRED": is_blank("Industry_code_ANZSIC06"),
@@ -180,20 +174,22 @@ def row_rules() -> dict[str, Column]:
         "VARIABLE_NAME_REQUIRED": is_blank("Variable_name"),
         "VARIABLE_CATEGORY_REQUIRED": is_blank("Variable_category"),
         "UNITS_REQUIRED": is_blank("Units"),
-        "VARIABLE_DEFINITION_UNEXPECTED": ~any_of(map(is_blank, definition))
-        & ~is_known_definition(*definition),
-        "VALUE_UNAVAILABLE": F.col("_status") == "UNAVAILABLE",
-        "VALUE_INVALID": F.col("_status") == "INVALID",
-        "OBSERVATION_DUPLICATE": F.col("observation_rows") > 1,
+        "VARIABLE_DEFINITION_UNEXPECTED": (
+            f"NOT {any_of(map(is_blank, definition))} AND NOT {is_known_definition(*definition)}"
+        ),
+        "VALUE_UNAVAILABLE": "_status = 'UNAVAILABLE'",
+        "VALUE_INVALID": "_status = 'INVALID'",
+        "OBSERVATION_DUPLICATE": "observation_rows > 1",
         "LINEAGE_REQUIRED": any_of(
-            [*map(is_blank, LINEAGE_TEXT), *[F.col(c).isNull() for c in LINEAGE_TYPED]]
+            [*map(is_blank, LINEAGE_TEXT), *[f"{name} IS NULL" for name in LINEAGE_TYPED]]
+        ),
+        "LINEAGE_ID_MISMATCH": (
+            f"NOT {is_blank('ingestion_id')} AND NOT {is_blank('source_sha256')} "
+            "AND ingestion_id <> source_sha256"
         ),
-        "LINEAGE_ID_MISMATCH": ~is_blank("ingestion_id")
-        & ~is_blank("source_sha256")
-        & (F.col("ingestion_id") != F.col("source_sha256")),
-        "SOURCE_ROW_NUMBER_INVALID": ~number.between(1, stated),
-        "SOURCE_ROW_NUMBER_DUPLICATE": F.col("number_rows") > 1,
-        "SOURCE_ROW_COUNT_MISMATCH": F.col("artifact_rows") != stated,
+        "SOURCE_ROW_NUMBER_INVALID": "source_row_number NOT BETWEEN 1 AND row_count",
+        "SOURCE_ROW_NUMBER_DUPLICATE": "number_rows > 1",
+        "SOURCE_ROW_COUNT_MISMATCH": "artifact_rows <> row_count",
     }
     if list(conditions) != list(ROW_RULES):
         raise ValueError("Row rules and their texts are out of step.")

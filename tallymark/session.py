@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        # Plans are built from many expressions; skip a stack trace for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
