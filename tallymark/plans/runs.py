@@ -186,7 +186,7 @@ def assess_quality(warehouse: Warehouse, *, clock: Clock = utc_now) -> dict:
     A report has one row per check; the summary repeats on each of its rows.
     """
     silver = warehouse.silver.require("The Silver table")
-    checks = stage(quality_checks(silver), "quality-checks")
+    checks = stage(quality_checks(silver, warehouse.bronze.read()), "quality-checks")
     summary = quality_summary(silver, checks).first().asDict()
     stamp = iso_instant(clock())
     columns = [F.lit(value).alias(name) for name, value in summary.items()]

@@ -45,6 +45,10 @@ class PathStore:
         writer = frame.write.format(self.fmt).mode(mode).options(**options)
         (writer.partitionBy(partition) if partition else writer).save(self.path)
 
+    def replace_partition(self, frame: DataFrame, column: str) -> None:
+        """Write whole partitions; a retried write replaces what it wrote before."""
+        self.write(frame, "overwrite", partitionBy=column, partitionOverwriteMode="dynamic")
+
 
 class CatalogStore:
     """A table known to the session catalog by name."""
@@ -63,6 +67,9 @@ class CatalogStore:
         writer = frame.write.format(self.fmt).mode(mode).options(**options)
         (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name)
 
+    def replace_partition(self, frame: DataFrame, column: str) -> None:
+        self.write(frame, "append", partitionBy=column)
+
 
 def require_rows(store, what: str, schema: str | None = None) -> DataFrame:
     """The stored table, or an error when it is missing or empty."""
@@ -104,7 +111,8 @@ class BronzeTable:
         return self.read().select("ingestion_id", "source_sha256").distinct()
 
     def has_many_artifacts(self) -> bool:
-        return self.artifacts().limit(MANY_ARTIFACTS + 1).count() > MANY_ARTIFACTS
+        partitions = self.read().select("ingestion_id").distinct()
+        return partitions.limit(MANY_ARTIFACTS + 1).count() > MANY_ARTIFACTS
 
     def rows_of(self, ingestion_id: str) -> int:
         return self.read().where(F.col("ingestion_id") == ingestion_id).count()
@@ -123,7 +131,7 @@ class BronzeTable:
                 f"Bronze holds {stored} rows of {ingestion_id}, expected {expected_rows}."
             )
         if not stored:
-            self.store.write(rows, "append", partitionBy="ingestion_id")
+            self.store.replace_partition(rows, "ingestion_id")
             written = self.rows_of(ingestion_id)
             if written != expected_rows:
                 raise IntegrityError(
