@@ -296,11 +296,11 @@ described AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    rank = {kind: TO_GOLD + f", ranked AS ({_ranked(kind)}) SELECT {RANKED} FROM ranked "
+    rank = {kind: TO_GOLD + f", board AS ({_ranked(kind)}) SELECT {RANKED} FROM board "
             "WHERE rank_position <= 5"
             for kind in ("top_increases", "top_decreases", "largest_movements")}
     bounded = (
-        TO_GOLD + f", ranked AS ({_ranked('top_increases')}) SELECT {RANKED} FROM ranked "
+        TO_GOLD + f", board AS ({_ranked('top_increases')}) SELECT {RANKED} FROM board "
         "WHERE rank_position <= 10 AND year = 2000 AND metric_id = 'M4' "
         "AND industry_aggregation_nzsioc = 'Level 4'"
     )
@@ -335,9 +335,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'missing_lineage_rows', {_count("sfp IS NULL OR gfp IS NULL")} FROM gold
             UNION ALL SELECT 'repeated_grain_rows', CAST(count(*) - count(DISTINCT metric_record_id) AS BIGINT)
                    FROM gold""",
-        "audit_rankings": TO_GOLD + f""", ranked AS (
+        "audit_rankings": TO_GOLD + f""", board AS (
             {" UNION ALL ".join(_ranked(kind) for kind in ("top_increases", "top_decreases", "largest_movements"))}
-            ), top AS (SELECT * FROM ranked WHERE rank_position <= 3), spans AS (
+            ), top AS (SELECT * FROM board WHERE rank_position <= 3), spans AS (
                 SELECT ranking_type, year, metric_id, industry_aggregation_nzsioc,
                        max(rank_position) <> count(*) OR min(rank_position) <> 1 AS broken
                 FROM top GROUP BY 1, 2, 3, 4)
@@ -422,16 +422,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT {IDENTITY}, count(DISTINCT name) AS definitions, count(*) AS rows
             FROM renamed GROUP BY {IDENTITY} HAVING count(DISTINCT name) > 1""",
         **{f"rank_{kind}": text for kind, text in rank.items()},
-        "rank_whole_partitions": TO_GOLD + f", ranked AS ({_ranked('largest_movements')}) "
+        "rank_whole_partitions": TO_GOLD + f", board AS ({_ranked('largest_movements')}) "
         "SELECT ranking_type, rank_position, year, industry_aggregation_nzsioc, metric_id, "
-        "industry_code_nzsioc, metric_value FROM ranked",
+        "industry_code_nzsioc, metric_value FROM board",
         "benchmark_query": bounded,
         "benchmark_sql": bounded,
-        "served_benchmark": TO_GOLD + f", ranked AS ({_ranked('largest_movements')}) "
+        "served_benchmark": TO_GOLD + f", board AS ({_ranked('largest_movements')}) "
         "SELECT rank_position, ranking_type, year, industry_code_nzsioc AS industry_code, "
         "industry_name_nzsioc AS industry_name, industry_aggregation_nzsioc AS aggregation_level, "
         "metric_id, metric_name, metric_value, absolute_metric_value, metric_status, metric_unit, "
-        "metric_record_id FROM ranked WHERE rank_position <= 10 AND year = 2000 "
+        "metric_record_id FROM board WHERE rank_position <= 10 AND year = 2000 "
         "AND metric_id = 'M5' AND industry_aggregation_nzsioc = 'Level 3'",
         "industry_catalogue": TO_GOLD + """
             SELECT industry_code_nzsioc AS industry_code, industry_name_nzsioc AS industry_name,
@@ -464,14 +464,14 @@ def oracle_sql() -> dict[str, str]:
                    {_count("new_release IS NOT NULL AND old_release IS NOT NULL AND (value_changed OR metadata_changed)")}
                        AS changed_existing_observations FROM pairs""",
         "revision_counts": _chain(CELLS, PAIRS) + f"""
-            , sides AS (SELECT *, new_release IS NOT NULL AND old_release IS NOT NULL AS both FROM pairs)
-            SELECT {_count("both")} AS overlapping_observations,
-                   {_count("both AND NOT value_changed AND NOT metadata_changed")} AS unchanged_republications,
-                   {_count("both AND value_changed")} AS revised_values,
-                   {_count("both AND metadata_changed")} AS revised_metadata,
+            , sides AS (SELECT *, new_release IS NOT NULL AND old_release IS NOT NULL AS shared FROM pairs)
+            SELECT {_count("shared")} AS overlapping_observations,
+                   {_count("shared AND NOT value_changed AND NOT metadata_changed")} AS unchanged_republications,
+                   {_count("shared AND value_changed")} AS revised_values,
+                   {_count("shared AND metadata_changed")} AS revised_metadata,
                    {_count("old_release IS NULL")} AS newly_added_observations,
                    {_count("new_release IS NULL")} AS observations_absent_from_incoming,
-                   {_count("old_release IS NULL OR (both AND (value_changed OR metadata_changed))")}
+                   {_count("old_release IS NULL OR (shared AND (value_changed OR metadata_changed))")}
                        AS current_view_observations_changed,
                    CAST(0 AS BIGINT) AS duplicated_keys FROM sides""",
         "value_transitions": _chain(CELLS, PAIRS) + f"""
