@@ -70,7 +70,12 @@ def _bronze(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _to_silver(history: DataFrame) -> DataFrame:
-    return silver.build_silver(history, fingerprint=SILVER_PRINT, processed_at=PROCESSED_AT)
+    return silver.build_silver(
+        history,
+        fingerprint=SILVER_PRINT,
+        processed_at=PROCESSED_AT,
+        repeated_numbers=silver.has_repeated_numbers(history),
+    )
 
 
 def _silver(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +83,12 @@ def _silver(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _to_gold(snapshot: DataFrame) -> DataFrame:
-    return gold.build_gold(snapshot, fingerprint=GOLD_PRINT, processed_at=PROCESSED_AT)
+    return gold.build_gold(
+        snapshot,
+        fingerprint=GOLD_PRINT,
+        processed_at=PROCESSED_AT,
+        repeated_inputs=gold.has_repeated_inputs(snapshot),
+    )
 
 
 def _gold(spark: SparkSession, folder: str) -> DataFrame:
@@ -482,12 +492,12 @@ def snapshot_rerun(spark: SparkSession, folder: str) -> DataFrame:
     warehouse = Warehouse.at(spark, _scratch(spark, "snapshots"))
     snapshot = _silver(spark, folder)
     results = [
-        ("silver", warehouse.silver.publish(snapshot, SILVER_PRINT, SILVER_SCHEMA_VERSION, None))
+        ("silver", warehouse.silver.publish(snapshot, SILVER_PRINT, SILVER_SCHEMA_VERSION))
         for _ in range(2)
     ]
     metrics = _to_gold(warehouse.silver.read())
     results += [
-        ("gold", warehouse.gold.publish(metrics, GOLD_PRINT, GOLD_SCHEMA_VERSION, None))
+        ("gold", warehouse.gold.publish(metrics, GOLD_PRINT, GOLD_SCHEMA_VERSION))
         for _ in range(2)
     ]
     return spark.createDataFrame(

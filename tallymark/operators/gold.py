@@ -16,7 +16,7 @@ from tallymark.contracts import (
     VALUE_TYPE,
     Metric,
 )
-from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts
+from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts, has_repeats
 from tallymark.functions.text import quoted, quoted_list
 from tallymark.operators.bronze import iso_instant
 from tallymark.operators.schema_check import EXACT, check_schema
@@ -41,12 +41,22 @@ def build_gold(
     *,
     fingerprint: str,
     processed_at: datetime,
+    repeated_inputs: bool = True,
     inline_lineage: int = INLINE_LINEAGE,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
-    """Six metric rows (M1-M6) per observed industry and year, each with a status."""
+    """Six metric rows (M1-M6) per observed industry and year, each with a status.
+
+    Pass ``repeated_inputs=False`` only after :func:`has_repeated_inputs` found none;
+    Silver is then read and aggregated once.
+    """
     check_schema(silver, SILVER_TYPES, EXACT, "Silver")
-    direct = direct_inputs(silver, inline_lineage=inline_lineage, hot_min_rows=hot_min_rows)
+    direct = direct_inputs(
+        silver,
+        repeated_inputs=repeated_inputs,
+        inline_lineage=inline_lineage,
+        hot_min_rows=hot_min_rows,
+    )
     # A gap in the years is never bridged: the frame holds exactly the year before.
     previous_year = (
         Window.partitionBy("industry_aggregation_nzsioc", "industry_code_nzsioc")
@@ -73,9 +83,15 @@ def build_gold(
     return metric_rows.selectExpr(*[f"{gold.get(name, name)} AS {name}" for name in GOLD_TYPES])
 
 
+def has_repeated_inputs(silver: DataFrame) -> bool:
+    """Whether some metric input is found on several rows (runs one narrow job)."""
+    return has_repeats(_input_rows(silver), (*IDENTITY, "variable_code"))
+
+
 def direct_inputs(
     silver: DataFrame,
     *,
+    repeated_inputs: bool = True,
     inline_lineage: int = INLINE_LINEAGE,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
@@ -109,17 +125,19 @@ def direct_inputs(
             f"min(CASE WHEN {selected} THEN {record} END) AS _record_{metric.direct_id}",
         ]
     grouped = silver.groupBy(*IDENTITY).agg(*map(F.expr, aggregates))
-    repeated = repeated_lineage(silver, inline_lineage, hot_min_rows).selectExpr(
-        *[f"{name} AS _r_{name}" for name in IDENTITY],
-        *[f"_repeated_{metric.direct_id}" for metric in METRICS],
-    )
-    same = " AND ".join(f"{name} = _r_{name}" for name in IDENTITY)
-    return grouped.join(repeated, F.expr(same), "left").selectExpr(
+    if repeated_inputs:
+        repeated = repeated_lineage(silver, inline_lineage, hot_min_rows).selectExpr(
+            *[f"{name} AS _r_{name}" for name in IDENTITY],
+            *[f"_repeated_{metric.direct_id}" for metric in METRICS],
+        )
+        same = " AND ".join(f"{name} = _r_{name}" for name in IDENTITY)
+        grouped = grouped.join(repeated, F.expr(same), "left")
+    return grouped.selectExpr(
         *IDENTITY,
         "industry_name_nzsioc",
         "industry_code_anzsic06",
         "silver_input_fingerprints",
-        *[f"{_direct_struct(metric)} AS {metric.direct_id}" for metric in METRICS],
+        *[f"{_direct_struct(m, repeated_inputs)} AS {m.direct_id}" for m in METRICS],
     )
 
 
@@ -169,9 +187,9 @@ def _input_rows(silver: DataFrame) -> DataFrame:
     return silver.where(f"variable_code IN ({codes}) AND {COMPLETE_IDENTITY}")
 
 
-def _direct_struct(metric: Metric) -> str:
+def _direct_struct(metric: Metric, repeated_inputs: bool) -> str:
     """Status, value and lineage of one direct metric, from the grouped columns."""
-    record, repeated = f"_record_{metric.direct_id}", f"_repeated_{metric.direct_id}"
+    record = f"_record_{metric.direct_id}"
     # An identity with a null part is never matched to a source record.
     n = f"(CASE WHEN {COMPLETE_IDENTITY} THEN _n_{metric.direct_id} ELSE 0 END)"
     one_definition = """(industry_name_nzsioc <=> _last_name
@@ -187,10 +205,11 @@ def _direct_struct(metric: Metric) -> str:
         WHEN {record}.value_status = 'PUBLISHED' AND {record}.is_valid
             AND {record}.value_numeric IS NOT NULL THEN 'PUBLISHED'
         ELSE 'INVALID_VALUE' END"""
+    listed = f"_repeated_{metric.direct_id}." if repeated_inputs else None
     lineage = ", ".join(
         f"""{quoted(name)}, CASE
             WHEN {n} = 1 THEN array_compact(array({record}.{source}))
-            WHEN {n} > 1 THEN coalesce({repeated}.{name}, {NO_STRINGS})
+            WHEN {n} > 1 THEN coalesce({listed + name if listed else 'NULL'}, {NO_STRINGS})
             ELSE {NO_STRINGS} END"""
         for name, source in _LINEAGE.items()
     )

@@ -15,7 +15,7 @@ from tallymark.contracts import (
     SILVER_SCHEMA_VERSION,
     SILVER_TYPES,
 )
-from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts
+from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts, has_repeats
 from tallymark.functions.text import (
     any_of,
     is_blank,
@@ -39,6 +39,7 @@ LINEAGE_TEXT = (
     "dataset_version",
     "schema_version",
 )
+_NUMBERED = ("ingestion_id", "source_row_number")
 LINEAGE_TYPED = ("dataset_year", "ingestion_timestamp", "row_count", "source_row_number")
 
 
@@ -71,16 +72,26 @@ def build_silver(
     fingerprint: str,
     processed_at: datetime,
     many_artifacts: bool = False,
+    repeated_numbers: bool = True,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Silver snapshot of the current view over the whole Bronze history.
 
     Completeness and row numbering are facts about an artifact, so they are measured
     over its full history: rows that a newer release did not replace stay valid.
+    Pass ``repeated_numbers=False`` only after :func:`has_repeated_numbers` found none;
+    the rows are then shuffled once instead of twice.
     """
     check_schema(history, BRONZE_TYPES, ORDERED, "Bronze")
     rows = select_current(history, with_counts=True, hot_min_rows=hot_min_rows)
-    return _checked(rows, history, fingerprint, processed_at, many_artifacts, hot_min_rows)
+    return _checked(
+        rows, history, fingerprint, processed_at, many_artifacts, hot_min_rows, repeated_numbers
+    )
+
+
+def has_repeated_numbers(history: DataFrame) -> bool:
+    """Whether some artifact uses a row number twice (runs one narrow job)."""
+    return has_repeats(history, _NUMBERED)
 
 
 def _checked(
@@ -90,17 +101,19 @@ def _checked(
     processed_at: datetime,
     many_artifacts: bool,
     hot_min_rows: int,
+    repeated_numbers: bool = True,
 ) -> DataFrame:
-    numbered = ("ingestion_id", "source_row_number")
-    repeated_numbers = (
-        history.groupBy(*numbered)
-        .agg(F.count(F.lit(1)).alias("number_rows"))
-        .where("number_rows > 1")
-    )
-    rows = attach_group_facts(
-        rows, repeated_numbers, numbered, "number_rows", null_safe=True,
-        hot_min_rows=hot_min_rows,
-    )
+    if repeated_numbers:
+        repeats = (
+            history.groupBy(*_NUMBERED)
+            .agg(F.count(F.lit(1)).alias("number_rows"))
+            .where("number_rows > 1")
+        )
+        rows = attach_group_facts(
+            rows, repeats, _NUMBERED, "number_rows", null_safe=True, hot_min_rows=hot_min_rows
+        )
+    else:
+        rows = rows.withColumn("number_rows", F.lit(1))
     artifact_rows = history.groupBy("ingestion_id").agg(
         F.count(F.lit(1)).alias("artifact_rows")
     )

@@ -26,7 +26,7 @@ from tallymark.functions.hashing import (
 )
 from tallymark.operators.bronze import ArtifactMetadata, iso_instant, to_bronze
 from tallymark.operators.current_view import require_unambiguous
-from tallymark.operators.gold import build_gold
+from tallymark.operators.gold import build_gold, has_repeated_inputs
 from tallymark.operators.planning import incremental_plan
 from tallymark.operators.quality import quality_checks, quality_summary
 from tallymark.operators.revision import (
@@ -36,7 +36,7 @@ from tallymark.operators.revision import (
     revision_counts,
     value_transitions,
 )
-from tallymark.operators.silver import build_silver
+from tallymark.operators.silver import build_silver, has_repeated_numbers
 from tallymark.session import stage
 from tallymark.sources.csv_artifact import read_artifact
 from tallymark.sources.tables import (
@@ -161,13 +161,16 @@ def refresh_silver(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotR
     fingerprint = silver_fingerprint_of(
         (row.ingestion_id, row.source_sha256) for row in warehouse.bronze.artifacts().collect()
     )
+    if warehouse.silver.is_current(fingerprint, SILVER_SCHEMA_VERSION):
+        return warehouse.silver.reuse(fingerprint)
     silver = build_silver(
         history,
         fingerprint=fingerprint,
         processed_at=clock(),
         many_artifacts=warehouse.bronze.has_many_artifacts(),
+        repeated_numbers=has_repeated_numbers(history),
     )
-    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION, None)
+    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION)
 
 
 def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotResult:
@@ -176,8 +179,15 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
     fingerprint = gold_fingerprint_of(
         row.fingerprint for row in warehouse.silver.fingerprints().collect()
     )
-    gold = build_gold(silver, fingerprint=fingerprint, processed_at=clock())
-    return warehouse.gold.publish(gold, fingerprint, GOLD_SCHEMA_VERSION, None)
+    if warehouse.gold.is_current(fingerprint, GOLD_SCHEMA_VERSION):
+        return warehouse.gold.reuse(fingerprint)
+    gold = build_gold(
+        silver,
+        fingerprint=fingerprint,
+        processed_at=clock(),
+        repeated_inputs=has_repeated_inputs(silver),
+    )
+    return warehouse.gold.publish(gold, fingerprint, GOLD_SCHEMA_VERSION)
 
 
 def assess_quality(warehouse: Warehouse, *, clock: Clock = utc_now) -> dict:

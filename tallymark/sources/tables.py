@@ -11,7 +11,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.contracts import BRONZE_TYPES, METADATA_TYPES, ddl, struct_type
@@ -203,23 +203,28 @@ class SnapshotTable:
             and current["schema_version"] == schema_version
         )
 
-    def publish(
-        self, frame: DataFrame, fingerprint: str, schema_version: str, expected_rows: int | None
-    ) -> SnapshotResult:
-        """Replace the snapshot unless the same fingerprint is already published."""
+    def reuse(self, fingerprint: str) -> SnapshotResult:
+        """The published snapshot, after checking that it is complete."""
+        rows, stated = self.read().count(), self.pointer()["rows"]
+        if rows != stated:
+            raise IntegrityError(f"{self.path} holds {rows} rows, expected {stated}.")
+        return SnapshotResult(fingerprint, rows, True)
+
+    def publish(self, frame: DataFrame, fingerprint: str, schema_version: str) -> SnapshotResult:
+        """Replace the snapshot unless the same fingerprint is already published.
+
+        Rows are counted as they are written and compared with what is stored.
+        """
         if self.is_current(fingerprint, schema_version):
-            stored = self.read().count()
-            pointer = self.pointer()
-            wanted = pointer["rows"] if expected_rows is None else expected_rows
-            if stored != wanted:
-                raise IntegrityError(f"{self.path} holds {stored} rows, expected {wanted}.")
-            return SnapshotResult(fingerprint, stored, True)
+            return self.reuse(fingerprint)
         location = f"snapshots/snapshot={fingerprint}/{uuid.uuid4().hex}"
         target = f"{self.path}/{location}"
-        frame.write.format(self.fmt).mode("errorifexists").save(target)
+        written = Observation()
+        observed = frame.observe(written, F.count(F.lit(1)).alias("rows"))
+        observed.write.format(self.fmt).mode("errorifexists").save(target)
         rows = self.spark.read.format(self.fmt).load(target).count()
-        if expected_rows is not None and rows != expected_rows:
-            raise IntegrityError(f"{target} holds {rows} rows, expected {expected_rows}.")
+        if rows != written.get["rows"]:
+            raise IntegrityError(f"{target} holds {rows} rows of {written.get['rows']}.")
         pointer = (fingerprint, schema_version, rows, location, time.time_ns())
         self.pointers.write(self.spark.createDataFrame([pointer], _POINTER).coalesce(1), "append")
         return SnapshotResult(fingerprint, rows, False)
@@ -251,16 +256,14 @@ class CatalogSnapshot:
         stored = self.read().select(self.fingerprint_column, self.version_column).distinct()
         return [tuple(row) for row in stored.take(2)] == [(fingerprint, schema_version)]
 
-    def publish(
-        self, frame: DataFrame, fingerprint: str, schema_version: str, expected_rows: int | None
-    ) -> SnapshotResult:
-        duplicate = self.is_current(fingerprint, schema_version)
-        if not duplicate:
-            self.store.write(frame, "overwrite", overwriteSchema="true")
-        rows = self.read().count()
-        if expected_rows is not None and rows != expected_rows:
-            raise IntegrityError(f"{self.store.name} holds {rows} rows, expected {expected_rows}.")
-        return SnapshotResult(fingerprint, rows, duplicate)
+    def reuse(self, fingerprint: str) -> SnapshotResult:
+        return SnapshotResult(fingerprint, self.read().count(), True)
+
+    def publish(self, frame: DataFrame, fingerprint: str, schema_version: str) -> SnapshotResult:
+        if self.is_current(fingerprint, schema_version):
+            return self.reuse(fingerprint)
+        self.store.write(frame, "overwrite", overwriteSchema="true")
+        return SnapshotResult(fingerprint, self.read().count(), False)
 
 
 class ArtifactRegistry:

@@ -8,14 +8,21 @@ from conftest import INCOME, NOW, RETURN, SHA_A, SURPLUS
 from tallymark.contracts import GOLD_TYPES
 from tallymark.errors import SchemaContractError
 from tallymark.operators.audit import audit_gold, mixed_definitions
-from tallymark.operators.gold import build_gold, metric_lineage, metric_status_counts
+from tallymark.operators.gold import (
+    build_gold,
+    has_repeated_inputs,
+    metric_lineage,
+    metric_status_counts,
+)
 from tallymark.operators.silver import to_silver
+from tallymark.session import stage
 
 
 @pytest.fixture(scope="module")
 def gold_of(bronze):
     def build(rows, **options):
-        silver = to_silver(bronze(rows), fingerprint="F", processed_at=NOW)
+        silver = stage(to_silver(bronze(rows), fingerprint="F", processed_at=NOW), "silver")
+        options.setdefault("repeated_inputs", has_repeated_inputs(silver))
         return build_gold(silver, fingerprint="G", processed_at=NOW, **options)
 
     return build

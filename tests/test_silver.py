@@ -48,38 +48,43 @@ def test_values_keep_their_class(bronze):
     assert rows[1].record_id == f"{SHA_A}:1"
 
 
-@pytest.mark.parametrize(
-    ("override", "rule"),
-    [
-        ({"Year": " "}, "YEAR_REQUIRED"),
-        ({"Year": None}, "YEAR_REQUIRED"),
-        ({"Year": "20x5"}, "YEAR_INVALID_FORMAT"),
-        ({"Year": "2025\n"}, "YEAR_INVALID_FORMAT"),
-        ({"Industry_aggregation_NZSIOC": ""}, "INDUSTRY_AGGREGATION_REQUIRED"),
-        ({"Industry_aggregation_NZSIOC": "Level 2"}, "INDUSTRY_AGGREGATION_UNEXPECTED"),
-        ({"Industry_code_NZSIOC": ""}, "INDUSTRY_CODE_REQUIRED"),
-        ({"Industry_name_NZSIOC": " "}, "INDUSTRY_NAME_REQUIRED"),
-        ({"Industry_code_ANZSIC06": ""}, "ANZSIC_MAPPING_REQUIRED"),
-        ({"Variable_code": ""}, "VARIABLE_CODE_REQUIRED"),
-        ({"Variable_name": ""}, "VARIABLE_NAME_REQUIRED"),
-        ({"Variable_category": ""}, "VARIABLE_CATEGORY_REQUIRED"),
-        ({"Units": ""}, "UNITS_REQUIRED"),
-        ({"Units": "Percentage"}, "VARIABLE_DEFINITION_UNEXPECTED"),
-        ({"Variable_name": "total income"}, "VARIABLE_DEFINITION_UNEXPECTED"),
-        ({"Value": ""}, "VALUE_UNAVAILABLE"),
-        ({"Value": "5\n"}, "VALUE_INVALID"),
-        ({"source_url": None}, "LINEAGE_REQUIRED"),
-        ({"source_sha256": SHA_B}, "LINEAGE_ID_MISMATCH"),
-        ({"source_row_number": 0}, "SOURCE_ROW_NUMBER_INVALID"),
-        ({"source_row_number": 9}, "SOURCE_ROW_NUMBER_INVALID"),
-        ({"row_count": 5}, "SOURCE_ROW_COUNT_MISMATCH"),
-    ],
-)
-def test_each_rule(bronze, override, rule):
-    row = silver(bronze([override])).first()
-    assert row.validation_rule_ids == [rule]
-    assert len(row.validation_failure_reasons) == 1
-    assert not row.is_valid
+RULE_CASES = [
+    ({"Year": " "}, "YEAR_REQUIRED"),
+    ({"Year": None}, "YEAR_REQUIRED"),
+    ({"Year": "20x5"}, "YEAR_INVALID_FORMAT"),
+    ({"Year": "2025\n"}, "YEAR_INVALID_FORMAT"),
+    ({"Industry_aggregation_NZSIOC": ""}, "INDUSTRY_AGGREGATION_REQUIRED"),
+    ({"Industry_aggregation_NZSIOC": "Level 2"}, "INDUSTRY_AGGREGATION_UNEXPECTED"),
+    ({"Industry_code_NZSIOC": ""}, "INDUSTRY_CODE_REQUIRED"),
+    ({"Industry_name_NZSIOC": " "}, "INDUSTRY_NAME_REQUIRED"),
+    ({"Industry_code_ANZSIC06": ""}, "ANZSIC_MAPPING_REQUIRED"),
+    ({"Variable_code": ""}, "VARIABLE_CODE_REQUIRED"),
+    ({"Variable_name": ""}, "VARIABLE_NAME_REQUIRED"),
+    ({"Variable_category": ""}, "VARIABLE_CATEGORY_REQUIRED"),
+    ({"Units": ""}, "UNITS_REQUIRED"),
+    ({"Units": "Percentage"}, "VARIABLE_DEFINITION_UNEXPECTED"),
+    ({"Variable_name": "total income"}, "VARIABLE_DEFINITION_UNEXPECTED"),
+    ({"Value": ""}, "VALUE_UNAVAILABLE"),
+    ({"Value": "5\n"}, "VALUE_INVALID"),
+    ({"source_url": None}, "LINEAGE_REQUIRED"),
+    ({"source_sha256": SHA_B}, "LINEAGE_ID_MISMATCH"),
+    ({"source_row_number": 0}, "SOURCE_ROW_NUMBER_INVALID"),
+    ({"source_row_number": 9}, "SOURCE_ROW_NUMBER_INVALID"),
+    ({"row_count": 5}, "SOURCE_ROW_COUNT_MISMATCH"),
+]
+
+
+def test_each_rule(bronze):
+    """One artifact per case, all in one frame."""
+    rows = [
+        {"ingestion_id": f"{n:064d}", "source_sha256": f"{n:064d}", **override}
+        for n, (override, _) in enumerate(RULE_CASES)
+    ]
+    found = {int(row.ingestion_id): row for row in silver(bronze(rows)).collect()}
+    for n, (override, rule) in enumerate(RULE_CASES):
+        assert found[n].validation_rule_ids == [rule], override
+        assert len(found[n].validation_failure_reasons) == 1
+        assert not found[n].is_valid
 
 
 def test_malformed_year_becomes_null_not_an_error(bronze):
