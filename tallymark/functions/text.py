@@ -74,9 +74,9 @@ def is_known_definition(code: str, name: str, category: str, units: str) -> str:
     fields = (code, name, category, units)
     joined = quoted_list(UNIT_SEPARATOR.join(d) for d in VARIABLE_DEFINITIONS)
     listed = ", ".join(f"array({quoted_list(d)})" for d in VARIABLE_DEFINITIONS)
-    same = " AND ".join(f"d[{i}] = {field}" for i, field in enumerate(fields))
+    same = " AND ".join(f"known[{i}] = {field}" for i, field in enumerate(fields))
     return f"""CASE WHEN {any_of(f"{field} IS NULL" for field in fields)}
-        THEN exists(array({listed}), d -> {same})
+        THEN exists(array({listed}), known -> {same})
         ELSE concat_ws('{UNIT_SEPARATOR}', {", ".join(fields)}) IN ({joined}) END"""
 
 
