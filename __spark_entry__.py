@@ -75,6 +75,7 @@ def _to_silver(history: DataFrame) -> DataFrame:
         fingerprint=SILVER_PRINT,
         processed_at=PROCESSED_AT,
         repeated_numbers=silver.has_repeated_numbers(history),
+        total_rows=history.count(),
     )
 
 
@@ -169,7 +170,8 @@ def bronze_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def current_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return current_view.select_current(_bronze(spark, folder)).select(
+    history = _bronze(spark, folder)
+    return current_view.select_current(history, total_rows=history.count()).select(
         *OBSERVATION_KEY, "Value", "ingestion_id", "dataset_year", "source_row_number"
     )
 

@@ -39,15 +39,25 @@ def attach_group_facts(
     null_safe: bool = False,
     required: bool = False,
     hot_min_rows: int = HOT_MIN_ROWS,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Left join (inner if ``required``) of ``rows`` with one fact row per key.
 
     ``facts`` has ``keys`` (unique), the group's row count ``size`` and any further
     columns; all but the keys are added to the rows. ``null_safe`` lets null keys
-    match each other, as they do in a window.
+    match each other, as they do in a window. Where the caller knows ``total_rows``
+    and it is below ``hot_min_rows``, no group can be hot and one plain join remains.
     """
     added = [name for name in facts.columns if name not in keys]
     packed = f"struct({', '.join(added)})"
+    if total_rows is not None and total_rows < hot_min_rows:
+        equals = "<=>" if null_safe else "="
+        joined = rows.join(
+            facts.selectExpr(*[f"{key} AS _cold_{key}" for key in keys], *added),
+            F.expr(" AND ".join(f"{key} {equals} _cold_{key}" for key in keys)),
+            "inner" if required else "left",
+        )
+        return joined.select(*rows.columns, *added)
     hot = (
         facts.where(f"{size} >= {hot_min_rows}")
         .orderBy(F.desc(size))

@@ -65,19 +65,40 @@ def year_value(value: str) -> str:
     return f"CASE WHEN {is_year_text(value)} THEN try_cast({value} AS INT) END"
 
 
-def is_known_definition(code: str, name: str, category: str, units: str) -> str:
-    """Whether the whole tuple is an approved definition (three-valued on nulls).
+def is_complete_definition(code: str, name: str, category: str, units: str) -> str:
+    """Whether four non-null fields together are an approved definition: one hash probe.
 
-    Complete tuples take one hash-set probe. No field of a definition holds the
-    separator, so equal joined text means equal fields.
+    No field of a definition holds the separator, so equal joined text means equal fields.
     """
-    fields = (code, name, category, units)
     joined = quoted_list(UNIT_SEPARATOR.join(d) for d in VARIABLE_DEFINITIONS)
+    return f"(concat_ws('{UNIT_SEPARATOR}', {code}, {name}, {category}, {units}) IN ({joined}))"
+
+
+def is_known_definition(code: str, name: str, category: str, units: str) -> str:
+    """The same with three-valued logic: unknown if null fields could complete one."""
+    fields = (code, name, category, units)
     listed = ", ".join(f"array({quoted_list(d)})" for d in VARIABLE_DEFINITIONS)
     same = " AND ".join(f"known[{i}] = {field}" for i, field in enumerate(fields))
     return f"""CASE WHEN {any_of(f"{field} IS NULL" for field in fields)}
         THEN exists(array({listed}), known -> {same})
-        ELSE concat_ws('{UNIT_SEPARATOR}', {", ".join(fields)}) IN ({joined}) END"""
+        ELSE {is_complete_definition(*fields)} END"""
+
+
+def texts_where(conditions: Iterable[tuple[str, str]]) -> str:
+    """The texts whose condition holds, in order, joined by the unit separator.
+
+    Split the result with :func:`split_texts`. Compared with an array function over
+    ``CASE`` items this stays in generated code throughout.
+    """
+    items = ", ".join(f"CASE WHEN {condition} THEN {quoted(text)} END"
+                      for condition, text in conditions)
+    return f"concat_ws('{UNIT_SEPARATOR}', {items})"
+
+
+def split_texts(joined: str, content: str | None = None) -> str:
+    """``joined`` (or ``content`` when ``joined`` is not empty) as an array of texts."""
+    return f"""CASE WHEN {joined} = '' THEN CAST(array() AS array<string>)
+        ELSE split({content or joined}, '{UNIT_SEPARATOR}') END"""
 
 
 # A JSON array of strings and nothing else.

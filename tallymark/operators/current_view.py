@@ -54,7 +54,11 @@ def require_unambiguous(history: DataFrame) -> None:
 
 
 def select_current(
-    history: DataFrame, *, with_counts: bool = False, hot_min_rows: int = HOT_MIN_ROWS
+    history: DataFrame,
+    *,
+    with_counts: bool = False,
+    hot_min_rows: int = HOT_MIN_ROWS,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """Rows of the current release of every key; every other row is history.
 
@@ -68,5 +72,6 @@ def select_current(
         "observation_rows",
         required=True,
         hot_min_rows=hot_min_rows,
+        total_rows=total_rows,
     )
     return selected if with_counts else selected.drop("observation_rows")

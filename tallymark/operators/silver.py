@@ -19,11 +19,13 @@ from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts, has_repea
 from tallymark.functions.text import (
     any_of,
     is_blank,
-    is_known_definition,
+    is_complete_definition,
     is_year_text,
     numeric_value,
     quoted,
     quoted_list,
+    split_texts,
+    texts_where,
     value_status,
     year_value,
 )
@@ -73,6 +75,7 @@ def build_silver(
     processed_at: datetime,
     many_artifacts: bool = False,
     repeated_numbers: bool = True,
+    total_rows: int | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Silver snapshot of the current view over the whole Bronze history.
@@ -80,10 +83,13 @@ def build_silver(
     Completeness and row numbering are facts about an artifact, so they are measured
     over its full history: rows that a newer release did not replace stay valid.
     Pass ``repeated_numbers=False`` only after :func:`has_repeated_numbers` found none;
-    the rows are then shuffled once instead of twice.
+    the rows are then shuffled once instead of twice. ``total_rows`` is the row count of
+    the history where the caller has it, as a stored table does.
     """
     check_schema(history, BRONZE_TYPES, ORDERED, "Bronze")
-    rows = select_current(history, with_counts=True, hot_min_rows=hot_min_rows)
+    rows = select_current(
+        history, with_counts=True, hot_min_rows=hot_min_rows, total_rows=total_rows
+    )
     return _checked(
         rows, history, fingerprint, processed_at, many_artifacts, hot_min_rows, repeated_numbers
     )
@@ -128,15 +134,12 @@ def _checked(
         rows = rows.join(
             F.broadcast(counts), F.col("ingestion_id").eqNullSafe(F.col("_artifact")), "left"
         )
-    # Both arrays come from one list of structs, so they stay aligned.
-    failures = ", ".join(
-        f"CASE WHEN {condition} THEN "
-        f"named_struct('rule', {quoted(rule)}, 'reason', {quoted(ROW_RULES[rule])}) END"
-        for rule, condition in row_rules().items()
-    )
+    rules = row_rules()
     typed = rows.withColumn("_status", F.expr(value_status("Value"))).withColumn(
-        "_failures", F.expr(f"array_compact(array({failures}))")
+        "_failed", F.expr(texts_where((condition, rule) for rule, condition in rules.items()))
     )
+    # Reasons follow the same conditions and are only evaluated for failing rows.
+    reasons = texts_where((condition, ROW_RULES[rule]) for rule, condition in rules.items())
     sources = {
         "record_id": "concat_ws(':', ingestion_id, CAST(source_row_number AS STRING))",
         "year": year_value("Year"),
@@ -152,10 +155,10 @@ def _checked(
         "value_raw": "Value",
         "value_numeric": f"CASE WHEN _status = 'PUBLISHED' THEN {numeric_value('Value')} END",
         "value_status": "_status",
-        "record_status": "CASE WHEN size(_failures) = 0 THEN 'VALID' ELSE 'INVALID' END",
-        "is_valid": "size(_failures) = 0",
-        "validation_rule_ids": "_failures.rule",
-        "validation_failure_reasons": "_failures.reason",
+        "record_status": "CASE WHEN _failed = '' THEN 'VALID' ELSE 'INVALID' END",
+        "is_valid": "_failed = ''",
+        "validation_rule_ids": split_texts("_failed"),
+        "validation_failure_reasons": split_texts("_failed", reasons),
         "source_row_count": "row_count",
         "source_schema_version": "schema_version",
         "silver_schema_version": quoted(SILVER_SCHEMA_VERSION),
@@ -188,7 +191,7 @@ def row_rules() -> dict[str, str]:
         "VARIABLE_CATEGORY_REQUIRED": is_blank("Variable_category"),
         "UNITS_REQUIRED": is_blank("Units"),
         "VARIABLE_DEFINITION_UNEXPECTED": (
-            f"NOT {any_of(map(is_blank, definition))} AND NOT {is_known_definition(*definition)}"
+            f"NOT {any_of(map(is_blank, definition))} AND NOT {is_complete_definition(*definition)}"
         ),
         "VALUE_UNAVAILABLE": "_status = 'UNAVAILABLE'",
         "VALUE_INVALID": "_status = 'INVALID'",

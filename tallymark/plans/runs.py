@@ -169,6 +169,7 @@ def refresh_silver(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotR
         processed_at=clock(),
         many_artifacts=warehouse.bronze.has_many_artifacts(),
         repeated_numbers=has_repeated_numbers(history),
+        total_rows=history.count(),
     )
     return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION)
 
