@@ -49,6 +49,15 @@ from tallymark.session import ensure_checkpoint_dir, stage  # noqa: E402
 from tallymark.sources import commerce  # noqa: E402
 from tallymark.sources.csv_artifact import read_artifacts  # noqa: E402
 
+# The corpus operators and their pipeline may be absent; everything else works without.
+try:
+    import corpus_pipeline
+    from tallymark.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tallymark.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 PROCESSED_AT = datetime(2026, 3, 4, 5, 6, 7, tzinfo=UTC)
 
 # The artifacts of the two releases and the fingerprints that follow from them.
@@ -533,8 +542,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "current_view": current_rows,
         **{f"rank_{kind}": _rank(kind) for kind in RANKING_TYPES},
         **{query.__name__: query for query in plain},
+        **({**corpus_queries.queries(), "pipeline": corpus_pipeline.run} if corpus_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    if corpus_queries is None:
+        return oracles.oracle_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**oracles.oracle_sql(), **corpus_queries.oracle_sql(), **whole}
