@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontamination, mixing, near_duplicates, pii, toxicity
+from tallymark.llm import chat, decontamination, language, lattice, mixing, near_duplicates, pii, repeated_text, toxicity, url_trust
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +16,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
+def op1_repeated_text(spark: SparkSession, folder: str) -> DataFrame:
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return repeated_text.without_repeats(_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op2_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    parts = chat.rendered(_table(spark, folder, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",")
+    return parts.select("conv_id", "perspective", "band", "part", "n_turns", "text", spans.alias("mask"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     weights = mixing.quality(_table(spark, folder, "labels"))
     return mixing.plan(_table(spark, folder, "documents"), weights).select(
@@ -41,6 +58,19 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.linked_vectors(_table(spark, folder, "embeddings"))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs, usable=~held_out)
+    return language.predict(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -58,10 +88,14 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return url_trust.verdicts(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
     return {
         q.__name__: q
-        for q in (op3_mixing, op4_near_duplicates, op5_pii, op8_decontamination, op9_toxicity)
+        for q in (op1_repeated_text, op2_perspectives, op3_mixing, op4_near_duplicates, op5_pii, op6_lattice, op7_language, op8_decontamination, op9_toxicity, op10_url_trust)
     }
 
 
