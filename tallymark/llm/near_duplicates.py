@@ -15,8 +15,10 @@ How hot groups are kept whole without pairing everything with everything:
   pairs, with the estimate evaluated inside the join, so none but plausible pairs are
   produced. Links between members of one component would not change it.
 
-Sets below ``SMALL`` leave too many registers empty for bands. They use the smallest
-quarter of their shingle hashes as keys instead, which finds every pair at 0.75.
+Sets below ``SMALL`` leave too many registers empty for bands. They use their rarest
+shingles as keys instead: of two sets with a similarity of 0.75, ordered by how many sets
+hold each shingle, the first quarters (and one more) must meet, so every pair is found,
+and a line that many short documents share is not what brings them together.
 
 Rows without words are linked with nothing. A row with a null ``doc_id`` passes
 unlinked. Rows that share a ``doc_id`` are one node, linked if any of its texts is.
@@ -44,11 +46,12 @@ BAND = 4
 SMALL = 96
 #: Chance that registers of unrelated buckets agree, for 4 mantissa bits.
 COLLISION = 0.0212
-#: Estimates this far below the limit (five standard errors) still go to verification.
-MARGIN = 0.27
+#: Estimates up to so many standard errors below the limit still go to verification.
+ERRORS = 5
 
 SKETCH_SCHEMA = (
-    "doc_id BIGINT, n_shingles BIGINT, f1 BIGINT, f2 BIGINT, sketch ARRAY<BIGINT>, keys ARRAY<BIGINT>"
+    "doc_id BIGINT, n_shingles BIGINT, f1 BIGINT, f2 BIGINT, filled BIGINT, sketch ARRAY<INT>, "
+    "bands ARRAY<BIGINT>, small ARRAY<BIGINT>"
 )
 
 
@@ -113,16 +116,16 @@ def _sketch_block(words: np.ndarray, first: np.ndarray):
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value), dtype=np.uint64)])
     f1, f2 = sums[begins[1:]] - sums[begins[:-1]], mixed[begins[1:]] - mixed[begins[:-1]]
-    keys: list[np.ndarray] = [np.empty(0, np.uint64)] * len(sizes)
+    none = np.empty(0, np.uint64)
+    bands, small = [none] * len(sizes), [none] * len(sizes)
     for i in rows:
-        size, parts = int(sizes[i]), []
-        if 100 * SMALL > PERCENT * size:
-            prefix = size - -(-PERCENT * size // 100) + 1
-            parts.append(mix(value[begins[i] : begins[i] + prefix] ^ np.uint64(0x5A11)))
+        size = int(sizes[i])
         if size >= SMALL:
-            parts.append(band[i][filled[i]])
-        keys[i] = np.concatenate(parts)
-    return sizes, f1, f2, sketch, keys
+            bands[i] = band[i][filled[i]]
+        # A set this small may be linked with one below SMALL.
+        if PERCENT * size < 100 * SMALL:
+            small[i] = value[begins[i] : begins[i + 1]]
+    return sizes, f1, f2, sketch, bands, small
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -131,6 +134,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _packed(sketch: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A bit per filled bucket, and the filled registers, each with its bucket's number."""
+    filled = sketch != 0
+    bits = np.packbits(filled, axis=1, bitorder="little").view(np.int64)[:, 0]
+    row, bucket = np.nonzero(filled)
+    offsets = np.searchsorted(row, np.arange(len(sketch) + 1)).astype(np.int32)
+    named = (bucket << 8 | sketch[row, bucket]).astype(np.int32)
+    return pa.array(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(named))
+
+
 def _sketch_batches(batches):
     powers = Powers()
     for batch in batches:
@@ -138,18 +151,18 @@ def _sketch_batches(batches):
         for low, high in row_chunks(bounds):
             own = bounds[low : high + 1] - bounds[low]
             words, first = word_hashes(lower_ascii(data[bounds[low] : bounds[high]]), own, powers)
-            sizes, f1, f2, sketch, keys = _sketch_block(words, first)
-            longs = list(sketch.view(np.uint64))
+            sizes, f1, f2, sketch, bands, small = _sketch_block(words, first)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(low, high - low),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(f1.view(np.int64)),
                     pa.array(f2.view(np.int64)),
-                    _lists(longs),
-                    _lists(keys),
+                    *_packed(sketch),
+                    _lists(bands),
+                    _lists(small),
                 ],
-                ["doc_id", "n_shingles", "f1", "f2", "sketch", "keys"],
+                ["doc_id", "n_shingles", "f1", "f2", "filled", "sketch", "bands", "small"],
             )
 
 
@@ -173,26 +186,16 @@ def _set_batches(batches):
 # --- estimates and verification as column expressions -------------------------------
 
 
-def _filled_bytes(word: Column) -> Column:
-    """Number of non-zero bytes of a long."""
-    word = word.bitwiseOR(F.shiftrightunsigned(word, 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F)))
-    word = word.bitwiseOR(F.shiftrightunsigned(word, 2).bitwiseAND(F.lit(0x3F3F3F3F3F3F3F3F)))
-    word = word.bitwiseOR(F.shiftrightunsigned(word, 1).bitwiseAND(F.lit(0x7F7F7F7F7F7F7F7F)))
-    return F.bit_count(word.bitwiseAND(F.lit(0x0101010101010101)))
-
-
 def plausible(a: str, b: str) -> Column:
     """Whether the collision-corrected estimate of two sketches leaves a link possible.
 
     Of the buckets filled on either side, a share J + (1 - J) * COLLISION agrees.
     """
-    one = [F.get(F.col(f"{a}.sketch"), F.lit(i)) for i in range(REGISTERS // 8)]
-    two = [F.get(F.col(f"{b}.sketch"), F.lit(i)) for i in range(REGISTERS // 8)]
-    differ = sum((_filled_bytes(x.bitwiseXOR(y)) for x, y in zip(one, two)), F.lit(0))
-    filled = sum((_filled_bytes(x.bitwiseOR(y)) for x, y in zip(one, two)), F.lit(0))
-    share = PERCENT / 100 - MARGIN
-    allowed = 1 - (share + (1 - share) * COLLISION)
-    return (F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) < SMALL) | (differ <= filled * allowed)
+    agree = F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch"))
+    filled = F.bit_count(F.col(f"{a}.filled").bitwiseOR(F.col(f"{b}.filled")))
+    share = PERCENT / 100 + (1 - PERCENT / 100) * COLLISION
+    slack = ERRORS * (share * (1 - share)) ** 0.5
+    return agree >= filled * share - F.sqrt(filled) * slack
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One class for each distinct set; its smallest document stands for it.
     classes = stage(
         known.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(
-            F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+            F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("filled", "sketch", "bands", "small"))
         ),
         "classes",
     )
@@ -244,9 +247,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _rarest(classes: DataFrame) -> DataFrame:
+    """``node, n, key``: the rarest shingles of small sets, enough to meet every similar set."""
+    held = stage(classes.select("node", "n", F.explode("small").alias("key")), "small_sets")
+    counts = held.groupBy("key").agg(F.count("*").alias("sets"))
+    ranked = held.join(counts, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("by"))
+    enough = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return ranked.select("node", "n", F.explode(F.slice("by", F.lit(1), enough.cast("int"))).alias("k")).select("node", "n", "k.key")
+
+
 def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links between classes that fix the components of all."""
-    keys = classes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = classes.select("node", "n", F.explode("bands").alias("key")).union(_rarest(classes))
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     keys = stage(keys.join(shared, "key"), "candidate_keys")
     # The centre of a bucket: the member that meets most others over all its buckets.
@@ -256,15 +268,15 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
         F.max(F.struct("meets", -F.col("node"))).alias("top")
     ).select("key", (-F.col("top.col2")).alias("centre"))
     sketches = stage(
-        classes.join(meets.select("node"), "node", "left_semi").select("node", "n", "sketch"), "candidate_sketches"
+        classes.join(meets.select("node"), "node", "left_semi").select("node", "n", "filled", "sketch"), "candidate_sketches"
     )
     starred = (
         keys.join(centres, "key").where("node <> centre")
         .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     )
     first = (
-        starred.join(sketches.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y")), "b")
+        starred.join(sketches.select(F.col("node").alias("a"), F.struct("n", "filled", "sketch").alias("x")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.struct("n", "filled", "sketch").alias("y")), "b")
         .where(_sizes_fit("x", "y") & plausible("x", "y"))
         .select("a", "b")
     )

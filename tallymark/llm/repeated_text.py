@@ -119,8 +119,8 @@ def _piece_batches(batches):
 # --- 3. suffix arrays ---------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Positions of ``text`` in the order of their first ``depth`` bytes or more.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions of ``text`` in the order of their suffixes; no byte of it is 0.
 
     Larsson-Sadakane: suffixes are first ranked by eight bytes; then each round sorts
     those still tied by the rank of the suffix as far ahead as they are known to agree.
@@ -140,7 +140,7 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     rank[order] = group
     known = 8
     tied = _tied_slots(head)
-    while known < depth and len(tied):
+    while len(tied):
         at = order[tied]
         ahead = rank[np.minimum(at + known, size)]
         own = rank[at]
