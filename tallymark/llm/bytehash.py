@@ -105,12 +105,13 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[n
     return hashes, np.searchsorted(start, bounds)
 
 
-def hash_word(word: str) -> int:
-    """The hash that ``word_hashes`` gives this word."""
-    data = np.frombuffer(word.encode(), np.uint8)
+def hash_terms(terms: list[str]) -> np.ndarray:
+    """The hashes that texts give these words."""
+    encoded = [t.encode() for t in terms]
+    end = np.cumsum([len(e) for e in encoded], dtype=np.int64)
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64)
     powers = Powers()
-    one = np.array([len(data)])
-    return int(span_hashes(prefix_sums(data, powers), one - one, one, powers)[0])
+    return span_hashes(prefix_sums(np.frombuffer(b"".join(encoded), np.uint8), powers), start, end, powers)
 
 
 def lower_latin(data: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymark.llm.bytehash import Powers, hash_word, letter_spans, lower_latin, prefix_sums, row_chunks, span_hashes, utf8
+from tallymark.llm.bytehash import Powers, hash_terms, letter_spans, lower_latin, prefix_sums, row_chunks, span_hashes, utf8
 from tallymark.session import stage
 
 WORDS = 20_000
@@ -100,25 +100,25 @@ def fit(docs: DataFrame, usable: Column) -> dict:
     place = {lang: i for i, lang in enumerate(langs)}
     return {
         "langs": langs,
-        "words": _log_shares(words.word, words.lang, words.n, place, hash_word),
+        "words": _log_shares(words.word, words.lang, words.n, place, hashed=True),
         "grams": [
-            _log_shares(own.gram, own.lang, own.n, place, None)
+            _log_shares(own.gram, own.lang, own.n, place, hashed=False)
             for own in (grams[grams["size"] == k] for k in range(1, LONGEST + 1))
         ],
     }
 
 
-def _log_shares(terms, langs, numbers, place, key):
-    """Terms and their log share in each language; as a sorted hash array where ``key`` hashes."""
+def _log_shares(terms, langs, numbers, place, *, hashed: bool):
+    """Terms and their log share in each language; as sorted hashes if ``hashed``."""
     names = sorted(set(terms))
     row = {t: i for i, t in enumerate(names)}
     table = np.full((len(names), len(place)), SMOOTHING)
     for term, lang, n in zip(terms, langs, numbers):
         table[row[term], place[lang]] += n
     table = np.log(table / table.sum(axis=0)).astype(np.float32) if len(names) else table
-    if key is None:
+    if not hashed:
         return {t: table[i] for t, i in row.items()}
-    hashes = np.array([key(t) for t in names], np.uint64)
+    hashes = hash_terms(names)
     order = np.argsort(hashes)
     return hashes[order], table[order]
 
