@@ -12,8 +12,8 @@ How hot groups are kept whole without pairing everything with everything:
 * In each bucket of candidates everyone is first compared with one centre, the member
   that shares most buckets with others. What links joins a component.
 * Only members of *different* components in the same bucket are then compared in
-  pairs, with the estimate evaluated inside the join, so none but plausible pairs are
-  produced. Links between members of one component would not change it.
+  pairs. Estimate and verification are part of the join, so none but links are produced.
+  Links between members of one component would not change it.
 
 Sets below ``SMALL`` leave too many registers empty for bands. They use their rarest
 shingles as keys instead: of two sets with a similarity of 0.75, ordered by how many sets
@@ -203,6 +203,29 @@ def _sizes_fit(a: str, b: str) -> Column:
     return low * 100 >= high * PERCENT
 
 
+def _held_elsewhere(sets: DataFrame, undecided: DataFrame) -> DataFrame:
+    """``node, held``: those shingles of a set that some other undecided set holds, too.
+
+    Two sets share what they share within these. Most undecided documents only have a
+    passage in common with others, and edits leave shingles that nobody else has, so
+    these parts are short. Sets that hold too few of them for any link are left out.
+    """
+    loose = sets.join(undecided.select("node").distinct(), "node", "left_semi").select(
+        "node", F.size("shingles").alias("n"), F.explode("shingles").alias("h")
+    )
+    common = loose.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
+    held = loose.join(common.select("h"), "h", "left_semi").groupBy("node", "n").agg(F.collect_list("h").alias("held"))
+    return held.where(F.size("held") * 100 >= F.col("n") * PERCENT).select("node", "held")
+
+
+def _held_similar(a: str, b: str) -> Column:
+    """Whether two sets are similar enough, by the shingles that matter; exact."""
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    most = F.least(F.size(f"{a}.held"), F.size(f"{b}.held"))
+    common = F.size(F.array_intersect(f"{a}.held", f"{b}.held"))
+    return (most * 100 >= (total - most) * PERCENT) & plausible(a, b) & (common * 100 >= (total - common) * PERCENT)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
@@ -294,16 +317,14 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
         .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_keys = stage(
-        placed.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "open_keys"
-    )
+    undecided = placed.join(mixed.select("key"), "key", "left_semi")
+    open_keys = stage(undecided.join(_held_elsewhere(sets, undecided), "node").join(sketches, "node"), "open_keys")
     rest = open_keys.alias("x").join(
         open_keys.alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.component") != F.col("y.component"))
         & _sizes_fit("x", "y")
-        & plausible("x", "y"),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(starred, ["a", "b"], "left_anti")
-    return links.union(stage(verified(rest, sets), "links_between"))
+        & _held_similar("x", "y"),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return links.union(stage(rest.distinct(), "links_between"))

@@ -38,7 +38,7 @@ RULES = (
 DAMPING = 0.85
 ITERATIONS = 15
 WRITTEN = 5
-LIMIT = 0.5
+LIMIT = 0.25
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"://([^/?#]*)([^?#]*)"
