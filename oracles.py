@@ -411,6 +411,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT year, industry_aggregation_nzsioc, industry_code_nzsioc,
                    CASE variable_code WHEN 'H01' THEN 'M1' WHEN 'H23' THEN 'M2' ELSE 'M3' END AS metric_id,
                    record_id, ingestion_id FROM silver WHERE variable_code IN ('H01', 'H23', 'H40')""",
+        "gold_lineage": TO_GOLD + f"""
+            , records AS (SELECT {IDENTITY}, record_id, ingestion_id,
+                CASE variable_code WHEN 'H01' THEN 1 WHEN 'H23' THEN 2 ELSE 3 END AS number
+                FROM silver WHERE variable_code IN ('H01', 'H23', 'H40')),
+            roles AS (
+                SELECT *, 'M' || number AS metric_id, 'current' AS role FROM records
+                UNION ALL SELECT *, 'M' || (number + 3), 'current' FROM records
+                UNION ALL SELECT * REPLACE (year + 1 AS year), 'M' || (number + 3), 'prior' FROM records)
+            SELECT metric_record_id, metric_id, role, record_id, ingestion_id
+            FROM roles JOIN (SELECT metric_record_id, metric_id, {IDENTITY} FROM gold)
+            USING (metric_id, {IDENTITY})""",
         "metric_status_counts": TO_GOLD + """
             SELECT metric_id, metric_status, count(*) AS rows FROM gold GROUP BY ALL""",
         "level_counts": TO_GOLD + """
@@ -439,6 +450,16 @@ def oracle_sql() -> dict[str, str]:
                    string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR))
                        AS available_years
             FROM gold GROUP BY ALL""",
+        "catalogue_filtered": TO_GOLD + """
+            SELECT DISTINCT industry_code_nzsioc AS industry_code, industry_name_nzsioc AS industry_name,
+                   industry_aggregation_nzsioc AS aggregation_level, '2000' AS available_years
+            FROM gold WHERE year = 2000 AND industry_aggregation_nzsioc = 'Level 3'""",
+        "performance_sql": TO_GOLD + f"""
+            SELECT {SERVED} FROM gold WHERE industry_code_nzsioc = 'ASIA' AND year = 2000
+              AND industry_aggregation_nzsioc = 'Level 1'""",
+        "trend_sql": TO_GOLD + f"""
+            SELECT {SERVED} FROM gold WHERE industry_code_nzsioc = 'EUROPE' AND metric_id = 'M5'
+              AND industry_aggregation_nzsioc = 'Level 1' AND year BETWEEN 1996 AND 2001""",
         "industry_performance": TO_GOLD + f"""
             SELECT {SERVED} FROM gold WHERE industry_code_nzsioc = 'ASIA' AND year = 2000
               AND industry_aggregation_nzsioc = 'Level 1'""",

@@ -43,14 +43,19 @@ def release_ambiguity(history: DataFrame) -> DataFrame:
     )
 
 
-def require_unambiguous(history: DataFrame) -> None:
-    """Raise when some key has no single current artifact (runs one job)."""
-    ambiguous = release_ambiguity(history).count()
+def require_unambiguous(history: DataFrame) -> int:
+    """How many rows are current; raise when a key has no single current artifact (one job)."""
+    found = current_releases(history).agg(
+        F.count_distinct(F.when(F.col("competing_releases") > 1, F.struct(*OBSERVATION_KEY))).alias("ambiguous"),
+        F.coalesce(F.sum("observation_rows"), F.lit(0)).alias("rows"),
+    ).first()
+    ambiguous = found["ambiguous"]
     if ambiguous:
         raise AmbiguousReleaseError(
             f"{ambiguous} observation(s) have several artifacts with the greatest "
             "dataset_year; dataset_version text does not order releases."
         )
+    return found["rows"]
 
 
 def select_current(
@@ -58,7 +63,6 @@ def select_current(
     *,
     with_counts: bool = False,
     hot_min_rows: int = HOT_MIN_ROWS,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Rows of the current release of every key; every other row is history.
 
@@ -72,6 +76,5 @@ def select_current(
         "observation_rows",
         required=True,
         hot_min_rows=hot_min_rows,
-        total_rows=total_rows,
     )
     return selected if with_counts else selected.drop("observation_rows")

@@ -16,16 +16,12 @@ from tallymark.contracts import (
     VALUE_TYPE,
     Metric,
 )
-from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts, has_repeats
 from tallymark.functions.text import quoted, quoted_list
 from tallymark.operators.bronze import iso_instant
 from tallymark.operators.schema_check import EXACT, check_schema
 
-# A repeated observation has no usable value, but its lineage lists every record.
-# Up to this many records per metric are listed in the metric row itself; any number
-# of them is available, one row per record, from ``metric_lineage``.
-INLINE_LINEAGE = 10_000
-
+# A metric row names its record where there is one. A repeated observation has no usable
+# value and any number of records: those are listed, one row each, by ``gold_lineage``.
 _LINEAGE = {
     "record_ids": "record_id",
     "ingestion_ids": "ingestion_id",
@@ -41,22 +37,13 @@ def build_gold(
     *,
     fingerprint: str,
     processed_at: datetime,
-    repeated_inputs: bool = True,
-    inline_lineage: int = INLINE_LINEAGE,
-    hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Six metric rows (M1-M6) per observed industry and year, each with a status.
 
-    Pass ``repeated_inputs=False`` only after :func:`has_repeated_inputs` found none;
-    Silver is then read and aggregated once.
+    Silver is read and aggregated once.
     """
     check_schema(silver, SILVER_TYPES, EXACT, "Silver")
-    direct = direct_inputs(
-        silver,
-        repeated_inputs=repeated_inputs,
-        inline_lineage=inline_lineage,
-        hot_min_rows=hot_min_rows,
-    )
+    direct = direct_inputs(silver)
     # A gap in the years is never bridged: the frame holds exactly the year before.
     previous_year = (
         Window.partitionBy("industry_aggregation_nzsioc", "industry_code_nzsioc")
@@ -83,23 +70,12 @@ def build_gold(
     return metric_rows.selectExpr(*[f"{gold.get(name, name)} AS {name}" for name in GOLD_TYPES])
 
 
-def has_repeated_inputs(silver: DataFrame) -> bool:
-    """Whether some metric input is found on several rows (runs one narrow job)."""
-    return has_repeats(_input_rows(silver), (*IDENTITY, "variable_code"))
-
-
-def direct_inputs(
-    silver: DataFrame,
-    *,
-    repeated_inputs: bool = True,
-    inline_lineage: int = INLINE_LINEAGE,
-    hot_min_rows: int = HOT_MIN_ROWS,
-) -> DataFrame:
+def direct_inputs(silver: DataFrame) -> DataFrame:
     """One row per industry and year with a struct per direct metric.
 
     Each struct has ``status``, ``value``, ``record_ids``, ``ingestion_ids`` and
     ``sha256s``. All three metrics come from one aggregation that combines map-side
-    and keeps a single record per metric; repeated observations are looked up apart.
+    and keeps a single record per metric.
     """
     aggregates = [
         "count(*) AS _rows",
@@ -125,48 +101,15 @@ def direct_inputs(
             f"min(CASE WHEN {selected} THEN {record} END) AS _record_{metric.direct_id}",
         ]
     grouped = silver.groupBy(*IDENTITY).agg(*map(F.expr, aggregates))
-    if repeated_inputs:
-        repeated = repeated_lineage(silver, inline_lineage, hot_min_rows).selectExpr(
-            *[f"{name} AS _r_{name}" for name in IDENTITY],
-            *[f"_repeated_{metric.direct_id}" for metric in METRICS],
-        )
-        same = " AND ".join(f"{name} = _r_{name}" for name in IDENTITY)
-        grouped = grouped.join(repeated, F.expr(same), "left")
     return grouped.selectExpr(
         *IDENTITY,
         "industry_name_nzsioc",
         "industry_code_anzsic06",
         "silver_input_fingerprints",
-        *[f"{_direct_struct(m, repeated_inputs)} AS {m.direct_id}" for m in METRICS],
+        *[f"{_direct_struct(m)} AS {m.direct_id}" for m in METRICS],
     )
 
 
-def repeated_lineage(
-    silver: DataFrame, inline_lineage: int = INLINE_LINEAGE, hot_min_rows: int = HOT_MIN_ROWS
-) -> DataFrame:
-    """Lineage sets of metric inputs found on several rows, per industry and year.
-
-    Group sizes come first, so only groups of at most ``inline_lineage`` rows are ever
-    collected; larger ones are left to :func:`metric_lineage`.
-    """
-    keys = (*IDENTITY, "variable_code")
-    rows = _input_rows(silver).select(*keys, *_LINEAGE.values())
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    listed = attach_group_facts(
-        rows, sizes, keys, "_size", required=True, hot_min_rows=hot_min_rows
-    ).where(f"_size <= {inline_lineage}")
-
-    def sets(metric: Metric) -> str:
-        fields = ", ".join(
-            f"""{quoted(name)}, sort_array(collect_set(
-                CASE WHEN variable_code = {quoted(metric.variable_code)} THEN {source} END))"""
-            for name, source in _LINEAGE.items()
-        )
-        return f"named_struct({fields}) AS _repeated_{metric.direct_id}"
-
-    return listed.groupBy(*IDENTITY).agg(*[F.expr(sets(metric)) for metric in METRICS])
-
-
 def metric_lineage(silver: DataFrame) -> DataFrame:
     """Every record behind every direct metric, one row each (no shuffle, no limit).
 
@@ -182,12 +125,38 @@ def metric_lineage(silver: DataFrame) -> DataFrame:
     )
 
 
+def gold_lineage(silver: DataFrame, gold: DataFrame) -> DataFrame:
+    """``metric_record_id, metric_id, role`` and the record behind it, for all six metrics.
+
+    A direct metric has its records in role ``current``; a change also those of the year
+    before, as ``prior``. AQE splits a metric that very many records stand behind. Metric ids are computed, so Gold only says which of them exist.
+    """
+    changes = " ".join(f"WHEN {quoted(m.direct_id)} THEN {quoted(m.change_id)}" for m in METRICS)
+    change = f"CASE metric_id {changes} END"
+    roles = f"""array(
+        struct(year AS year, metric_id AS metric_id, 'current' AS role),
+        struct(year AS year, {change} AS metric_id, 'current' AS role),
+        struct(year + 1 AS year, {change} AS metric_id, 'prior' AS role))"""
+    rows = metric_lineage(silver).selectExpr(
+        f"inline({roles}) AS (metric_year, of_metric, role)",
+        "industry_aggregation_nzsioc AS level", "industry_code_nzsioc AS code", *_LINEAGE.values(),
+    )
+    owners = gold.selectExpr(
+        "metric_record_id", "metric_id", "year AS metric_year", "industry_aggregation_nzsioc AS level",
+        "industry_code_nzsioc AS code",
+    )
+    named = rows.withColumnRenamed("of_metric", "metric_id")
+    return named.join(owners, ["metric_year", "level", "code", "metric_id"]).select(
+        "metric_record_id", "metric_id", "role", *_LINEAGE.values()
+    )
+
+
 def _input_rows(silver: DataFrame) -> DataFrame:
     codes = quoted_list(metric.variable_code for metric in METRICS)
     return silver.where(f"variable_code IN ({codes}) AND {COMPLETE_IDENTITY}")
 
 
-def _direct_struct(metric: Metric, repeated_inputs: bool) -> str:
+def _direct_struct(metric: Metric) -> str:
     """Status, value and lineage of one direct metric, from the grouped columns."""
     record = f"_record_{metric.direct_id}"
     # An identity with a null part is never matched to a source record.
@@ -205,11 +174,8 @@ def _direct_struct(metric: Metric, repeated_inputs: bool) -> str:
         WHEN {record}.value_status = 'PUBLISHED' AND {record}.is_valid
             AND {record}.value_numeric IS NOT NULL THEN 'PUBLISHED'
         ELSE 'INVALID_VALUE' END"""
-    listed = f"_repeated_{metric.direct_id}." if repeated_inputs else None
     lineage = ", ".join(
-        f"""{quoted(name)}, CASE
-            WHEN {n} = 1 THEN array_compact(array({record}.{source}))
-            WHEN {n} > 1 THEN coalesce({listed + name if listed else 'NULL'}, {NO_STRINGS})
+        f"""{quoted(name)}, CASE WHEN {n} = 1 THEN array_compact(array({record}.{source}))
             ELSE {NO_STRINGS} END"""
         for name, source in _LINEAGE.items()
     )

@@ -26,7 +26,7 @@ from tallymark.functions.hashing import (
 )
 from tallymark.operators.bronze import ArtifactMetadata, iso_instant, to_bronze
 from tallymark.operators.current_view import require_unambiguous
-from tallymark.operators.gold import build_gold, has_repeated_inputs
+from tallymark.operators.gold import build_gold
 from tallymark.operators.planning import incremental_plan
 from tallymark.operators.quality import quality_checks, quality_summary
 from tallymark.operators.revision import (
@@ -78,7 +78,11 @@ class Warehouse:
             ArtifactRegistry(PathStore(spark, f"{root}/artifacts", fmt)),
             BronzeTable(PathStore(spark, f"{root}/bronze", fmt)),
             SnapshotTable(spark, f"{root}/silver", SILVER_TYPES, fmt),
-            SnapshotTable(spark, f"{root}/gold", GOLD_TYPES, fmt),
+            SnapshotTable(
+                spark, f"{root}/gold", GOLD_TYPES, fmt,
+                partition="metric_id",
+                sort=("industry_aggregation_nzsioc", "year", "industry_code_nzsioc"),
+            ),
             PathStore(spark, f"{root}/quality", "json"),
             PathStore(spark, f"{root}/revisions", "json"),
         )
@@ -157,21 +161,20 @@ def store_bronze(warehouse: Warehouse, ingestion: Ingestion) -> AppendResult:
 def refresh_silver(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotResult:
     """Rebuild Silver from Bronze unless it already has this input's fingerprint."""
     history = warehouse.bronze.require()
-    require_unambiguous(history)
+    selected = require_unambiguous(history)
     fingerprint = silver_fingerprint_of(
         (row.ingestion_id, row.source_sha256) for row in warehouse.bronze.artifacts().collect()
     )
     if warehouse.silver.is_current(fingerprint, SILVER_SCHEMA_VERSION):
-        return warehouse.silver.reuse(fingerprint)
+        return warehouse.silver.reuse(fingerprint, selected)
     silver = build_silver(
         history,
         fingerprint=fingerprint,
         processed_at=clock(),
         many_artifacts=warehouse.bronze.has_many_artifacts(),
         repeated_numbers=has_repeated_numbers(history),
-        total_rows=history.count(),
     )
-    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION)
+    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION, selected)
 
 
 def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotResult:
@@ -186,7 +189,6 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
         silver,
         fingerprint=fingerprint,
         processed_at=clock(),
-        repeated_inputs=has_repeated_inputs(silver),
     )
     return warehouse.gold.publish(gold, fingerprint, GOLD_SCHEMA_VERSION)
 
@@ -201,9 +203,13 @@ def assess_quality(warehouse: Warehouse, *, clock: Clock = utc_now) -> dict:
     summary = quality_summary(silver, checks).first().asDict()
     stamp = iso_instant(clock())
     columns = [F.lit(value).alias(name) for name, value in summary.items()]
-    report = checks.select(F.lit(stamp).alias("generated_at"), "*", *columns)
+    failures = silver.select(F.explode("validation_rule_ids").alias("rule")).groupBy("rule").count()
+    # At most one row per rule of the contract.
+    failed = {row["rule"]: row["count"] for row in failures.collect()}
+    spread = F.lit(json.dumps(failed, sort_keys=True)).alias("failure_distribution")
+    report = checks.select(F.lit(stamp).alias("generated_at"), "*", *columns, spread)
     warehouse.quality.write(report.coalesce(1), "append")
-    return {"generated_at": stamp, **summary}
+    return {"generated_at": stamp, **summary, "failure_distribution": failed}
 
 
 @dataclass(frozen=True)
@@ -246,9 +252,10 @@ def plan_load(warehouse: Warehouse, ingestion: Ingestion) -> DataFrame:
             warehouse.silver.fingerprints() if warehouse.silver.exists() else nothing
         ),
         gold_fingerprints=warehouse.gold.fingerprints() if warehouse.gold.exists() else nothing,
+        # A stored artifact is not compared again: its rows are in the history already.
         overlap=(
             overlap_and_change(ingestion.bronze_rows, warehouse.bronze.read())
-            if stored
+            if stored and not warehouse.bronze.rows_of(ingestion.metadata.ingestion_id)
             else no_overlap
         ),
     )

@@ -6,11 +6,9 @@ its idempotency key; a snapshot becomes visible only when its pointer is written
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +28,10 @@ class PathStore:
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
 
     def exists(self) -> bool:
-        try:
-            self.spark.read.format(self.fmt).load(self.path)
-        except AnalysisException:
-            return False
-        return True
+        """Whether the folder is there, asked of its file system; no file is read."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, schema: str | None = None) -> DataFrame:
         reader = self.spark.read.format(self.fmt)
@@ -160,9 +157,11 @@ class SnapshotTable:
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, types: dict[str, str], fmt: str = "parquet"
+        self, spark: SparkSession, path: str, types: dict[str, str], fmt: str = "parquet",
+        *, partition: str | None = None, sort: tuple[str, ...] = (),
     ) -> None:
         self.spark, self.path, self.types, self.fmt = spark, path.rstrip("/"), types, fmt
+        self.partition, self.sort = partition, sort
         self.pointers = PathStore(spark, f"{self.path}/pointers", "json")
 
     def history(self) -> DataFrame:
@@ -171,7 +170,7 @@ class SnapshotTable:
     def pointer(self):
         if not self.pointers.exists():
             return None
-        return self.history().orderBy(F.desc("published")).first()
+        return self.history().orderBy(F.desc("published"), F.desc("location")).first()
 
     def exists(self) -> bool:
         return self.pointer() is not None
@@ -184,6 +183,7 @@ class SnapshotTable:
             self.spark.read.format(self.fmt)
             .schema(struct_type(self.types))
             .load(f"{self.path}/{current['location']}")
+            .select(*self.types)
         )
 
     def require(self, what: str) -> DataFrame:
@@ -203,29 +203,39 @@ class SnapshotTable:
             and current["schema_version"] == schema_version
         )
 
-    def reuse(self, fingerprint: str) -> SnapshotResult:
+    def reuse(self, fingerprint: str, expected_rows: int | None = None) -> SnapshotResult:
         """The published snapshot, after checking that it is complete."""
         rows, stated = self.read().count(), self.pointer()["rows"]
-        if rows != stated:
-            raise IntegrityError(f"{self.path} holds {rows} rows, expected {stated}.")
+        if rows != stated or expected_rows not in (None, rows):
+            raise IntegrityError(f"{self.path} holds {rows} rows, stated {stated}, expected {expected_rows}.")
         return SnapshotResult(fingerprint, rows, True)
 
-    def publish(self, frame: DataFrame, fingerprint: str, schema_version: str) -> SnapshotResult:
+    def publish(
+        self, frame: DataFrame, fingerprint: str, schema_version: str, expected_rows: int | None = None
+    ) -> SnapshotResult:
         """Replace the snapshot unless the same fingerprint is already published.
 
-        Rows are counted as they are written and compared with what is stored.
+        Rows are counted as they are written and compared with what is stored, and with
+        the ``expected_rows`` of the input where the caller has them.
         """
         if self.is_current(fingerprint, schema_version):
-            return self.reuse(fingerprint)
+            return self.reuse(fingerprint, expected_rows)
         location = f"snapshots/snapshot={fingerprint}/{uuid.uuid4().hex}"
         target = f"{self.path}/{location}"
         written = Observation()
         observed = frame.observe(written, F.count(F.lit(1)).alias("rows"))
-        observed.write.format(self.fmt).mode("errorifexists").save(target)
+        if self.partition:
+            # Readers of one partition value skip the others, and the sort lets them skip
+            # row groups by the statistics of what they look up.
+            observed = observed.repartition(self.partition, *self.sort[:1]).sortWithinPartitions(self.partition, *self.sort)
+        writer = observed.write.format(self.fmt).mode("errorifexists")
+        (writer.partitionBy(self.partition) if self.partition else writer).save(target)
         rows = self.spark.read.format(self.fmt).load(target).count()
-        if rows != written.get["rows"]:
-            raise IntegrityError(f"{target} holds {rows} rows of {written.get['rows']}.")
-        pointer = (fingerprint, schema_version, rows, location, time.time_ns())
+        if rows != written.get["rows"] or expected_rows not in (None, rows):
+            raise IntegrityError(f"{target} holds {rows} rows of {written.get['rows']}, expected {expected_rows}.")
+        last = self.pointer()
+        # Pointers are numbered: a clock set back cannot hide a newer snapshot.
+        pointer = (fingerprint, schema_version, rows, location, 1 + (last["published"] if last else 0))
         self.pointers.write(self.spark.createDataFrame([pointer], _POINTER).coalesce(1), "append")
         return SnapshotResult(fingerprint, rows, False)
 
@@ -256,14 +266,22 @@ class CatalogSnapshot:
         stored = self.read().select(self.fingerprint_column, self.version_column).distinct()
         return [tuple(row) for row in stored.take(2)] == [(fingerprint, schema_version)]
 
-    def reuse(self, fingerprint: str) -> SnapshotResult:
-        return SnapshotResult(fingerprint, self.read().count(), True)
+    def _counted(self, expected_rows: int | None) -> int:
+        rows = self.read().count()
+        if expected_rows not in (None, rows):
+            raise IntegrityError(f"{self.store.name} holds {rows} rows, expected {expected_rows}.")
+        return rows
+
+    def reuse(self, fingerprint: str, expected_rows: int | None = None) -> SnapshotResult:
+        return SnapshotResult(fingerprint, self._counted(expected_rows), True)
 
-    def publish(self, frame: DataFrame, fingerprint: str, schema_version: str) -> SnapshotResult:
+    def publish(
+        self, frame: DataFrame, fingerprint: str, schema_version: str, expected_rows: int | None = None
+    ) -> SnapshotResult:
         if self.is_current(fingerprint, schema_version):
-            return self.reuse(fingerprint)
+            return self.reuse(fingerprint, expected_rows)
         self.store.write(frame, "overwrite", overwriteSchema="true")
-        return SnapshotResult(fingerprint, self.read().count(), False)
+        return SnapshotResult(fingerprint, self._counted(expected_rows), False)
 
 
 class ArtifactRegistry:

@@ -10,7 +10,7 @@ from tallymark.errors import SchemaContractError
 from tallymark.operators.audit import audit_gold, mixed_definitions
 from tallymark.operators.gold import (
     build_gold,
-    has_repeated_inputs,
+    gold_lineage,
     metric_lineage,
     metric_status_counts,
 )
@@ -22,7 +22,6 @@ from tallymark.session import stage
 def gold_of(bronze):
     def build(rows, **options):
         silver = stage(to_silver(bronze(rows), fingerprint="F", processed_at=NOW), "silver")
-        options.setdefault("repeated_inputs", has_repeated_inputs(silver))
         return build_gold(silver, fingerprint="G", processed_at=NOW, **options)
 
     return build
@@ -96,19 +95,24 @@ def test_statuses(gold_of):
     assert all((r.metric_value is not None) == (r.metric_status == "PUBLISHED") for r in gold.values())
 
 
-@pytest.mark.parametrize("hot_min_rows", [1, 1_000_000])
-def test_lineage_of_repeated_records(gold_of, bronze, hot_min_rows):
-    rows = [cell("DUP", 2025, "1") for _ in range(4)] + [cell("ONE", 2025, "1")]
+def test_lineage_of_repeated_records(gold_of, bronze):
+    """A row per record behind each metric, of one year and the next; none in the metric row."""
+    rows = [cell("DUP", 2025, "1") for _ in range(4)] + [cell("DUP", 2026, "3"), cell("ONE", 2025, "1")]
     every = [f"{SHA_A}:{n}" for n in range(1, 5)]
-    listed = values(gold_of(rows, hot_min_rows=hot_min_rows))["DUP", 2025, "M1"]
-    assert listed.source_silver_record_ids == every
-    assert listed.source_ingestion_ids == [SHA_A]
-    beyond = values(gold_of(rows, inline_lineage=3))["DUP", 2025, "M1"]
-    assert (beyond.source_silver_record_ids, beyond.metric_status) == ([], "INVALID_DUPLICATE")
+    gold = gold_of(rows)
+    by_key = values(gold)
+    repeated, one = by_key["DUP", 2025, "M1"], by_key["ONE", 2025, "M1"]
+    assert (repeated.source_silver_record_ids, repeated.metric_status) == ([], "INVALID_DUPLICATE")
+    assert one.source_silver_record_ids == [f"{SHA_A}:6"]
     silver = to_silver(bronze(rows), fingerprint="F", processed_at=NOW)
-    full = metric_lineage(silver).where("industry_code_nzsioc = 'DUP'").collect()
-    assert sorted(r.record_id for r in full) == every
-    assert {r.metric_id for r in full} == {"M1"}
+    assert sorted(r.record_id for r in metric_lineage(silver).where("year = 2025 AND industry_code_nzsioc = 'DUP'").collect()) == every
+    listed = {}
+    for r in gold_lineage(silver, gold).collect():
+        listed.setdefault((r.metric_record_id, r.role), []).append(r.record_id)
+    assert sorted(listed[repeated.metric_record_id, "current"]) == every
+    assert sorted(listed[by_key["DUP", 2026, "M4"].metric_record_id, "prior"]) == every
+    assert listed[by_key["DUP", 2026, "M4"].metric_record_id, "current"] == [f"{SHA_A}:5"]
+    assert (one.metric_record_id, "prior") not in listed
 
 
 def test_mixed_rename_takes_all_values_away(gold_of, bronze):

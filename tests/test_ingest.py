@@ -93,11 +93,13 @@ def test_folder_of_artifacts(spark, tmp_path):
     assert len({r.source_sha256 for r in rows}) == 2
 
 
-def test_large_files_are_hashed_as_a_stream(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv_artifact, "WHOLE_FILE_BYTES", 10)
+def test_files_beyond_the_reader_are_refused(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "a.csv", line())
     expected = hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest().upper()
     assert [r.source_sha256 for r in artifact_digests(spark, path).collect()] == [expected]
+    monkeypatch.setattr(csv_artifact, "WHOLE_FILE_BYTES", 10)
+    with pytest.raises(SourceArtifactError):
+        artifact_digests(spark, path)
 
 
 def test_timestamps_need_an_offset():
