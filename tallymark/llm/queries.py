@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, decontamination, language, lattice, mixing, near_duplicates, pii, repeated_text, toxicity, url_trust
+from tallymark.llm import chat, decontamination, language, lattice, mixing, near_duplicates, oracles, pii, repeated_text, toxicity, url_trust
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -100,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
