@@ -203,19 +203,19 @@ def _sizes_fit(a: str, b: str) -> Column:
     return low * 100 >= high * PERCENT
 
 
-def _held_elsewhere(sets: DataFrame, undecided: DataFrame) -> DataFrame:
-    """``node, held``: those shingles of a set that some other undecided set holds, too.
+def _held_elsewhere(sets: DataFrame, sketches: DataFrame, undecided: DataFrame) -> DataFrame:
+    """``sketches`` with ``held``: those shingles of a set that some other undecided set holds, too.
 
     Two sets share what they share within these. Most undecided documents only have a
     passage in common with others, and edits leave shingles that nobody else has, so
     these parts are short. Sets that hold too few of them for any link are left out.
     """
     loose = sets.join(undecided.select("node").distinct(), "node", "left_semi").select(
-        "node", F.size("shingles").alias("n"), F.explode("shingles").alias("h")
+        "node", F.explode("shingles").alias("h")
     )
     common = loose.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
-    held = loose.join(common.select("h"), "h", "left_semi").groupBy("node", "n").agg(F.collect_list("h").alias("held"))
-    return held.where(F.size("held") * 100 >= F.col("n") * PERCENT).select("node", "held")
+    held = loose.join(common.select("h"), "h", "left_semi").groupBy("node").agg(F.collect_list("h").alias("held"))
+    return held.join(sketches, "node").where(F.size("held") * 100 >= F.col("n") * PERCENT)
 
 
 def _held_similar(a: str, b: str) -> Column:
@@ -318,7 +318,8 @@ def _links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     undecided = placed.join(mixed.select("key"), "key", "left_semi")
-    open_keys = stage(undecided.join(_held_elsewhere(sets, undecided), "node").join(sketches, "node"), "open_keys")
+    # Read once for both sides of the join that follows, so it is not written.
+    open_keys = undecided.join(stage(_held_elsewhere(sets, sketches, undecided), "undecided_sets"), "node")
     rest = open_keys.alias("x").join(
         open_keys.alias("y"),
         (F.col("x.key") == F.col("y.key"))
