@@ -224,6 +224,20 @@ def validation_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return silver.failure_distribution(_silver(spark, folder))
 
 
+def flawed_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Failures by rule of a release in which every row rule is broken somewhere."""
+    return silver.failure_distribution(_to_silver(stage(commerce.flawed_release(spark, folder), "flawed")))
+
+
+def flawed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each row of that release."""
+    return _to_silver(stage(commerce.flawed_release(spark, folder), "flawed")).selectExpr(
+        "record_id", "year", "value_status", "CAST(value_numeric AS DOUBLE) AS value_numeric", "record_status",
+        "array_join(validation_rule_ids, ',') AS validation_rule_ids",
+        "size(validation_failure_reasons) AS reasons",
+    )
+
+
 def value_status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return silver.status_counts(_silver(spark, folder))
 
@@ -570,7 +584,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         raw_observations, bronze_profile, release_ambiguity, value_typing, row_validation,
         validation_distribution, value_status_counts, silver_snapshot, quality_report,
         quality_summary, direct_metrics, derived_metrics, gold_metrics, metric_lineage,
-        gold_lineage, catalogue_filtered, performance_sql, trend_sql,
+        flawed_distribution, flawed_rows, gold_lineage, catalogue_filtered, performance_sql, trend_sql,
         metric_status_counts, level_counts, mixed_definitions, rank_whole_partitions,
         benchmark_query, benchmark_sql, served_benchmark, industry_catalogue,
         industry_performance, industry_trend, trend_magnitudes, published_coverage,

@@ -108,6 +108,55 @@ ranked AS (
 )"""
 
 
+# A release with flaws on some rows of every kind, and each rule as its own condition.
+FLAWED = rf"""
+numbered AS (SELECT *, source_row_number % 97 AS m, 'x' AS sha FROM bronze WHERE release = 'R1'),
+flawed AS (
+    SELECT CASE m WHEN 1 THEN '' WHEN 2 THEN '20x5' ELSE Year END AS y,
+           CASE m WHEN 3 THEN '' WHEN 4 THEN 'Level 2' ELSE Industry_aggregation_NZSIOC END AS lvl,
+           CASE m WHEN 5 THEN '' WHEN 15 THEN 'TWICE' ELSE Industry_code_NZSIOC END AS code,
+           CASE m WHEN 6 THEN ' ' ELSE Industry_name_NZSIOC END AS name,
+           CASE m WHEN 7 THEN '' ELSE Industry_code_ANZSIC06 END AS anzsic,
+           CASE m WHEN 8 THEN '' ELSE Variable_code END AS v,
+           CASE m WHEN 9 THEN '' WHEN 12 THEN 'Other income' ELSE Variable_name END AS vname,
+           CASE m WHEN 10 THEN '' ELSE Variable_category END AS vcat,
+           CASE m WHEN 11 THEN '' ELSE Units END AS un,
+           CASE m WHEN 13 THEN ' ' WHEN 14 THEN 'n/a' ELSE Value END AS Value,
+           CASE m WHEN 18 THEN -1 ELSE source_row_number END AS number,
+           CASE m WHEN 19 THEN row_count + 1 ELSE row_count END AS stated,
+           m = 16 AS no_file, m = 17 AS other_sha, ingestion_id
+    FROM numbered
+), facts AS (
+    SELECT *, CASE WHEN trim(Value, ' ') = '' THEN 'UNAVAILABLE' WHEN Value = 'C' THEN 'CONFIDENTIAL'
+                   WHEN Value = 'S' THEN 'SUPPRESSED' WHEN {NUMERIC} THEN 'PUBLISHED' ELSE 'INVALID' END AS status,
+           count(*) OVER (PARTITION BY y, lvl, code, v) AS same_key,
+           count(*) OVER (PARTITION BY number) AS same_number, count(*) OVER () AS stored
+    FROM flawed
+), verdicts AS (
+    SELECT *, list_filter([
+        CASE WHEN y = '' THEN 'YEAR_REQUIRED' END,
+        CASE WHEN y = '20x5' THEN 'YEAR_INVALID_FORMAT' END,
+        CASE WHEN lvl = '' THEN 'INDUSTRY_AGGREGATION_REQUIRED' END,
+        CASE WHEN lvl = 'Level 2' THEN 'INDUSTRY_AGGREGATION_UNEXPECTED' END,
+        CASE WHEN code = '' THEN 'INDUSTRY_CODE_REQUIRED' END,
+        CASE WHEN trim(name) = '' THEN 'INDUSTRY_NAME_REQUIRED' END,
+        CASE WHEN anzsic = '' THEN 'ANZSIC_MAPPING_REQUIRED' END,
+        CASE WHEN v = '' THEN 'VARIABLE_CODE_REQUIRED' END,
+        CASE WHEN vname = '' THEN 'VARIABLE_NAME_REQUIRED' END,
+        CASE WHEN vcat = '' THEN 'VARIABLE_CATEGORY_REQUIRED' END,
+        CASE WHEN un = '' THEN 'UNITS_REQUIRED' END,
+        CASE WHEN vname = 'Other income' THEN 'VARIABLE_DEFINITION_UNEXPECTED' END,
+        CASE WHEN status = 'UNAVAILABLE' THEN 'VALUE_UNAVAILABLE' END,
+        CASE WHEN status = 'INVALID' THEN 'VALUE_INVALID' END,
+        CASE WHEN same_key > 1 THEN 'OBSERVATION_DUPLICATE' END,
+        CASE WHEN no_file THEN 'LINEAGE_REQUIRED' END,
+        CASE WHEN other_sha THEN 'LINEAGE_ID_MISMATCH' END,
+        CASE WHEN number NOT BETWEEN 1 AND stated THEN 'SOURCE_ROW_NUMBER_INVALID' END,
+        CASE WHEN same_number > 1 THEN 'SOURCE_ROW_NUMBER_DUPLICATE' END,
+        CASE WHEN stored <> stated THEN 'SOURCE_ROW_COUNT_MISMATCH' END], lambda x: x IS NOT NULL) AS failed
+    FROM facts)"""
+
+
 def _direct(metric: str, unit: str, code: str, name: str, category: str, units: str) -> str:
     return f"""
     SELECT s.year, s.industry_aggregation_nzsioc, s.industry_code_nzsioc,
@@ -382,6 +431,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT rule_id, count(*) AS rows FROM (
                 SELECT unnest(string_split(failed, ',')) AS rule_id FROM silver WHERE failed <> '')
             GROUP BY rule_id""",
+        "flawed_distribution": _chain(CELLS, FLAWED) + """
+            SELECT rule_id, count(*) AS rows FROM (SELECT unnest(failed) AS rule_id FROM verdicts) GROUP BY rule_id""",
+        "flawed_rows": _chain(CELLS, FLAWED) + """
+            SELECT ingestion_id || ':' || number AS record_id, TRY_CAST(y AS INTEGER) AS year, status AS value_status,
+                   CASE WHEN status = 'PUBLISHED' THEN CAST(replace(Value, ',', '') AS DOUBLE) END AS value_numeric,
+                   CASE WHEN len(failed) = 0 THEN 'VALID' ELSE 'INVALID' END AS record_status,
+                   array_to_string(failed, ',') AS validation_rule_ids, CAST(len(failed) AS INTEGER) AS reasons
+            FROM verdicts""",
         "value_status_counts": TO_SILVER + """
             SELECT value_status, count(*) AS rows FROM silver GROUP BY value_status""",
         "silver_snapshot": TO_SILVER + """

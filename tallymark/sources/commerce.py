@@ -181,3 +181,34 @@ def bronze_history(spark: SparkSession, folder: str) -> DataFrame:
         )
         .select(*BRONZE_COLUMNS)
     )
+
+
+#: What is put in place of a column on rows numbered ``n`` modulo ``FLAW_CYCLE``.
+FLAW_CYCLE = 97
+FLAWS = {
+    "Year": {1: "''", 2: "'20x5'"},
+    "Industry_aggregation_NZSIOC": {3: "''", 4: "'Level 2'"},
+    "Industry_code_NZSIOC": {5: "''", 15: "'TWICE'"},
+    "Industry_name_NZSIOC": {6: "' '"},
+    "Industry_code_ANZSIC06": {7: "''"},
+    "Variable_code": {8: "''"},
+    "Variable_name": {9: "''", 12: "'Other income'"},
+    "Variable_category": {10: "''"},
+    "Units": {11: "''"},
+    "Value": {13: "' '", 14: "'n/a'"},
+    "source_file": {16: "''"},
+    "source_sha256": {17: "repeat('0', 64)"},
+    "row_count": {19: "row_count + 1"},
+    "source_row_number": {18: "-1L"},
+}
+
+
+def flawed_release(spark: SparkSession, folder: str) -> DataFrame:
+    """The older release with rows that break every row rule, in all of its parts."""
+    rows = bronze_history(spark, folder).where("dataset_year = 2025")
+    place = f"source_row_number % {FLAW_CYCLE}"
+    changed = {
+        name: "CASE " + place + " " + " ".join(f"WHEN {n} THEN {value}" for n, value in flaws.items()) + f" ELSE {name} END"
+        for name, flaws in FLAWS.items()
+    }
+    return rows.selectExpr(*(f"{changed.get(name, name)} AS {name}" for name in rows.columns))
