@@ -17,9 +17,9 @@ rows:
    common prefixes of neighbours: a window that shares ``WINDOW`` bytes with a neighbour
    repeats.
 4. *Across shards.* An anchor with more pieces than a shard may hold is dealt over
-   several. Each of those also gives one digest per distinct window, in sorted runs
-   partitioned by digest, and a merge finds by binary search which digests other runs
-   hold too. Other anchors never cross shards.
+   several. Each of those also gives one digest per distinct window, as one sorted run
+   per range of digests, and a merge of a range finds by binary search which digests
+   other runs hold too. Other anchors never cross shards.
 
 Texts are known by a 128-bit digest, so equal texts share their spans. Hashes of content
 are 64 bits, compared within one anchor hash of 64 further bits. The text itself is
@@ -50,7 +50,12 @@ END = 0xFF
 
 PIECE_SCHEMA = "text_id BINARY, anchor BIGINT, content BIGINT, low INT, high INT"
 BODY_SCHEMA = "anchor BIGINT, content BIGINT, parts INT, body BINARY"
-SHARD_SCHEMA = "anchor BIGINT, content BIGINT, at INT, until INT, digest BIGINT, shard BIGINT"
+SHARD_SCHEMA = (
+    "anchor BIGINT, content BIGINT, at INT, until INT, range INT, shard BIGINT, "
+    "digests ARRAY<BIGINT>, anchors ARRAY<BIGINT>, contents ARRAY<BIGINT>, ats ARRAY<INT>"
+)
+#: Expected windows in one range of digests, the unit of a merge.
+RANGE_WINDOWS = 500_000
 
 
 # --- 1. anchors ---------------------------------------------------------------------
@@ -231,32 +236,48 @@ def _runs(piece: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return piece[first], offset[first], offset[last]
 
 
-def _shard_table(key: tuple, table: pa.Table) -> pa.Table:
-    """Repeated windows of one shard as runs, and digests of windows of anchors that cross shards."""
-    one = {(a, c): i for i, (a, c) in enumerate(zip(table.column("anchor").to_pylist(), table.column("content").to_pylist()))}
-    keep = np.array(sorted(one.values()))
-    table = table.take(pa.array(keep))
-    anchor, content = (np.asarray(table.column(n)) for n in ("anchor", "content"))
-    crossing = np.asarray(table.column("parts")) > 1
-    piece, offset, at_piece, at_offset, digest = repeated_windows(table.column("body").to_pylist())
-    piece, first, last = _runs(piece, offset)
-    out = crossing[at_piece]
-    at_piece, at_offset, digest = at_piece[out], at_offset[out], digest[out]
-    # A sorted run: the merge searches it as it comes.
-    order = np.argsort(digest.view(np.int64), kind="stable")
-    at_piece, at_offset, digest = at_piece[order], at_offset[order], digest[order]
-    rows, size = np.concatenate([piece, at_piece]), len(piece)
-    local = np.arange(len(rows)) < size
-    return pa.table(
-        {
-            "anchor": pa.array(anchor[rows]),
-            "content": pa.array(content[rows]),
-            "at": pa.array(np.concatenate([first, at_offset]).astype(np.int32)),
-            "until": pa.array(np.concatenate([last, at_offset]).astype(np.int32)),
-            "digest": pa.array(np.concatenate([np.zeros(size, np.int64), digest.view(np.int64)]), mask=local),
-            "shard": pa.array(np.full(len(rows), key[0].as_py(), np.int64)),
-        }
-    )
+def _shard(ranges: int):
+    """Repeated windows of one shard, and runs of digests for anchors that cross shards."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        one = {ac: i for i, ac in enumerate(zip(table.column("anchor").to_pylist(), table.column("content").to_pylist()))}
+        table = table.take(pa.array(sorted(one.values())))
+        anchor, content = (np.asarray(table.column(n)) for n in ("anchor", "content"))
+        crossing = np.asarray(table.column("parts")) > 1
+        piece, offset, at_piece, at_offset, digest = repeated_windows(table.column("body").to_pylist())
+        piece, first, last = _runs(piece, offset)
+        out = crossing[at_piece]
+        at_piece, at_offset, digest = at_piece[out], at_offset[out], digest[out].view(np.int64)
+        order = np.lexsort((digest, digest % ranges))
+        at_piece, at_offset, digest = at_piece[order], at_offset[order], digest[order]
+        number = np.unique(digest % ranges)
+        cuts = np.append(np.searchsorted(digest % ranges, number), len(digest)).astype(np.int32)
+        local, runs = len(piece), len(number)
+
+        def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            # Rows of local windows have no lists; rows of runs have nothing else.
+            full = pa.ListArray.from_arrays(pa.array(cuts), pa.array(values, kind))
+            return pa.concat_arrays([pa.nulls(local, full.type), full])
+
+        def single(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            return pa.concat_arrays([pa.array(values, kind), pa.nulls(runs, kind)])
+
+        return pa.table(
+            {
+                "anchor": single(anchor[piece], pa.int64()),
+                "content": single(content[piece], pa.int64()),
+                "at": single(first, pa.int32()),
+                "until": single(last, pa.int32()),
+                "range": pa.concat_arrays([pa.nulls(local, pa.int32()), pa.array(number, pa.int32())]),
+                "shard": pa.array(np.full(local + runs, key[0].as_py(), np.int64)),
+                "digests": lists(digest, pa.int64()),
+                "anchors": lists(anchor[at_piece], pa.int64()),
+                "contents": lists(content[at_piece], pa.int64()),
+                "ats": lists(at_offset, pa.int32()),
+            }
+        )
+
+    return run
 
 
 # --- 4. across shards ---------------------------------------------------------------
@@ -288,8 +309,12 @@ def merge_runs(shard: np.ndarray, digest: np.ndarray) -> np.ndarray:
 
 def _merge_table(key: tuple, table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
-    found = merge_runs(np.asarray(table.column("shard")), np.asarray(table.column("digest")))
-    return table.filter(pa.array(found)).select(["anchor", "content", "at", "until"])
+    sizes = np.asarray(table.column("digests").combine_chunks().value_lengths())
+    flat = lambda name: np.asarray(table.column(name).combine_chunks().flatten())
+    found = merge_runs(np.repeat(np.asarray(table.column("shard")), sizes), flat("digests"))
+    at = flat("ats")[found]
+    columns = {"anchor": flat("anchors")[found], "content": flat("contents")[found], "at": at, "until": at}
+    return pa.table({n: pa.array(c) for n, c in columns.items()})
 
 
 # --- the operator --------------------------------------------------------------------
@@ -354,9 +379,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         texts.where(F.octet_length("text") >= WINDOW).select("text_id", "text").mapInArrow(_piece_batches, PIECE_SCHEMA),
         "pieces",
     )
-    anchors = (
+    # Written, so that the join below is of two plain shuffles and AQE can split an anchor
+    # that very many pieces share.
+    anchors = stage(
         pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-        .where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+        .where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")),
+        "anchors",
     )
     shared = stage(pieces.join(anchors, "anchor"), "shared_pieces")
     classes = shared.groupBy("anchor", "content", "mixed").agg(
@@ -378,12 +406,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _sorted_windows(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``anchor, content, at, until``: runs of repeated windows, by suffix arrays in shards."""
     kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    parts = F.ceil(F.col("kinds") / ANCHOR_PIECES)
-    volume = classes.agg(F.sum(F.col("one.high") - F.col("one.low") + WINDOW)).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
+    parts = F.ceil(F.col("kinds") / ANCHOR_PIECES).cast("int")
+    dealt = stage(classes.join(kinds.select("anchor", parts.alias("parts")), "anchor"), "sorted_pieces")
+    windows = F.col("one.high") - F.col("one.low") + 1
+    sums = dealt.agg(
+        F.sum(windows + WINDOW - 1).alias("volume"), F.sum(F.when(F.col("parts") > 1, windows)).alias("crossing")
+    ).first()
+    shards = max(1, -(-(sums["volume"] or 0) // SHARD_BYTES))
+    ranges = 1 + (sums["crossing"] or 0) // RANGE_WINDOWS
     wanted = (
-        classes.join(kinds.select("anchor", parts.cast("int").alias("parts")), "anchor")
-        .groupBy("one.text_id")
+        dealt.groupBy("one.text_id")
         .agg(F.collect_list(F.struct("anchor", "content", "parts", "one.low", "one.high")).alias("wanted"))
     )
     # Of equal texts one is cut.
@@ -392,16 +424,13 @@ def _sorted_windows(texts: DataFrame, classes: DataFrame) -> DataFrame:
     bodies = cut.mapInArrow(_body_batches, BODY_SCHEMA)
     slot = F.xxhash64("anchor", F.pmod("content", F.col("parts").cast("long")))
     found = stage(
-        bodies.withColumn("shard", F.pmod(slot, F.lit(shards))).groupBy("shard").applyInArrow(_shard_table, SHARD_SCHEMA),
+        bodies.withColumn("shard", F.pmod(slot, F.lit(shards))).groupBy("shard").applyInArrow(_shard(ranges), SHARD_SCHEMA),
         "repeated_windows",
     )
-    runs = found.where("digest IS NOT NULL")
-    # Ranges of digests of a bounded expected size.
-    ranges = max(1, runs.count() // 500_000)
-    crossed = runs.withColumn("range", F.pmod("digest", F.lit(ranges))).groupBy("range").applyInArrow(
+    crossed = found.where("range IS NOT NULL").groupBy("range").applyInArrow(
         _merge_table, "anchor BIGINT, content BIGINT, at INT, until INT"
     )
-    return found.where("digest IS NULL").select("anchor", "content", "at", "until").union(crossed)
+    return found.where("range IS NULL").select("anchor", "content", "at", "until").union(crossed)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def test_rules_and_trust(spark):
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule)
         assert verdict is None or rows[i].verdict == verdict
     assert rows[5].verdict == "block"  # most pages of its host are blocked
-    assert rows[9].verdict == "block"  # links to a blocked host only
+    assert rows[9].verdict == "block"  # links to a mostly blocked host only
     assert rows[7].verdict == rows[8].verdict == rows[10].verdict == "allow"
     assert url_trust.verdicts(pages.limit(0)).count() == 0
 
