@@ -109,8 +109,6 @@ SILVER_TYPES = {
 
 LEVELS = ("Level 1", "Level 3", "Level 4")
 
-VALUE_STATUSES = ("PUBLISHED", "CONFIDENTIAL", "SUPPRESSED", "UNAVAILABLE", "INVALID")
-
 # Java's "$" also matches before a final line break, so patterns end in "\z".
 NUMERIC_PATTERN = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\z"
 YEAR_PATTERN = r"^\d{4}\z"
@@ -230,17 +228,6 @@ METRICS = (
 )
 CHANGE_METRIC_IDS = tuple(metric.change_id for metric in METRICS)
 
-METRIC_STATUSES = (
-    "PUBLISHED",
-    "CONFIDENTIAL",
-    "SUPPRESSED",
-    "UNAVAILABLE",
-    "INVALID_DUPLICATE",
-    "INVALID_VALUE",
-    "UNAVAILABLE_INPUT",
-    "NOT_MEANINGFUL_BASE",
-)
-
 GOLD_TYPES = {
     "metric_record_id": "string",
     "year": "int",

@@ -76,10 +76,3 @@ def gold_fingerprint_of(silver_fingerprints: Iterable[str]) -> str:
 
 def revision_id_of(previous_shas: Iterable[str], incoming_sha: str) -> str:
     return sha256_lines([REVISION_VERSION, *sorted(previous_shas), incoming_sha])
-
-
-def release_identity(dataset_year: str, dataset_version: str, source_sha256: str) -> Column:
-    """``year|version|sha`` text naming one release."""
-    return F.concat_ws(
-        "|", F.col(dataset_year).cast("string"), F.col(dataset_version), F.col(source_sha256)
-    )
