@@ -8,7 +8,9 @@ that no label has seen is judged by how it begins.
 Passages: log-odds minus a drift give every token a score that is negative on average.
 One linear scan finds all maximal scoring segments of a document. Under the background
 the best score of n tokens follows an extreme-value law, P(S < x) = exp(-K n e^(-lambda x));
-lambda comes from the token scores of clean documents, K from their best segments. A
+lambda comes from the token scores of clean documents, K from their best segments. The
+law takes tokens as independent, so a token counts for its first ``REPEATS`` occurrences
+in a document; further ones score like unknown words. A
 segment is significant by that law; the document's evidence is the sum of its
 significant segments' log p-values, mapped to 0..1 by a logistic curve.
 
@@ -40,6 +42,8 @@ PRIOR = 2.0
 #: Taken from every token's log-odds.
 DRIFT = 1.0
 SIGNIFICANT = 0.01
+#: Occurrences of one token in a document that may raise a passage's score.
+REPEATS = 2
 
 COUNTS_SCHEMA = "level INT, token BIGINT, parent BIGINT, toxic BIGINT, clean BIGINT"
 CALIBRATION_SCHEMA = "toxic INT, tokens BIGINT, best DOUBLE, tally BIGINT"
@@ -114,7 +118,7 @@ def _count_batches(batches):
                 )
 
 
-def _weigh(model: Model, sums, start, end, powers) -> np.ndarray:
+def _weigh(model: Model, sums, start, end, bounds, powers) -> np.ndarray:
     """Score of every token: its own if known, else that of its longest known stem."""
     words = span_hashes(sums, start, end, powers)
     unique, at, inverse = np.unique(words, return_index=True, return_inverse=True)
@@ -132,7 +136,16 @@ def _weigh(model: Model, sums, start, end, powers) -> np.ndarray:
         hit = known[place] == own
         out[open_[hit]] = model.weights[level][place[hit]]
         open_ = open_[~hit]
-    return out[inverse]
+    weight = out[inverse]
+    raised = np.flatnonzero(weight > 0)
+    row = np.searchsorted(bounds, start[raised], side="right") - 1
+    order = np.lexsort((raised, inverse[raised], row))
+    place, token, row = raised[order], inverse[raised][order], row[order]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+    nth = np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+    weight[place[nth >= REPEATS]] = model.rest
+    return weight
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -201,7 +214,7 @@ def _calibration_batches(model):
             rows: list[tuple[int, int, float, int]] = []
             for low, high, data, bounds in _blocks(batch):
                 start, end, sums = _tokens(data, bounds, powers)
-                weight = _weigh(fitted, sums, start, end, powers)
+                weight = _weigh(fitted, sums, start, end, bounds, powers)
                 first = np.searchsorted(start, bounds)
                 for i in range(high - low):
                     own = weight[first[i] : first[i + 1]]
@@ -294,7 +307,7 @@ def _score_batches(model, names):
         for batch in batches:
             for low, high, data, bounds in _blocks(batch):
                 start, end, sums = _tokens(data, bounds, powers)
-                weight = _weigh(fitted, sums, start, end, powers)
+                weight = _weigh(fitted, sums, start, end, bounds, powers)
                 first = np.searchsorted(start, bounds)
                 evidence, passages = np.zeros(high - low), []
                 for i in range(high - low):
