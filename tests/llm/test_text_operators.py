@@ -131,7 +131,8 @@ def test_mix_meets_targets(spark, monkeypatch):
         own[r.source].append(r)
     expected = filled({s: sum(r.size for r in rs) for s, rs in own.items()})
     for source, rs in own.items():
-        assert {r.target for r in rs} == {pytest.approx(expected[source])}
+        (target,) = {r.target for r in rs}
+        assert target == pytest.approx(expected[source])
         assert abs(sum(r.taken for r in rs) - expected[source]) <= max(r.size for r in rs) / 2 + 1e-6
     again = {(r.doc_id, r.taken) for r in mixing.plan(docs, weights).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
