@@ -44,6 +44,7 @@ from tallymark.operators import (  # noqa: E402
     silver,
 )
 from tallymark.operators.ranking import BenchmarkRequest  # noqa: E402
+from tallymark.plans import runs  # noqa: E402
 from tallymark.plans.runs import Warehouse  # noqa: E402
 from tallymark.session import ensure_checkpoint_dir, stage  # noqa: E402
 from tallymark.sources import commerce  # noqa: E402
@@ -519,12 +520,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def csv_ingest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Observations written as CSV files, each read back as a strict artifact."""
-    path = _scratch(spark, "csv")
+def _write_csv(rows: DataFrame, path: str) -> str:
     (
-        _raw(spark, folder)
-        .select(*RAW_COLUMNS)
+        rows.select(*RAW_COLUMNS)
         .write.option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
@@ -532,11 +530,64 @@ def csv_ingest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    return path
+
+
+def csv_ingest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations written as CSV files, each read back as a strict artifact."""
+    path = _write_csv(_raw(spark, folder), _scratch(spark, "csv"))
     return read_artifacts(spark, path).groupBy(*RAW_COLUMNS).agg(
         F.count(F.lit(1)).alias("copies")
     )
 
 
+def csv_artifact_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Row numbers, counts and digests of CSV artifacts, one row over all files."""
+    path = _write_csv(_raw(spark, folder), _scratch(spark, "csv"))
+    per_file = read_artifacts(spark, path).groupBy("source_file", "source_sha256", "row_count").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("source_row_number").alias("low"),
+        F.max("source_row_number").alias("high"),
+        F.sum("source_row_number").alias("total"),
+    )
+    sound = "rows = row_count AND low = 1 AND high = rows AND total = rows * (rows + 1) DIV 2"
+    return per_file.agg(
+        F.sum("rows").alias("rows"),
+        F.expr(f"count_if(NOT ({sound}))").alias("files_with_wrong_numbers"),
+        F.expr("count_if(NOT source_sha256 RLIKE '^[0-9A-F]{64}$')").alias("files_without_digest"),
+    )
+
+
+def load_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """An initial load, the same artifact again, a revision, and the revision again."""
+    history = _bronze(spark, folder)
+    releases = []
+    for label, year, version in commerce.RELEASES:
+        # A release is one file.
+        rows = history.where(F.col("dataset_year") == year).coalesce(1)
+        path = _write_csv(rows, _scratch(spark, f"release-{label}"))
+        releases.append(runs.Release(path, f"https://releases.example/{label}", year, version))
+    warehouse = Warehouse.at(spark, _scratch(spark, "load-runs"))
+
+    def row(step: int, run: str, status: str, loaded, rejected: int = 0):
+        counts = (loaded.bronze.total_rows if loaded.bronze else 0, *(x.rows if x else 0 for x in (loaded.silver, loaded.gold)))
+        return (step, run, status, *counts, rejected)
+
+    first = runs.run_initial_load(warehouse, releases[0])
+    again = runs.run_incremental(warehouse, releases[0])
+    revised = runs.run_revision(warehouse, releases[1])
+    known = runs.run_revision(warehouse, releases[1])
+    return spark.createDataFrame(
+        [
+            row(1, "initial", "LOADED", first, first.quality["rows_rejected"]),
+            row(2, "incremental", again.status, again.loaded),
+            row(3, "revision", revised.report.overall_result, revised.loaded),
+            row(4, "revision", f"{known.report.overall_result}, known: {str(known.duplicate).lower()}", known.loaded),
+        ],
+        "step INT, run STRING, status STRING, bronze_rows BIGINT, silver_rows BIGINT, gold_rows BIGINT, rejected BIGINT",
+    )
+
+
 def idempotent_append(spark: SparkSession, folder: str) -> DataFrame:
     """Each release appended twice; the second time nothing is inserted."""
     history = _bronze(spark, folder)
@@ -591,7 +642,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         overlap_and_change, revision_counts, value_transitions, previous_releases,
         fingerprints, row_digests, incremental_plan, audit_silver, audit_gold,
         audit_rankings, lineage_audit, string_array_normalise, csv_ingest_roundtrip,
-        idempotent_append, snapshot_rerun,
+        idempotent_append, snapshot_rerun, csv_artifact_facts, load_runs,
     )
     return {
         "current_view": current_rows,

@@ -580,6 +580,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT Year, Industry_aggregation_NZSIOC, Industry_code_NZSIOC, Industry_name_NZSIOC,
                    Units, Variable_code, Variable_name, Variable_category, Value,
                    Industry_code_ANZSIC06, count(*) AS copies FROM bronze GROUP BY ALL""",
+        "csv_artifact_facts": RAW + """
+            SELECT count(*) AS rows, CAST(0 AS BIGINT) AS files_with_wrong_numbers,
+                   CAST(0 AS BIGINT) AS files_without_digest FROM bronze""",
+        "load_runs": TO_SILVER + f"""
+            , older AS (SELECT * FROM bronze WHERE release = 'R1'),
+            facts AS (SELECT
+                (SELECT count(*) FROM older) AS b1, (SELECT count(*) FROM bronze) AS b2,
+                (SELECT count(*) FROM silver) AS s2,
+                (SELECT count(DISTINCT (Year, Industry_aggregation_NZSIOC, Industry_code_NZSIOC)) FROM older) AS i1,
+                (SELECT count(DISTINCT ({IDENTITY})) FROM silver) AS i2,
+                (SELECT {_count("Value NOT IN ('C', 'S') AND NOT " + NUMERIC)} FROM older) AS bad)
+            SELECT CAST(1 AS INTEGER) AS step, 'initial' AS run, 'LOADED' AS status, b1 AS bronze_rows,
+                   b1 AS silver_rows, 6 * i1 AS gold_rows, bad AS rejected FROM facts
+            UNION ALL SELECT 2, 'incremental', 'NO_OP', 0, 0, 0, 0
+            UNION ALL SELECT 3, 'revision', 'APPLIED', b2, s2, 6 * i2, 0 FROM facts
+            UNION ALL SELECT 4, 'revision', 'APPLIED, known: true', 0, 0, 0, 0""",
         "idempotent_append": RAW + """
             , sizes AS (SELECT release, ingestion_id, count(*) AS n FROM bronze GROUP BY ALL),
             steps AS (SELECT ingestion_id, n, sum(n) OVER (ORDER BY release) AS total FROM sizes)
