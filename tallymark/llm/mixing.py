@@ -35,7 +35,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 CAP = 2
 #: Expected documents of one key range.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Quality weights of documents by label: labelled good, labelled bad, unlabelled.
 QUALITY = {1: 2.0, 0: 0.5, None: 1.0}
 
