@@ -9,10 +9,11 @@ Passages: log-odds minus a drift give every token a score that is negative on av
 One linear scan finds all maximal scoring segments of a document. Under the background
 the best score of n tokens follows an extreme-value law, P(S < x) = exp(-K n e^(-lambda x));
 lambda comes from the token scores of clean documents, K from their best segments. The
-law takes tokens as independent, so a token counts for its first ``REPEATS`` occurrences
-in a document; further ones score like unknown words. A
-segment is significant by that law; the document's evidence is the sum of its
-significant segments' log p-values, mapped to 0..1 by a logistic curve.
+law takes tokens as independent, but a word that stands once soon stands again. So the
+k-th occurrence of a word inside one stretch adds a k-th of its score; what stands outside
+the stretch does not matter. A segment has the score of its best stretch, and is
+significant by that law; the document's evidence is the sum of its significant segments'
+log p-values, mapped to 0..1 by a logistic curve.
 
 The classifier is fitted on a bounded sample: ``TRAIN_ROWS`` labelled documents chosen
 by hash, a fifth of them for calibration, and ``MAX_FEATURES`` tokens and stems with
@@ -42,8 +43,6 @@ PRIOR = 2.0
 #: Taken from every token's log-odds.
 DRIFT = 1.0
 SIGNIFICANT = 0.01
-#: Occurrences of one token in a document that may raise a passage's score.
-REPEATS = 2
 
 COUNTS_SCHEMA = "level INT, token BIGINT, parent BIGINT, toxic BIGINT, clean BIGINT"
 CALIBRATION_SCHEMA = "toxic INT, tokens BIGINT, best DOUBLE, tally BIGINT"
@@ -118,8 +117,8 @@ def _count_batches(batches):
                 )
 
 
-def _weigh(model: Model, sums, start, end, bounds, powers) -> np.ndarray:
-    """Score of every token: its own if known, else that of its longest known stem."""
+def _weigh(model: Model, sums, start, end, powers) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every token: its own if known, else that of its longest known stem; and a number for each word."""
     words = span_hashes(sums, start, end, powers)
     unique, at, inverse = np.unique(words, return_index=True, return_inverse=True)
     out = np.full(len(unique), model.rest)
@@ -136,16 +135,7 @@ def _weigh(model: Model, sums, start, end, bounds, powers) -> np.ndarray:
         hit = known[place] == own
         out[open_[hit]] = model.weights[level][place[hit]]
         open_ = open_[~hit]
-    weight = out[inverse]
-    raised = np.flatnonzero(weight > 0)
-    row = np.searchsorted(bounds, start[raised], side="right") - 1
-    order = np.lexsort((raised, inverse[raised], row))
-    place, token, row = raised[order], inverse[raised][order], row[order]
-    fresh = np.ones(len(place), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-    nth = np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
-    weight[place[nth >= REPEATS]] = model.rest
-    return weight
+    return out[inverse], inverse
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -173,6 +163,42 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(first, stop, right - left) for first, stop, left, right, _ in found]
 
 
+def _damped(scores: np.ndarray, words: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Positive scores divided by the number of the word's occurrence in its part."""
+    out, raised = scores.copy(), np.flatnonzero(scores > 0)
+    order = raised[np.lexsort((raised, words[raised], part[raised]))]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (part[order][1:] != part[order][:-1]) | (words[order][1:] != words[order][:-1])
+    at = np.arange(len(order))
+    out[order] /= 1 + at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return out
+
+
+def stretch_score(scores: np.ndarray, words: np.ndarray) -> float:
+    """The best score of a stretch of a segment, repeats inside the stretch damped.
+
+    Repeats are counted afresh in windows of every power of two that overlap by half: every
+    stretch lies in a window less than four times as long.
+    """
+    raised = words[scores > 0]
+    if len(np.unique(raised)) == len(raised):
+        return float(scores.sum())
+    best, size = float(scores.max()), 2
+    while True:
+        step = size // 2
+        count = max(1, -(-len(scores) // step) - 1)
+        at = np.arange(count)[:, None] * step + np.arange(size)
+        inside = at < len(scores)
+        place = np.where(inside, at, 0)
+        own = np.where(inside, scores[place], 0.0).ravel()
+        own = _damped(own, words[place].ravel(), np.repeat(np.arange(count), size)).reshape(count, size)
+        sums = np.concatenate([np.zeros((count, 1)), np.cumsum(own, axis=1)], axis=1)
+        best = max(best, float((sums - np.minimum.accumulate(sums, axis=1)).max()))
+        if size >= len(scores):
+            return best
+        size *= 2
+
+
 # --- fitting ------------------------------------------------------------------------
 
 
@@ -214,14 +240,18 @@ def _calibration_batches(model):
             rows: list[tuple[int, int, float, int]] = []
             for low, high, data, bounds in _blocks(batch):
                 start, end, sums = _tokens(data, bounds, powers)
-                weight = _weigh(fitted, sums, start, end, bounds, powers)
-                first = np.searchsorted(start, bounds)
+                weight, word = _weigh(fitted, sums, start, end, powers)
+                first, part = np.searchsorted(start, bounds), np.full(len(start), -1)
                 for i in range(high - low):
-                    own = weight[first[i] : first[i + 1]]
-                    best = max((s for _, _, s in maximal_segments(own)), default=0.0)
+                    own, named = weight[first[i] : first[i + 1]], word[first[i] : first[i + 1]]
+                    segments, best = maximal_segments(own), 0.0
+                    for a, b, score in segments:
+                        if score > best:
+                            best = max(best, stretch_score(own[a:b], named[a:b]))
+                        part[first[i] + a : first[i] + b] = first[i] + a
                     rows.append((int(label[low + i]), len(own), best, 0))
                 clean = np.repeat(label[low:high] == 0, np.diff(first))
-                value, number = np.unique(np.round(weight[clean], 1), return_counts=True)
+                value, number = np.unique(np.round(_damped(weight, word, part)[clean], 1), return_counts=True)
                 rows += [(-1, 0, float(v), int(n)) for v, n in zip(value, number)]
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -307,14 +337,17 @@ def _score_batches(model, names):
         for batch in batches:
             for low, high, data, bounds in _blocks(batch):
                 start, end, sums = _tokens(data, bounds, powers)
-                weight = _weigh(fitted, sums, start, end, bounds, powers)
+                weight, word = _weigh(fitted, sums, start, end, powers)
                 first = np.searchsorted(start, bounds)
                 evidence, passages = np.zeros(high - low), []
                 for i in range(high - low):
-                    own = weight[first[i] : first[i + 1]]
+                    own, named = weight[first[i] : first[i + 1]], word[first[i] : first[i + 1]]
                     found = []
                     for a, b, score in maximal_segments(own):
                         strength = float(_evidence(fitted, len(own), score))
+                        if strength >= -np.log10(SIGNIFICANT) or strength > evidence[i]:
+                            score = stretch_score(own[a:b], named[a:b])
+                            strength = float(_evidence(fitted, len(own), score))
                         if strength >= -np.log10(SIGNIFICANT):
                             begin, stop = start[first[i] + a] - bounds[i], end[first[i] + b - 1] - bounds[i]
                             found.append({"start": int(begin), "stop": int(stop), "score": score, "p_value": 10.0**-strength})

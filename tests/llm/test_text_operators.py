@@ -372,6 +372,45 @@ def test_toxic_documents_are_told_apart(spark):
     assert {r.score < 0.5 for r in toxicity.score(docs, none).collect()} == {True}
 
 
+def test_toxic_passages_after_isolated_uses_are_found(spark):
+    rng = random.Random(31)
+    bad = ["vilething", "grotword", "slurria", "blargous"]
+    texts = []
+    for i in range(400):
+        words = prose(rng, 60, 150).split()
+        if i % 5 == 0:
+            for _ in range(4):
+                words[rng.randrange(60)] = rng.choice(bad)
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id LONG, quality INT, toxic INT")
+    isolated = " ".join(f"{prose(rng, 40, 150)} {word}" for word in bad * 2)
+    dense = " ".join(bad)
+    long = f"{isolated} {prose(rng, 80, 150)} {dense} {prose(rng, 80, 150)} {dense} {prose(rng, 80, 150)}"
+    docs = frame(spark, [*texts, long])
+    row = toxicity.score(docs, toxicity.fit(docs, labels)).where("doc_id = 400").first()
+    at = [m.start() for m in re.finditer(dense, long)]
+    assert len(at) == 2 and row.score >= 0.5
+    for begin in at:
+        assert any(s.start <= begin and begin + len(dense) <= s.stop for s in row.passages)
+
+
+def test_repeats_count_less_only_inside_a_stretch():
+    rng = random.Random(14)
+    for _ in range(60):
+        words = np.array([rng.randrange(5) for _ in range(rng.randrange(1, 40))])
+        scores = np.array([rng.choice([4.0, 2.0, -1.0, 3.0, -2.0])] * 5)[words] + np.where(words == 0, -3.0, 0.5)
+        best = max(
+            toxicity._damped(scores[i:j], words[i:j], np.zeros(j - i)).sum()
+            for i in range(len(words)) for j in range(i + 1, len(words) + 1)
+        )
+        assert toxicity.stretch_score(scores, words) <= max(best, scores.max()) + 1e-9
+    assert toxicity.stretch_score(np.full(4, 3.0), np.arange(4)) == 12
+    assert toxicity.stretch_score(np.full(4, 3.0), np.zeros(4)) == pytest.approx(3 * (1 + 1 / 2 + 1 / 3 + 1 / 4))
+    apart = np.full(84, -1.0)
+    apart[[0, 1, 2, 81, 82, 83]] = 40.0
+    assert toxicity.stretch_score(apart, np.array([0, 1, 2, *[9] * 78, 0, 1, 2])) >= 120
+
+
 # --- words --------------------------------------------------------------------------
 
 
