@@ -1,21 +1,21 @@
 """Personal data by patterns and by what reveals it (operator 5), in SQL functions only.
 
 Patterns find e-mail and IP addresses, card and phone numbers. Those values are the
-protected entities. A word that stands near an entity discloses it as far as the corpus
-says so: with contexts as the unit, pointwise mutual information
+protected entities. A word discloses an entity as far as the corpus says so: with distinct
+texts as the unit, pointwise mutual information
 
     PMI(entity, word) = log2(p(entity, word) / (p(entity) * p(word)))
 
 is set against the entity's own information, IC(entity) = -log2 p(entity). A word whose
 share PMI / IC reaches ``DISCLOSURE`` tells the entity almost as well as its own value
-does; such words are spans of kind ``term``. Replacement puts a kind's label for a
-pattern's match, and for a term its general form: the word's shape if it holds digits,
-else nothing.
+does. Two rare values that meet by chance reach it, too, so the meetings must also be
+significant: the chance of as many texts with both, if words and entities were independent
+(Hoeffding's bound of the hypergeometric tail), times the number of pairs, stays within
+``SIGNIFICANT``. Every occurrence of such a word in a text that holds the entity is a span of
+kind ``term``. Replacement puts a kind's label for a pattern's match, and for a term its
+general form: the word's shape if it holds digits, else nothing.
 
-Corpus counts are over all documents: an entity's and a pair's counts over distinct
-contexts (copies of one passage count once), a word's over the documents it occurs in.
-At least ``MIN_CONTEXTS`` distinct contexts must show a pair: a single meeting of two
-rare values would always look like disclosure.
+All counts are of whole distinct texts, so copies of a text count once.
 
 Offsets are code points. A null text counts as empty and has no spans; null and repeated
 doc_ids keep their rows, as spans belong to the pair of doc_id and text.
@@ -28,6 +28,7 @@ forms of the plain patterns, with the same matches.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,8 @@ from tallymark.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.9
-MIN_CONTEXTS = 3
-#: Code points of text on either side of an entity that count as its context.
-REACH = 80
+SIGNIFICANT = 0.01
+NO_SPANS = "CAST(array() AS ARRAY<STRUCT<s: INT, o: INT, e: INT, kind: STRING>>)"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 
 _DOMAIN = (
@@ -54,7 +54,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _LONE_SEPARATOR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}'_-]*+"
+#: Stands for letters and digits of pattern matches, so that words that touch one are told.
+MASK = "\uffff"
+WORD = rf"[\p{{L}}\p{{N}}{MASK}][\p{{L}}\p{{N}}{MASK}'_-]*+"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -135,100 +137,121 @@ def span_text(spans: Column) -> Column:
 # --- disclosure ---------------------------------------------------------------------
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, spans`` of every row, stored; ``mark`` tells texts of one id apart."""
-    spanned = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("mark"),
-        F.col("text"),
-        base_spans(F.col("text")).alias("spans"),
-    )
-    return stage(
-        spanned.select("doc_id", "mark", "spans", _contexts(F.col("text"), F.col("spans")).alias("contexts")), "pii"
-    )
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span, what stands before and after it, cut at other words' middle as it falls."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with ``MASK`` for every letter and digit of a span, one for one."""
 
-    def near(x):
-        begin = F.greatest(x["s"] - REACH, F.lit(0))
-        return F.struct(
-            x["v"].alias("entity"),
-            begin.alias("at"),
-            F.substring(text, begin + 1, x["s"] - begin).alias("before"),
-            x["e"].alias("stop"),
-            F.substring(text, x["e"] + 1, F.lit(REACH)).alias("after"),
-        )
+    def put(state, x):
+        begin = F.greatest(x["s"], state["at"])
+        inside = F.regexp_replace(F.substring(text, begin + 1, x["e"] - begin), r"[\p{L}\p{N}]", MASK)
+        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, begin - state["at"]), inside)
+        return F.when(x["e"] <= state["at"], state).otherwise(F.struct(x["e"].alias("at"), piece.alias("out")))
 
-    return F.transform(spans, near)
+    rest = lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, rest)).otherwise(text)
 
 
-def _terms(found: DataFrame) -> DataFrame:
-    """One row per word in the context of an entity: where it stands and which context."""
-    context = found.select("doc_id", "mark", "spans", F.explode("contexts").alias("c"))
-    sides = F.array(
-        F.struct(F.col("c.at").alias("at"), F.col("c.before").alias("side")),
-        F.struct(F.col("c.stop").alias("at"), F.col("c.after").alias("side")),
-    )
-    side = context.select(
-        "doc_id", "mark", "spans",
-        F.xxhash64("c.entity").alias("entity"),
-        F.xxhash64("c.before", "c.after").alias("context"),
-        F.explode(sides).alias("p"),
-    )
-    words = F.transform(
-        _matches(F.col("p.side"), WORD),
-        lambda m: F.struct((m["s"] + F.col("p.at")).alias("s"), (m["e"] + F.col("p.at")).alias("e"), F.lower(m["v"]).alias("w")),
-    )
-    free = F.filter(
-        words, lambda m: ~F.exists("spans", lambda x: (x["s"] < m["e"]) & (m["s"] < x["e"]))
-    )
-    return side.select("doc_id", "mark", "entity", "context", F.explode(free).alias("t")).select(
-        "doc_id", "mark", "entity", "context", "t.s", "t.e", "t.w"
-    )
+def find(docs: DataFrame) -> DataFrame:
+    """``mark, spans, masked`` of every distinct text, stored; ``mark`` is the text's digest."""
+    texts = docs.select(_mark(), F.coalesce("text", F.lit("")).alias("text")).groupBy("mark").agg(F.first("text").alias("text"))
+    spanned = texts.withColumn("spans", base_spans(F.col("text")))
+    return stage(spanned.select("mark", "spans", _masked(F.col("text"), F.col("spans")).alias("masked")), "pii")
+
+
+def _log_chance(texts: Column, entity: Column, word: Column, both: Column) -> Column:
+    """Bound of the log chance that independent values meet in ``both`` texts or more."""
+    drawn, share = F.least(entity, word), F.greatest(entity, word) / texts
+    part = both / drawn
+    missed = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    return F.when(part > share, -drawn * (part * F.log(part / share) + missed)).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, mark, terms``: the spans of words that disclose an entity beside them."""
-    terms = _terms(found)
-    # Distinct contexts first, counts after: partial aggregates at both steps.
-    pairs = (
-        terms.select("entity", "w", "context").distinct()
-        .groupBy("entity", "w").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_CONTEXTS)
+def disclosing(found: DataFrame) -> DataFrame:
+    """``mark, terms``: all occurrences of words that disclose an entity of their text."""
+    words = F.array_distinct(
+        F.transform(
+            F.filter(F.regexp_extract_all("masked", F.lit(WORD), F.lit(0)), lambda w: ~F.contains(w, F.lit(MASK))), F.lower
+        )
+    )
+    # Only counts are shuffled.
+    common = stage(found.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("word_texts")), "pii_words")
+    private = found.where(F.size("spans") > 0)
+    held = stage(
+        private.select("mark", F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["v"]))).alias("entities"), words.alias("words")),
+        "pii_held",
     )
-    pairs = stage(pairs, "pii_pairs")
-    entities = (
-        terms.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("entity_contexts"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_texts"))
+    texts = F.lit(found.count())
+    tested = held.agg(F.sum(F.size("entities").cast("double") * F.size("words")).alias("n")).first()["n"] or 1.0
+    limit = math.log(SIGNIFICANT) - math.log(max(tested, 1.0))
+    most = entities.agg(F.max("entity_texts").alias("n")).first()["n"] or 1
+    # Words that no number of meetings could make disclosing go before pairs are formed.
+    met = F.least("word_texts", F.lit(most))
+    possible = common.where(
+        (met * F.log(F.col("word_texts") / texts) <= limit)
+        & (F.log(F.col("word_texts") / met) <= (1 - DISCLOSURE) * F.log(texts))
     )
-    # Every document's distinct words, counted over the whole corpus; only counts are shuffled.
-    words = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w")
+    named = held.select("mark", F.explode("words").alias("w")).join(possible, "w")
+    owned = held.select("mark", F.explode("entities").alias("entity")).join(entities, "entity")
+    pairs = owned.join(named, "mark").where(
+        F.least("entity_texts", "word_texts") * F.log(F.greatest("entity_texts", "word_texts") / texts) <= limit
     )
-    common = words.groupBy("w").agg(F.count("*").alias("documents"))
     scored = (
-        pairs.join(entities, "entity").join(common, "w")
-        .withColumn("total", F.lit(found.count()))
-        # An entity's contexts are a share of all documents, as a word's documents are.
-        .withColumn("ic", F.log2(F.col("total") / F.col("entity_contexts")))
-        .withColumn("pmi", F.log2(F.col("both") * F.col("total") / (F.col("entity_contexts") * F.greatest("documents", "both"))))
+        pairs.groupBy("entity", "w", "entity_texts", "word_texts").agg(F.count("*").alias("both"))
+        .withColumn("ic", F.log2(texts / F.col("entity_texts")))
+        .withColumn("pmi", F.log2(F.col("both") * texts / (F.col("entity_texts") * F.col("word_texts"))))
         .where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") * DISCLOSURE))
+        .where(_log_chance(texts, F.col("entity_texts"), F.col("word_texts"), F.col("both")) <= limit)
     )
-    return (
-        terms.join(scored.select("entity", "w"), ["entity", "w"], "left_semi")
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_set(F.struct(F.col("s"), F.lit(len(KINDS)).alias("o"), F.col("e"), F.lit("term").alias("kind"))).alias("terms"))
+    chosen = stage(scored.select("entity", "w"), "pii_pairs")
+    told = (
+        owned.join(chosen, "entity").select("mark", "w")
+        .join(held.select("mark", F.explode("words").alias("w")), ["mark", "w"], "left_semi")
+        .groupBy("mark").agg(F.collect_set("w").alias("told"))
     )
+    return private.select("mark", "masked").join(told, "mark").select("mark", _occurrences(F.col("masked"), F.col("told")).alias("terms"))
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, base, spans`` for every row: pattern spans, and those with terms."""
+def _occurrences(text: Column, told: Column) -> Column:
+    """Spans of all words of ``text`` that are in ``told``."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    gaps = F.transform(F.split(text, WORD, -1), F.char_length)
+    steps = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("v"))
+    )
+
+    def add(state, step):
+        begin = state["at"] + step["gap"]
+        stop = begin + F.char_length(step["v"])
+        item = F.struct(begin.alias("s"), F.lit(len(KINDS)).alias("o"), stop.alias("e"), F.lit("term").alias("kind"))
+        kept = F.when(F.array_contains(told, F.lower(step["v"])), F.concat(state["out"], F.array(item))).otherwise(state["out"])
+        return F.struct(stop.alias("at"), kept.alias("out"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out")), add, lambda x: x["out"])
+
+
+def _spans_of_texts(docs: DataFrame) -> DataFrame:
+    """``mark, base, spans`` of every distinct text with spans."""
     found = find(docs)
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), x["kind"].alias("kind")))
-    terms = disclosing(docs, found).withColumnsRenamed({"doc_id": "t_id", "mark": "t_mark"})
-    return found.join(terms, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("mark") == F.col("t_mark")), "left").select(
-        "doc_id", "mark", base.alias("base"),
-        F.array_sort(F.concat(base, F.coalesce("terms", F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, o: INT, e: INT, kind: STRING>>)")))).alias("spans"),
+    private = found.where(F.size("spans") > 0).select("mark", base.alias("base"))
+    # Written, so that AQE can split a text with very many copies in the joins with rows.
+    return stage(
+        private.join(disclosing(found), "mark", "left").select(
+            "mark", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.expr(NO_SPANS)))).alias("spans")
+        ),
+        "pii_spans",
+    )
+
+
+def all_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, base, spans`` for every row: pattern spans, and those with terms."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark())
+    return rows.join(_spans_of_texts(docs), "mark", "left").select(
+        "doc_id", "mark", *(F.coalesce(c, F.expr(NO_SPANS)).alias(c) for c in ("base", "spans"))
     )
 
 
@@ -259,13 +282,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` generalised; rows, ids and other columns stay."""
-    spans = all_spans(docs).where(F.size("spans") > 0).select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"])
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    joined = rows.join(
-        spans,
-        F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark")),
-        "left",
-    )
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _mark())
+    joined = rows.join(_spans_of_texts(docs).select("mark", "spans"), "mark", "left")
     text = F.col("row.text")
     text = F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans"))).alias("text")
     return joined.select(*(text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -247,6 +247,17 @@ def test_terms_that_disclose_are_generalised(spark):
     assert pii.all_spans(docs.limit(0)).count() == 0
 
 
+def test_terms_are_generalised_wherever_they_stand(spark):
+    rng = random.Random(21)
+    texts = [f"Quixley {prose(rng, 60)} boss@corp.example {prose(rng, 60)} quixley x" for _ in range(3)]
+    texts += [texts[0]] + [prose(rng, 60) for _ in range(300)]
+    texts += [f"{prose(rng, 60)} unique{i} ann{i}@mail.example" for i in range(5)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert all("uixley" not in clean[i] and "[EMAIL]" in clean[i] for i in range(4))
+    assert all(f"unique{i} [EMAIL]" in clean[304 + i] for i in range(5))
+    assert [clean[i] for i in range(4, 304)] == texts[4:304]
+
+
 # --- operator 7 ---------------------------------------------------------------------
 
 
