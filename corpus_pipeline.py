@@ -14,10 +14,6 @@ from tallymark.llm import decontamination, mixing, near_duplicates, pii, toxicit
 from tallymark.session import stage
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,9 +22,21 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near duplicates."""
-    groups = near_duplicates.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("copy"))
-    return _rows(docs).join(groups, F.col("row.doc_id") == F.col("copy"), "left_anti").select("row.*")
+    """One row of every group of near duplicates: the first by doc_id, then text; null ids come last.
+
+    Rows are told apart by numbers of their own, stored with them, so repeated and null ids count as rows.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("number"), row), "numbered_rows")
+    groups = near_duplicates.near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"))
+    known = rows.select(
+        "number", F.struct(F.col("row.doc_id").isNull().alias("unnamed"), "row.doc_id", F.xxhash64("row.text").alias("mark"), "number").alias("place")
+    )
+    first = (
+        groups.select(F.col("doc_id").alias("number"), "component_id").join(known, "number")
+        .groupBy("component_id").agg(F.min("place").alias("place")).select("place.number")
+    )
+    return rows.join(first, "number", "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

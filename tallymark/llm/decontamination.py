@@ -205,11 +205,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _clean_batches(shared):
+    def run(batches):
+        index = Index(shared.value)
+        for batch in batches:
+            clean = [not find_items(normalise(text.as_py() or ""), index) for text in batch.column("text")]
+            yield batch.select(["row"]).filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which an item is found; all columns stay.
 
-    Found ids meet the documents by an anti-join; a null doc_id cannot be named and stays.
+    Every row is judged by its own text, whatever its doc_id.
     """
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(found, F.col("row.doc_id").cast("long") == F.col("_found"), "left_anti").select("row.*")
+    for block in blocks(benchmark):
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = rows.mapInArrow(_clean_batches(shared), rows.select("row").schema).select("row.*")
+    return docs

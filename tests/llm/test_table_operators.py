@@ -205,3 +205,20 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     mix = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in mix} == clean - {7}
     assert all(r.taken <= 2 * r.size for r in mix)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(2000)}" for _ in range(n))
+    one, two, three, item = prose(120), prose(120), prose(120), prose(30)
+    kind = "doc_id LONG, text STRING"
+    rows = [(1, one), (1, one), (1, two), (None, two), (None, three), (None, three), (4, None), (4, None)]
+    kept = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, kind).repartition(3), str(tmp_path))
+    order = lambda found: sorted(found, key=repr)
+    assert order(map(tuple, kept.collect())) == order([(1, one), (1, two), (None, three), (4, None), (4, None)])
+    spark.createDataFrame([(0, item)], "item_id LONG, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{one} {item}"), (None, one), (2, f"{two} {item}"), (2, two), (3, None)]
+    kept = corpus_pipeline.without_benchmark(spark, spark.createDataFrame(rows, kind), str(tmp_path))
+    assert order(map(tuple, kept.collect())) == order([(None, one), (2, two), (3, None)])
