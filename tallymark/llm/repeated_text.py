@@ -418,9 +418,9 @@ def _sorted_windows(texts: DataFrame, classes: DataFrame) -> DataFrame:
         dealt.groupBy("one.text_id")
         .agg(F.collect_list(F.struct("anchor", "content", "parts", "one.low", "one.high")).alias("wanted"))
     )
-    # Of equal texts one is cut.
-    one = texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"))
-    cut = texts.join(wanted.join(one, "text_id"), ["text_id", "doc_id"]).select("text", "wanted")
+    # Of equal texts one is cut, whatever ids their rows have.
+    one = texts.groupBy("text_id").agg(F.first("text").alias("text"))
+    cut = one.join(wanted, "text_id").select("text", "wanted")
     bodies = cut.mapInArrow(_body_batches, BODY_SCHEMA)
     slot = F.xxhash64("anchor", F.pmod("content", F.col("parts").cast("long")))
     found = stage(

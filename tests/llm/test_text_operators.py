@@ -76,6 +76,16 @@ def test_repeated_passages_match_brute_force(spark, monkeypatch, small_shards):
     assert [found[i] for i in range(len(texts))] == covered(texts)
 
 
+def test_repeated_passages_without_ids_are_found(spark):
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = text(600)
+    texts = [f"{text(300)}{common}{text(300)}" for _ in range(3)] + [text(900)]
+    docs = frame(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    found = [(r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeated_text.without_repeats(docs).collect()]
+    assert sorted(found) == sorted(covered(texts))
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(3)
     for trial in range(12):
