@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import chat, mixing, near_duplicates, url_trust
+from tallymark.llm import chat, mixing, near_duplicates, url_trust, vantage
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -166,10 +166,24 @@ def op10() -> str:
     FROM judged LEFT JOIN ranks USING (host)"""
 
 
+def op13() -> str:
+    """Every distance; equal where the relaxed search finds all neighbours."""
+    return f"""WITH sound AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_position(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true) IS NULL
+          AND list_position(list_transform(embedding, lambda x: x <> 0), true) IS NOT NULL),
+    away AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+        FROM (SELECT DISTINCT vec_id, v FROM sound WHERE vec_id % 100 = 0) q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+    FROM away QUALIFY rank <= {vantage.K}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_perspectives": op2(),
         "op3_mixing": op3(),
         "op4_near_duplicates": op4(),
         "op10_url_trust": op10(),
+        "op13_nearest": op13(),
     }

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chat, decontamination, language, lattice, mixing, near_duplicates, oracles, pii, repeated_text, toxicity, url_trust
+from tallymark.llm import (
+    chat,
+    decontamination,
+    language,
+    lattice,
+    mixing,
+    near_duplicates,
+    oracles,
+    periodic_runs,
+    pii,
+    repeated_text,
+    toxicity,
+    url_trust,
+    vantage,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,10 +107,68 @@ def op10_url_trust(spark: SparkSession, folder: str) -> DataFrame:
     return url_trust.verdicts(_table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    # The exact deviation as a long; null where only the operator's decimal can hold it.
+    deviation = F.expr("try_cast(deviation AS BIGINT)").alias("deviation")
+    return whitening.whitened(_table(spark, folder, "embeddings")).select(
+        "vec_id", "component", "n", deviation, "whitened", "explained", "identity_error"
+    )
+
+
+def with_periodic_tail(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where every tenth document by checksum repeats its words from some place on.
+
+    Documents with a null id keep their text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    altered = """
+        transform(array(struct(cast(h div 10 AS BIGINT) AS g, cast(size(words) AS BIGINT) AS n)), z ->
+        transform(array(struct(z.g % z.n AS a, 1 + (z.n - z.g % z.n) div (3 + z.g % 8) AS p)), y ->
+        array_join(transform(words, (w, i) -> if(i < y.a, w, get(words, cast(y.a + (i - y.a) % y.p AS INT)))), ' '))[0])[0]
+    """
+    return chosen.select("doc_id", F.when(F.size("words") > 0, F.expr(altered)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periodic_tail(_table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = F.col("top")
+    return found.withColumn("top", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return vantage.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {
         q.__name__: q
-        for q in (op1_repeated_text, op2_perspectives, op3_mixing, op4_near_duplicates, op5_pii, op6_lattice, op7_language, op8_decontamination, op9_toxicity, op10_url_trust)
+        for q in (
+            op1_repeated_text,
+            op2_perspectives,
+            op3_mixing,
+            op4_near_duplicates,
+            op5_pii,
+            op6_lattice,
+            op7_language,
+            op8_decontamination,
+            op9_toxicity,
+            op10_url_trust,
+            op11_whitening,
+            op12_periodic_runs,
+            op13_nearest,
+        )
     }
 
 
