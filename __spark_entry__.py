@@ -558,6 +558,27 @@ def csv_artifact_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """One file per release and year whose fields hold line breaks and quotes, read in three blocks each."""
+    name = """CASE Variable_code WHEN 'H23' THEN concat(Industry_name_NZSIOC, '\n"', Industry_code_NZSIOC, '"')
+        WHEN 'H40' THEN concat(Industry_name_NZSIOC, ',\r\n,') ELSE Industry_name_NZSIOC END"""
+    path, own = _scratch(spark, "csv-breaks"), ["release", "of_year"]
+    rows = _raw(spark, folder).withColumns(
+        {"Industry_name_NZSIOC": F.expr(name), "release": F.col("dataset_year"), "of_year": F.col("Year")}
+    )
+    files = rows.repartition(*own).sortWithinPartitions(*own, "source_row_number").select(*RAW_COLUMNS, *own)
+    exact = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    files.write.options(**exact).partitionBy(*own).csv(path)
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(-(-longest // 3)))
+    try:
+        return stage(read_artifacts(spark, path).drop("source_file"), "csv-breaks")
+    finally:
+        spark.conf.set(setting, before)
+
+
 def load_runs(spark: SparkSession, folder: str) -> DataFrame:
     """An initial load, the same artifact again, a revision, and the revision again."""
     history = _bronze(spark, folder)
@@ -642,7 +663,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         overlap_and_change, revision_counts, value_transitions, previous_releases,
         fingerprints, row_digests, incremental_plan, audit_silver, audit_gold,
         audit_rankings, lineage_audit, string_array_normalise, csv_ingest_roundtrip,
-        idempotent_append, snapshot_rerun, csv_artifact_facts, load_runs,
+        idempotent_append, snapshot_rerun, csv_artifact_facts, csv_line_breaks, load_runs,
     )
     return {
         "current_view": current_rows,

@@ -6,6 +6,10 @@ and one aggregation per metric, where the Spark operators use combined forms.
 
 from __future__ import annotations
 
+RAW_COLUMNS = (
+    "Year", "Industry_aggregation_NZSIOC", "Industry_code_NZSIOC", "Industry_name_NZSIOC", "Units",
+    "Variable_code", "Variable_name", "Variable_category", "Value", "Industry_code_ANZSIC06",
+)
 KEY = "Year, Industry_aggregation_NZSIOC, Industry_code_NZSIOC, Variable_code"
 IDENTITY = "year, industry_aggregation_nzsioc, industry_code_nzsioc"
 
@@ -59,6 +63,11 @@ placed AS (
     FROM released
 )"""
 
+def _quoted(fields) -> str:
+    """One line of a file with all fields in quotes."""
+    return " || ',' || ".join(f"""'"' || replace({f}, '"', '""') || '"'""" for f in fields)
+
+
 # The same number rule in the oracle's regular-expression dialect.
 NUMERIC = r"regexp_matches(Value, '^[+-]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)([.][0-9]+)?$')"
 
@@ -583,6 +592,17 @@ def oracle_sql() -> dict[str, str]:
         "csv_artifact_facts": RAW + """
             SELECT count(*) AS rows, CAST(0 AS BIGINT) AS files_with_wrong_numbers,
                    CAST(0 AS BIGINT) AS files_without_digest FROM bronze""",
+        "csv_line_breaks": RAW + f"""
+            , broken AS (SELECT * REPLACE (CASE Variable_code
+                  WHEN 'H23' THEN Industry_name_NZSIOC || chr(10) || '"' || Industry_code_NZSIOC || '"'
+                  WHEN 'H40' THEN Industry_name_NZSIOC || ',' || chr(13) || chr(10) || ','
+                  ELSE Industry_name_NZSIOC END AS Industry_name_NZSIOC) FROM bronze),
+            files AS (SELECT release, Year, upper(sha256({_quoted(f"'{c}'" for c in RAW_COLUMNS)} || chr(10)
+                  || string_agg({_quoted(RAW_COLUMNS)} || chr(10), '' ORDER BY source_row_number))) AS source_sha256,
+                  count(*) AS row_count FROM broken GROUP BY release, Year)
+            SELECT {", ".join(RAW_COLUMNS)}, files.source_sha256, files.row_count,
+                   row_number() OVER (PARTITION BY release, Year ORDER BY source_row_number) AS source_row_number
+            FROM broken JOIN files USING (release, Year)""",
         "load_runs": TO_SILVER + f"""
             , older AS (SELECT * FROM bronze WHERE release = 'R1'),
             facts AS (SELECT

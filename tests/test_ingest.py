@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
+import random
 
 import pytest
 
@@ -93,13 +96,56 @@ def test_folder_of_artifacts(spark, tmp_path):
     assert len({r.source_sha256 for r in rows}) == 2
 
 
-def test_files_beyond_the_reader_are_refused(spark, tmp_path, monkeypatch):
-    path = write(tmp_path / "a.csv", line())
-    expected = hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest().upper()
-    assert [r.source_sha256 for r in artifact_digests(spark, path).collect()] == [expected]
-    monkeypatch.setattr(csv_artifact, "WHOLE_FILE_BYTES", 10)
+@pytest.fixture
+def small_blocks(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+
+    def set_to(size):
+        spark.conf.set(name, str(size))
+
+    yield set_to
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("block, ending", [(300, "\n"), (150, "\r\n")])
+def test_fields_over_lines_and_blocks(spark, tmp_path, small_blocks, block, ending):
+    """Records are what Python's reader finds, wherever blocks begin; clean files stay as they are."""
+    rng = random.Random(block)
+    fields = ["x", "", '""', '"a, b"', f'"{ending}"', f'"two{ending}lines"', f'"q ""{ending}"" q"', f'",{ending}{ending}"', '5" pipe', '"end"""', "\u00e9"]
+    lines = [line(str(n), rng.choice(fields), rng.choice(fields)) for n in range(40)] + ["", line("40", f'"{"long " * 60}{ending * 40}"')]
+    write(tmp_path / "a.csv", *lines, ending=ending)
+    write(tmp_path / "b.csv", *[line(str(n)) for n in range(9)], bom=False)
+    small_blocks(block)
+    found = read_artifacts(spark, str(tmp_path)).orderBy("source_file", "source_row_number").collect()
+    for name in "ab":
+        content = (tmp_path / f"{name}.csv").read_bytes()
+        wanted = list(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")))[1:]
+        mine = [r for r in found if r.source_file.endswith(f"{name}.csv")]
+        assert [[r[c] for c in RAW_COLUMNS] for r in mine] == [w for w in wanted if w]
+        assert [r.source_row_number for r in mine] == list(range(1, len(mine) + 1))
+        assert {r.source_sha256 for r in mine} == {hashlib.sha256(content).hexdigest().upper()}
+
+
+@pytest.mark.parametrize("tail", ['2025,"never closed\n', "2025,x\ry,Level 1\n", ",,\n"])
+def test_flaws_beside_fields_over_lines(spark, tmp_path, small_blocks, tail):
+    (tmp_path / "a.csv").write_text(HEADER + "\n" + line(name='"a\nb"') + "\n" + tail, newline="")
+    small_blocks(60)
     with pytest.raises(SourceArtifactError):
-        artifact_digests(spark, path)
+        read_artifact(spark, str(tmp_path / "a.csv"))
+
+
+@pytest.mark.parametrize("content", [b"\n", b"a", b"a\n", b"\xef\xbb\xbf", b"\xef\xbb\xbfa\n\n", b"\r\n\ra\r", b"ab\n" * 500, b"\n" * 99 + b"z"])
+@pytest.mark.parametrize("pack", [1, 1 << 20])
+def test_digests_of_any_bytes_in_any_blocks(spark, tmp_path, small_blocks, monkeypatch, content, pack):
+    monkeypatch.setattr(csv_artifact, "PACK_BYTES", pack)
+    (tmp_path / "a.csv").write_bytes(content)
+    (tmp_path / "b.csv").write_bytes(content * 2 + b"b")
+    small_blocks(30)
+    found = {r.file[-5:]: (r.length, r.source_sha256) for r in artifact_digests(spark, str(tmp_path)).collect()}
+    for name in ("a.csv", "b.csv"):
+        data = (tmp_path / name).read_bytes()
+        assert found[name] == (len(data), hashlib.sha256(data).hexdigest().upper())
 
 
 def test_timestamps_need_an_offset():
