@@ -430,7 +430,7 @@ def overlap_and_change(spark: SparkSession, folder: str) -> DataFrame:
     return revision.overlap_and_change(*_releases(spark, folder))
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str) -> revision.ObservationPairs:
     return revision.observation_pairs(*_releases(spark, folder))
 
 

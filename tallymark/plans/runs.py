@@ -365,7 +365,7 @@ def analyze_revision(
     """Revision report of a candidate against history without it."""
     require_unambiguous(history)
     # Read three times below, so the key-level comparison is written once.
-    pairs = stage(observation_pairs(candidate, history), "observation-pairs")
+    pairs = observation_pairs(candidate, history).staged()
     counts = revision_counts(pairs).first().asDict()
     if counts["duplicated_keys"]:
         raise DuplicateKeyError(

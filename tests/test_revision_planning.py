@@ -81,6 +81,15 @@ def test_repeated_keys_are_reported_not_multiplied(bronze):
     assert revision_counts(observation_pairs(copies, history)).first().duplicated_keys == 0
 
 
+def test_history_is_reduced_to_digests(two_releases):
+    """No texts of the history are sorted or shuffled where only counters are asked for."""
+    counts = revision_counts(observation_pairs(*two_releases))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("Value" in line or "Industry" in line for line in exchanged)
+
+
 def test_overlap_and_change(two_releases):
     found = overlap_and_change(*two_releases).first()
     assert tuple(found) == (7, 6)
