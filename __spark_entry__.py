@@ -84,7 +84,6 @@ def _to_silver(history: DataFrame) -> DataFrame:
         history,
         fingerprint=SILVER_PRINT,
         processed_at=PROCESSED_AT,
-        repeated_numbers=silver.has_repeated_numbers(history),
     )
 
 

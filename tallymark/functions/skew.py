@@ -20,16 +20,6 @@ HOT_MIN_ROWS = 1_000_000
 SALTS = 4_096
 
 
-def has_repeats(rows: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether any key occurs twice: one narrow, map-side combined job.
-
-    Where nothing repeats, callers skip a join that would move every row.
-    """
-    return not (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    )
-
-
 def attach_group_facts(
     rows: DataFrame,
     facts: DataFrame,

@@ -12,6 +12,15 @@ from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts
 _RELEASE_KEY = (*OBSERVATION_KEY, "dataset_year", "ingestion_id")
 
 
+CURRENT_TYPES = {
+    **{name: "string" for name in OBSERVATION_KEY},
+    "dataset_year": "int",
+    "ingestion_id": "string",
+    "observation_rows": "bigint",
+    "competing_releases": "bigint",
+}
+
+
 def current_releases(history: DataFrame) -> DataFrame:
     """The artifact(s) holding the greatest ``dataset_year`` of each key.
 
@@ -20,10 +29,24 @@ def current_releases(history: DataFrame) -> DataFrame:
     counted map-side first, so the window sees one row per key and artifact.
     Keys with a null part never match anything and are left out.
     """
-    complete = history.where(" AND ".join(f"`{c}` IS NOT NULL" for c in _RELEASE_KEY))
-    per_artifact = complete.groupBy(*_RELEASE_KEY).agg(
-        F.count(F.lit(1)).alias("observation_rows")
-    )
+    return _topmost(_per_artifact(history))
+
+
+def merged_releases(current: DataFrame, added: DataFrame) -> DataFrame:
+    """``current_releases`` of a history to which the rows ``added`` of new artifacts came.
+
+    The greatest year of a key never falls, so what was outdone before stays so and only
+    ``current`` and the new rows are read.
+    """
+    return _topmost(current.drop("competing_releases").unionByName(_per_artifact(added)))
+
+
+def _per_artifact(rows: DataFrame) -> DataFrame:
+    complete = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in _RELEASE_KEY))
+    return complete.groupBy(*_RELEASE_KEY).agg(F.count(F.lit(1)).alias("observation_rows"))
+
+
+def _topmost(per_artifact: DataFrame) -> DataFrame:
     by_key = Window.partitionBy(*OBSERVATION_KEY)
     return (
         per_artifact.withColumn("_top", F.max("dataset_year").over(by_key))
@@ -43,9 +66,12 @@ def release_ambiguity(history: DataFrame) -> DataFrame:
     )
 
 
-def require_unambiguous(history: DataFrame) -> int:
-    """How many rows are current; raise when a key has no single current artifact (one job)."""
-    found = current_releases(history).agg(
+def require_unambiguous(history: DataFrame, current: DataFrame | None = None) -> int:
+    """How many rows are current; raise when a key has no single current artifact (one job).
+
+    ``current`` are the history's current releases, where they are stored already.
+    """
+    found = (current_releases(history) if current is None else current).agg(
         F.count_distinct(F.when(F.col("competing_releases") > 1, F.struct(*OBSERVATION_KEY))).alias("ambiguous"),
         F.coalesce(F.sum("observation_rows"), F.lit(0)).alias("rows"),
     ).first()
@@ -62,16 +88,18 @@ def select_current(
     history: DataFrame,
     *,
     with_counts: bool = False,
+    current: DataFrame | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Rows of the current release of every key; every other row is history.
 
     Lazy: call :func:`require_unambiguous` first where ties are possible.
-    ``with_counts`` keeps ``observation_rows`` for duplicate detection.
+    ``with_counts`` keeps ``observation_rows`` for duplicate detection. With stored
+    ``current`` releases the history is read once.
     """
     selected = attach_group_facts(
         history,
-        current_releases(history).drop("competing_releases"),
+        (current_releases(history) if current is None else current).drop("competing_releases"),
         _RELEASE_KEY,
         "observation_rows",
         required=True,

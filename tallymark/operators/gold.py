@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.contracts import (
@@ -129,7 +129,8 @@ def gold_lineage(silver: DataFrame, gold: DataFrame) -> DataFrame:
     """``metric_record_id, metric_id, role`` and the record behind it, for all six metrics.
 
     A direct metric has its records in role ``current``; a change also those of the year
-    before, as ``prior``. AQE splits a metric that very many records stand behind. Metric ids are computed, so Gold only says which of them exist.
+    before, as ``prior``. AQE splits a metric that very many records stand behind. Metric
+    ids are computed, so Gold only says which of them exist.
     """
     changes = " ".join(f"WHEN {quoted(m.direct_id)} THEN {quoted(m.change_id)}" for m in METRICS)
     change = f"CASE metric_id {changes} END"
@@ -270,6 +271,17 @@ def _row(columns: dict[str, str]) -> str:
     return f"named_struct({fields})"
 
 
+METRIC_STATUSES = (
+    "PUBLISHED", "CONFIDENTIAL", "SUPPRESSED", "UNAVAILABLE", "INVALID_VALUE", "INVALID_DUPLICATE",
+    "UNAVAILABLE_INPUT", "NOT_MEANINGFUL_BASE",
+)
+
+
+def snapshot_counts() -> dict[str, Column]:
+    """Counts of statuses, to be taken while Gold is written."""
+    return {f"status:{status}": F.count_if(F.col("metric_status") == status) for status in METRIC_STATUSES}
+
+
 def metric_status_counts(gold: DataFrame) -> DataFrame:
     return gold.groupBy("metric_id", "metric_status").agg(F.count(F.lit(1)).alias("rows"))
 

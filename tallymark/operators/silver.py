@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.contracts import (
@@ -15,7 +15,7 @@ from tallymark.contracts import (
     SILVER_SCHEMA_VERSION,
     SILVER_TYPES,
 )
-from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts, has_repeats
+from tallymark.functions.skew import HOT_MIN_ROWS, attach_group_facts
 from tallymark.functions.text import (
     any_of,
     is_blank,
@@ -32,6 +32,7 @@ from tallymark.functions.text import (
 from tallymark.operators.bronze import iso_instant
 from tallymark.operators.current_view import select_current
 from tallymark.operators.schema_check import ORDERED, check_schema
+from tallymark.session import stage
 
 LINEAGE_TEXT = (
     "ingestion_id",
@@ -42,15 +43,44 @@ LINEAGE_TEXT = (
     "schema_version",
 )
 _NUMBERED = ("ingestion_id", "source_row_number")
+#: What is known of an artifact without reading it again.
+FACT_TYPES = {
+    "ingestion_id": "string",
+    "source_sha256": "string",
+    "artifact_rows": "bigint",
+    "repeated_numbers": "boolean",
+}
+VALUE_STATUSES = ("PUBLISHED", "CONFIDENTIAL", "SUPPRESSED", "UNAVAILABLE", "INVALID")
+# Up to here per-artifact counts are broadcast (one short row each), beyond joined by shuffle.
+MANY_ARTIFACTS = 100_000
 LINEAGE_TYPED = ("dataset_year", "ingestion_timestamp", "row_count", "source_row_number")
 
 
+def artifact_facts(rows: DataFrame) -> DataFrame:
+    """Rows per artifact and digest, and whether the artifact uses a row number twice.
+
+    Numbers are compared as bits, 32,768 of them in one shuffled row.
+    """
+    digests = rows.groupBy("ingestion_id", "source_sha256").agg(F.count(F.lit(1)).alias("artifact_rows"))
+    numbers = (
+        rows.groupBy("ingestion_id", F.expr("bitmap_bucket_number(source_row_number) AS _bucket"))
+        .agg(
+            F.count("source_row_number").alias("_used"),
+            F.expr("bitmap_count(bitmap_construct_agg(bitmap_bit_position(source_row_number))) AS _different"),
+            F.expr("count_if(source_row_number IS NULL) AS _missing"),
+        )
+        .groupBy(F.col("ingestion_id").alias("_artifact"))
+        .agg(F.expr("sum(_used) <> sum(if(_bucket IS NULL, 0, _different)) OR sum(_missing) > 1 AS repeated_numbers"))
+    )
+    return digests.join(numbers, F.col("ingestion_id").eqNullSafe(F.col("_artifact"))).select(*FACT_TYPES)
+
+
 def to_silver(
     bronze: DataFrame,
     *,
     fingerprint: str,
     processed_at: datetime,
-    many_artifacts: bool = False,
+    many_artifacts: bool | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Type and check every Bronze row as it stands, without release selection."""
@@ -65,7 +95,7 @@ def to_silver(
         null_safe=True,
         hot_min_rows=hot_min_rows,
     )
-    return _checked(rows, bronze, fingerprint, processed_at, many_artifacts, hot_min_rows)
+    return _checked(rows, bronze, fingerprint, processed_at, hot_min_rows, None, many_artifacts)
 
 
 def build_silver(
@@ -73,27 +103,20 @@ def build_silver(
     *,
     fingerprint: str,
     processed_at: datetime,
-    many_artifacts: bool = False,
-    repeated_numbers: bool = True,
+    facts: DataFrame | None = None,
+    current: DataFrame | None = None,
     hot_min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Silver snapshot of the current view over the whole Bronze history.
 
     Completeness and row numbering are facts about an artifact, so they are measured
     over its full history: rows that a newer release did not replace stay valid.
-    Pass ``repeated_numbers=False`` only after :func:`has_repeated_numbers` found none;
-    the rows are then shuffled once instead of twice.
+    Where ``artifact_facts`` and ``current_releases`` of the history are stored, pass
+    them: the history is then read once.
     """
     check_schema(history, BRONZE_TYPES, ORDERED, "Bronze")
-    rows = select_current(history, with_counts=True, hot_min_rows=hot_min_rows)
-    return _checked(
-        rows, history, fingerprint, processed_at, many_artifacts, hot_min_rows, repeated_numbers
-    )
-
-
-def has_repeated_numbers(history: DataFrame) -> bool:
-    """Whether some artifact uses a row number twice (runs one narrow job)."""
-    return has_repeats(history, _NUMBERED)
+    rows = select_current(history, with_counts=True, current=current, hot_min_rows=hot_min_rows)
+    return _checked(rows, history, fingerprint, processed_at, hot_min_rows, facts)
 
 
 def _checked(
@@ -101,11 +124,13 @@ def _checked(
     history: DataFrame,
     fingerprint: str,
     processed_at: datetime,
-    many_artifacts: bool,
     hot_min_rows: int,
-    repeated_numbers: bool = True,
+    facts: DataFrame | None,
+    many_artifacts: bool | None = None,
 ) -> DataFrame:
-    if repeated_numbers:
+    facts = stage(artifact_facts(history), "artifact-facts") if facts is None else facts
+    known = facts.agg(F.count("*").alias("artifacts"), F.expr("coalesce(bool_or(repeated_numbers), false) AS repeated")).first()
+    if known["repeated"]:
         repeats = (
             history.groupBy(*_NUMBERED)
             .agg(F.count(F.lit(1)).alias("number_rows"))
@@ -115,17 +140,15 @@ def _checked(
             rows, repeats, _NUMBERED, "number_rows", null_safe=True, hot_min_rows=hot_min_rows
         )
     else:
+        # The rows are then shuffled once instead of twice.
         rows = rows.withColumn("number_rows", F.lit(1))
-    artifact_rows = history.groupBy("ingestion_id").agg(
-        F.count(F.lit(1)).alias("artifact_rows")
-    )
-    if many_artifacts:
+    artifact_rows = facts.groupBy("ingestion_id").agg(F.sum("artifact_rows").alias("artifact_rows"))
+    if known["artifacts"] > MANY_ARTIFACTS if many_artifacts is None else many_artifacts:
         rows = attach_group_facts(
             rows, artifact_rows, ["ingestion_id"], "artifact_rows", null_safe=True,
             hot_min_rows=hot_min_rows,
         )
     else:
-        # One short row per artifact file; the table layer counts the files first.
         counts = artifact_rows.withColumnRenamed("ingestion_id", "_artifact")
         rows = rows.join(
             F.broadcast(counts), F.col("ingestion_id").eqNullSafe(F.col("_artifact")), "left"
@@ -208,6 +231,13 @@ def row_rules() -> dict[str, str]:
     return conditions
 
 
+def snapshot_counts() -> dict[str, Column]:
+    """Counts of statuses, validity and failed rules, to be taken while Silver is written."""
+    statuses = {f"status:{status}": F.count_if(F.col("value_status") == status) for status in VALUE_STATUSES}
+    rules = {f"rule:{rule}": F.count_if(F.array_contains("validation_rule_ids", rule)) for rule in ROW_RULES}
+    return {"valid": F.count_if("is_valid"), **statuses, **rules}
+
+
 def failure_distribution(silver: DataFrame) -> DataFrame:
     """How many rows fail each rule."""
     return (

@@ -25,8 +25,8 @@ from tallymark.functions.hashing import (
     silver_fingerprint_of,
 )
 from tallymark.operators.bronze import ArtifactMetadata, iso_instant, to_bronze
-from tallymark.operators.current_view import require_unambiguous
-from tallymark.operators.gold import build_gold
+from tallymark.operators.current_view import CURRENT_TYPES, current_releases, merged_releases, require_unambiguous
+from tallymark.operators.gold import build_gold, gold_lineage, snapshot_counts as gold_counts
 from tallymark.operators.planning import incremental_plan
 from tallymark.operators.quality import quality_checks, quality_summary
 from tallymark.operators.revision import (
@@ -36,14 +36,13 @@ from tallymark.operators.revision import (
     revision_counts,
     value_transitions,
 )
-from tallymark.operators.silver import build_silver, has_repeated_numbers
+from tallymark.operators.silver import build_silver, snapshot_counts as silver_counts
 from tallymark.session import stage
 from tallymark.sources.csv_artifact import read_artifact
 from tallymark.sources.tables import (
     AppendResult,
     ArtifactRegistry,
     BronzeTable,
-    CatalogSnapshot,
     CatalogStore,
     PathStore,
     SnapshotResult,
@@ -57,6 +56,14 @@ def utc_now() -> datetime:
     return datetime.now(UTC)
 
 
+#: Look-ups name a metric, then a level, a year and a code; lineage is asked for by record.
+GOLD_LAYOUT = {
+    "partition": "metric_id",
+    "sort": ("industry_aggregation_nzsioc", "year", "industry_code_nzsioc"),
+    "beside": {"lineage": ("metric_record_id",)},
+}
+
+
 @dataclass
 class Warehouse:
     """The tables one deployment works on."""
@@ -64,8 +71,10 @@ class Warehouse:
     spark: SparkSession
     registry: ArtifactRegistry
     bronze: BronzeTable
-    silver: SnapshotTable | CatalogSnapshot
-    gold: SnapshotTable | CatalogSnapshot
+    #: The current release of every observation key in Bronze.
+    current: SnapshotTable
+    silver: SnapshotTable
+    gold: SnapshotTable
     quality: PathStore | CatalogStore
     revisions: PathStore | CatalogStore
 
@@ -77,12 +86,9 @@ class Warehouse:
             spark,
             ArtifactRegistry(PathStore(spark, f"{root}/artifacts", fmt)),
             BronzeTable(PathStore(spark, f"{root}/bronze", fmt)),
+            SnapshotTable(spark, f"{root}/current", CURRENT_TYPES, fmt),
             SnapshotTable(spark, f"{root}/silver", SILVER_TYPES, fmt),
-            SnapshotTable(
-                spark, f"{root}/gold", GOLD_TYPES, fmt,
-                partition="metric_id",
-                sort=("industry_aggregation_nzsioc", "year", "industry_code_nzsioc"),
-            ),
+            SnapshotTable(spark, f"{root}/gold", GOLD_TYPES, fmt, **GOLD_LAYOUT),
             PathStore(spark, f"{root}/quality", "json"),
             PathStore(spark, f"{root}/revisions", "json"),
         )
@@ -98,13 +104,9 @@ class Warehouse:
             spark,
             ArtifactRegistry(store("artifacts")),
             BronzeTable(store("bronze_observations")),
-            CatalogSnapshot(
-                store("silver_observations"), SILVER_TYPES,
-                "silver_input_fingerprint", "silver_schema_version",
-            ),
-            CatalogSnapshot(
-                store("gold_metrics"), GOLD_TYPES, "gold_input_fingerprint", "gold_schema_version"
-            ),
+            SnapshotTable(spark, store("current_observations"), CURRENT_TYPES, fmt),
+            SnapshotTable(spark, store("silver_observations"), SILVER_TYPES, fmt),
+            SnapshotTable(spark, store("gold_metrics"), GOLD_TYPES, fmt, **GOLD_LAYOUT),
             store("quality_reports"),
             store("revision_reports"),
         )
@@ -153,32 +155,58 @@ def ingest(warehouse: Warehouse, release: Release, *, clock: Clock = utc_now) ->
 
 
 def store_bronze(warehouse: Warehouse, ingestion: Ingestion) -> AppendResult:
-    return warehouse.bronze.append(
-        ingestion.bronze_rows, ingestion.metadata.ingestion_id, ingestion.metadata.row_count
+    """Append the artifact, and bring the current releases up to date where they were."""
+    before, artifact = bronze_fingerprint(warehouse), ingestion.metadata.ingestion_id
+    result = warehouse.bronze.append(ingestion.bronze_rows, artifact, ingestion.metadata.row_count)
+    if not result.duplicate and warehouse.current.is_current(before, SILVER_SCHEMA_VERSION):
+        added = warehouse.bronze.read().where(F.col("ingestion_id") == artifact)
+        merged = merged_releases(warehouse.current.read(), added)
+        warehouse.current.publish(merged, bronze_fingerprint(warehouse), SILVER_SCHEMA_VERSION)
+    return result
+
+
+def bronze_fingerprint(warehouse: Warehouse) -> str:
+    """Identity of the stored artifacts, from their facts."""
+    return silver_fingerprint_of(
+        (row.ingestion_id, row.source_sha256) for row in warehouse.bronze.artifacts().collect()
     )
 
 
+def stored_current_releases(warehouse: Warehouse) -> DataFrame:
+    """The current releases of Bronze as a table, made anew if an append did not leave them."""
+    fingerprint = bronze_fingerprint(warehouse)
+    if not warehouse.current.is_current(fingerprint, SILVER_SCHEMA_VERSION):
+        warehouse.current.publish(current_releases(warehouse.bronze.require()), fingerprint, SILVER_SCHEMA_VERSION)
+    return warehouse.current.read()
+
+
 def refresh_silver(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotResult:
-    """Rebuild Silver from Bronze unless it already has this input's fingerprint."""
+    """Rebuild Silver from Bronze unless it already has this input's fingerprint.
+
+    What decides about a row, its key's current release and its artifact's facts, is kept
+    in tables; the history is read once.
+    """
     history = warehouse.bronze.require()
-    selected = require_unambiguous(history)
-    fingerprint = silver_fingerprint_of(
-        (row.ingestion_id, row.source_sha256) for row in warehouse.bronze.artifacts().collect()
-    )
+    current = stored_current_releases(warehouse)
+    selected = require_unambiguous(history, current)
+    fingerprint = bronze_fingerprint(warehouse)
     if warehouse.silver.is_current(fingerprint, SILVER_SCHEMA_VERSION):
         return warehouse.silver.reuse(fingerprint, selected)
     silver = build_silver(
         history,
         fingerprint=fingerprint,
         processed_at=clock(),
-        many_artifacts=warehouse.bronze.has_many_artifacts(),
-        repeated_numbers=has_repeated_numbers(history),
+        facts=warehouse.bronze.facts(),
+        current=current,
     )
-    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION, selected)
+    return warehouse.silver.publish(silver, fingerprint, SILVER_SCHEMA_VERSION, selected, counts=silver_counts())
 
 
 def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotResult:
-    """Rebuild Gold from Silver unless it already has this input's fingerprint."""
+    """Rebuild Gold from Silver unless it already has this input's fingerprint.
+
+    The records behind every metric are published with it, as the table ``lineage``.
+    """
     silver = warehouse.silver.require("The Silver table")
     fingerprint = gold_fingerprint_of(
         row.fingerprint for row in warehouse.silver.fingerprints().collect()
@@ -190,22 +218,31 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
         fingerprint=fingerprint,
         processed_at=clock(),
     )
-    return warehouse.gold.publish(gold, fingerprint, GOLD_SCHEMA_VERSION)
+    return warehouse.gold.publish(
+        gold, fingerprint, GOLD_SCHEMA_VERSION,
+        counts=gold_counts(), beside={"lineage": lambda stored: gold_lineage(silver, stored)},
+    )
+
+
+def lineage_of(warehouse: Warehouse, metric_record_id: str) -> DataFrame:
+    """All records behind one metric row: a filtered scan of the lineage published with Gold."""
+    return warehouse.gold.read(table="lineage").where(F.col("metric_record_id") == metric_record_id)
 
 
 def assess_quality(warehouse: Warehouse, *, clock: Clock = utc_now) -> dict:
     """Run the quality checks over stored Silver and append the report.
 
-    A report has one row per check; the summary repeats on each of its rows.
+    Row totals and failed rules were counted when Silver was written. A report has one row per check; the summary repeats on each of its rows.
     """
     silver = warehouse.silver.require("The Silver table")
     checks = stage(quality_checks(silver, warehouse.bronze.read()), "quality-checks")
-    summary = quality_summary(silver, checks).first().asDict()
+    pointer = warehouse.silver.pointer()
+    counts = pointer["counts"]
+    summary = quality_summary(silver, checks, (pointer["rows"], counts["valid"])).first().asDict()
     stamp = iso_instant(clock())
     columns = [F.lit(value).alias(name) for name, value in summary.items()]
-    failures = silver.select(F.explode("validation_rule_ids").alias("rule")).groupBy("rule").count()
-    # At most one row per rule of the contract.
-    failed = {row["rule"]: row["count"] for row in failures.collect()}
+    # Counted while Silver was written, like the rows.
+    failed = {name.removeprefix("rule:"): n for name, n in counts.items() if n and name.startswith("rule:")}
     spread = F.lit(json.dumps(failed, sort_keys=True)).alias("failure_distribution")
     report = checks.select(F.lit(stamp).alias("generated_at"), "*", *columns, spread)
     warehouse.quality.write(report.coalesce(1), "append")
