@@ -31,7 +31,9 @@ from tallymark.functions.hashing import (  # noqa: E402
     silver_fingerprint,
     silver_fingerprint_of,
 )
-from tallymark.functions.text import string_array  # noqa: E402
+from tallymark.errors import IntegrityError  # noqa: E402
+from tallymark.functions.skew import attach_group_facts  # noqa: E402
+from tallymark.functions.text import is_string_array, string_array  # noqa: E402
 from tallymark.operators import (  # noqa: E402
     audit,
     current_view,
@@ -43,6 +45,7 @@ from tallymark.operators import (  # noqa: E402
     serving,
     silver,
 )
+from tallymark.operators.bronze import ArtifactMetadata  # noqa: E402
 from tallymark.operators.ranking import BenchmarkRequest  # noqa: E402
 from tallymark.plans import runs  # noqa: E402
 from tallymark.plans.runs import Warehouse  # noqa: E402
@@ -226,30 +229,76 @@ def validation_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 def flawed_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """Failures by rule of a release in which every row rule is broken somewhere."""
-    return silver.failure_distribution(_to_silver(stage(commerce.flawed_release(spark, folder), "flawed")))
+    return silver.failure_distribution(_flawed_silver(spark, folder))
 
 
 def flawed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """What becomes of each row of that release."""
-    return _to_silver(stage(commerce.flawed_release(spark, folder), "flawed")).selectExpr(
+    return _flawed_silver(spark, folder).selectExpr(
         "record_id", "year", "value_status", "CAST(value_numeric AS DOUBLE) AS value_numeric", "record_status",
         "array_join(validation_rule_ids, ',') AS validation_rule_ids",
         "size(validation_failure_reasons) AS reasons",
     )
 
 
+def _flawed_silver(spark: SparkSession, folder: str) -> DataFrame:
+    return _to_silver(stage(commerce.flawed_release(spark, folder), "flawed"))
+
+
+def flawed_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """All sixteen checks on that release, with values and outcomes of some rows put out of step."""
+    place = F.col("source_row_number") % commerce.FLAW_CYCLE
+    other = F.when(F.col("record_status") == "VALID", "INVALID").otherwise("VALID")
+    altered = _flawed_silver(spark, folder).withColumns(
+        {
+            "value_numeric": F.when(place != 20, F.col("value_numeric")),
+            "record_status": F.when(place == 21, other).otherwise(F.col("record_status")),
+        }
+    )
+    return quality.quality_checks(stage(altered, "altered")).select(
+        "check_number", "rule_id", "severity", "status", "affected_rows"
+    )
+
+
+def flawed_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of repeated, renamed and incomplete observations: every status occurs."""
+    return _to_gold(_flawed_silver(spark, folder)).selectExpr(*GOLD_COLUMNS[:-1])
+
+
+def stored_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """The lineage published with Gold of that release: all records behind a metric, repeated ones too."""
+    warehouse = Warehouse.at(spark, _scratch(spark, "lineage"))
+    warehouse.silver.publish(_flawed_silver(spark, folder), SILVER_PRINT, SILVER_SCHEMA_VERSION)
+    runs.refresh_gold(warehouse, clock=lambda: PROCESSED_AT)
+    return warehouse.gold.read(table="lineage").drop("source_sha256")
+
+
 def value_status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return silver.status_counts(_silver(spark, folder))
 
 
+SILVER_COLUMNS = (
+    "record_id", *IDENTITY, "industry_name_nzsioc", "industry_code_anzsic06",
+    "variable_code", "variable_name", "variable_category", "units", "value_raw",
+    "CAST(value_numeric AS DOUBLE) AS value_numeric", "value_status", "is_valid",
+    "array_join(validation_rule_ids, ',') AS validation_rule_ids", "ingestion_id",
+    "dataset_year", "source_row_count", "source_row_number", "silver_input_fingerprint",
+)
+
+
 def silver_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return _silver(spark, folder).selectExpr(
-        "record_id", *IDENTITY, "industry_name_nzsioc", "industry_code_anzsic06",
-        "variable_code", "variable_name", "variable_category", "units", "value_raw",
-        "CAST(value_numeric AS DOUBLE) AS value_numeric", "value_status", "is_valid",
-        "array_join(validation_rule_ids, ',') AS validation_rule_ids", "ingestion_id",
-        "dataset_year", "source_row_count", "source_row_number", "silver_input_fingerprint",
-    )
+    return _silver(spark, folder).selectExpr(*SILVER_COLUMNS)
+
+
+def silver_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Silver after the second release, from current releases and facts kept since the first."""
+    history = _bronze(spark, folder)
+    warehouse = Warehouse.at(spark, _scratch(spark, "refresh"))
+    for sha in (R1_SHA, R2_SHA):
+        rows = history.where(F.col("ingestion_id") == sha)
+        runs.append_artifact(warehouse, rows, sha, rows.count())
+        runs.refresh_silver(warehouse, clock=lambda: PROCESSED_AT)
+    return warehouse.silver.read().selectExpr(*SILVER_COLUMNS)
 
 
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -491,6 +540,64 @@ def incremental_plan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def deferred_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The newer release offered to an incremental load that holds the older one."""
+    candidate, older = _releases(spark, folder)
+    of_silver = silver_fingerprint(older)
+    return planning.incremental_plan(
+        R2_SHA,
+        R2_SHA,
+        artifacts=older.select("ingestion_id", "source_sha256"),
+        silver_fingerprints=of_silver,
+        gold_fingerprints=gold_fingerprint(of_silver, "fingerprint"),
+        overlap=revision.overlap_and_change(candidate, older),
+    ).selectExpr(
+        "layer_order", "layer", "action", "size(current_identities) AS current_identities", "expected_identity",
+        "pipeline_status", "artifact_status", "overlap_observations", "changed_existing_observations",
+    )
+
+
+def revision_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a release is taken for: newer than what it overlaps, older, or of other industries."""
+    newer, older = _releases(spark, folder)
+    moved = F.concat(F.lit("X"), "Industry_code_NZSIOC")
+    cases = {
+        "newer": (newer, older, R2_SHA, 2026),
+        "older": (older, newer, R1_SHA, 2025),
+        "other": (newer.withColumn("Industry_code_NZSIOC", moved), older, R2_SHA, 2026),
+    }
+    found = []
+    for case, (candidate, history, sha, year) in cases.items():
+        metadata = ArtifactMetadata(sha, "f", "u", sha, year, f"v{year}", PROCESSED_AT.isoformat(), 1)
+        report = runs.analyze_revision(candidate, history, metadata)
+        found.append((case, report.overall_result, *(getattr(report, name) for name in runs.COUNTERS)))
+    counters = ", ".join(f"{name} BIGINT" for name in runs.COUNTERS)
+    return spark.createDataFrame(found, f"case STRING, overall_result STRING, {counters}")
+
+
+def hot_group_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Group sizes attached to rows where one key holds a third of them, through the salted branch."""
+    hot = F.when(F.col("source_row_number") % 3 == 0, "HOT").otherwise(F.col("Industry_code_NZSIOC"))
+    rows = _bronze(spark, folder).select(hot.alias("code"), "Variable_code")
+    sizes = rows.groupBy("code").agg(F.count("*").alias("code_rows"))
+    attached = attach_group_facts(rows, sizes, ["code"], "code_rows", hot_min_rows=1_000)
+    return attached.groupBy("code", "Variable_code", "code_rows").agg(F.count("*").alias("rows"))
+
+
+#: Texts in place of a JSON array of strings; only the first three are one.
+ARRAY_TEXTS = ('["a","b"]', "[]", None, "[1]", "[null]", '["a",]', '{"a":1}', "a,b", "", '["a"] x')
+
+
+def string_array_malformed(spark: SparkSession, folder: str) -> DataFrame:
+    """Array texts of which most are no array of strings, over all observations."""
+    texts = ", ".join("NULL" if t is None else f"'{t}'" for t in ARRAY_TEXTS)
+    rows = _raw(spark, folder).selectExpr(f"CAST(source_row_number % {len(ARRAY_TEXTS)} AS INT) AS kind")
+    read = rows.selectExpr("kind", f"array({texts})[kind] AS text").selectExpr(
+        "kind", f"{is_string_array('text')} AS accepted", f"array_join({string_array('text')}, '|') AS items"
+    )
+    return read.groupBy("kind", "accepted", "items").agg(F.count("*").alias("rows"))
+
+
 def audit_silver(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_silver(_silver(spark, folder))
 
@@ -623,6 +730,33 @@ def idempotent_append(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def catalog_retry(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog tables after failed writes: what a failure left is not read, and a retry leaves one copy."""
+    schema = f"tallymark_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{_scratch(spark, 'catalog')}'")
+    warehouse = Warehouse.in_catalog(spark, schema)
+    history, steps = _bronze(spark, folder), []
+    rows = history.where(F.col("ingestion_id") == R1_SHA)
+    expected = rows.count()
+
+    def step(name: str, table, duplicate: bool) -> None:
+        steps.append((len(steps) + 1, name, table.read().count() if table.exists() else 0, duplicate))
+
+    runs.append_artifact(warehouse, history.where(F.col("ingestion_id") == R2_SHA), R2_SHA, history.count() - expected)
+    warehouse.bronze.store.write_attempt(rows, "ingestion_id")
+    step("append without commit", warehouse.bronze, False)
+    for name in ("append", "append again"):
+        step(name, warehouse.bronze, runs.append_artifact(warehouse, rows, R1_SHA, expected).duplicate)
+    snapshot = _to_silver(history)
+    try:
+        warehouse.silver.publish(snapshot, SILVER_PRINT, SILVER_SCHEMA_VERSION, 1)
+    except IntegrityError:
+        step("snapshot with a wrong count", warehouse.silver, False)
+    for name in ("snapshot", "snapshot again"):
+        step(name, warehouse.silver, warehouse.silver.publish(snapshot, SILVER_PRINT, SILVER_SCHEMA_VERSION).duplicate)
+    return spark.createDataFrame(steps, "step INT, name STRING, visible BIGINT, duplicate BOOLEAN")
+
+
 def snapshot_rerun(spark: SparkSession, folder: str) -> DataFrame:
     """Silver and Gold snapshots published twice; the second time they are reused."""
     warehouse = Warehouse.at(spark, _scratch(spark, "snapshots"))
@@ -663,6 +797,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fingerprints, row_digests, incremental_plan, audit_silver, audit_gold,
         audit_rankings, lineage_audit, string_array_normalise, csv_ingest_roundtrip,
         idempotent_append, snapshot_rerun, csv_artifact_facts, csv_line_breaks, load_runs,
+        flawed_quality, flawed_gold, stored_lineage, silver_refresh, deferred_plan, revision_outcomes,
+        hot_group_facts, string_array_malformed, catalog_retry,
     )
     return {
         "current_view": current_rows,

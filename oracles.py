@@ -166,6 +166,24 @@ flawed AS (
     FROM facts)"""
 
 
+# That release as Silver rows, for the same Gold and quality texts as above.
+DIRTY = """
+dirty AS (
+    SELECT ingestion_id || ':' || number AS record_id, TRY_CAST(y AS INTEGER) AS year, y AS year_raw,
+           lvl AS industry_aggregation_nzsioc, code AS industry_code_nzsioc, name AS industry_name_nzsioc,
+           anzsic AS industry_code_anzsic06, v AS variable_code, vname AS variable_name, vcat AS variable_category,
+           un AS units, Value AS value_raw, status AS value_status,
+           CASE WHEN status = 'PUBLISHED' THEN CAST(replace(Value, ',', '') AS DECIMAL(38,18)) END AS value_numeric,
+           array_to_string(failed, ',') AS failed, ingestion_id, number, stated, stored, same_number, no_file, other_sha,
+           number % 97 AS m
+    FROM verdicts
+)"""
+
+
+def _of_dirty(text: str) -> str:
+    return text.replace("FROM silver", "FROM dirty")
+
+
 def _direct(metric: str, unit: str, code: str, name: str, category: str, units: str) -> str:
     return f"""
     SELECT s.year, s.industry_aggregation_nzsioc, s.industry_code_nzsioc,
@@ -353,6 +371,34 @@ described AS (
 )"""
 
 
+_DIMENSIONS = ("industry_aggregation_nzsioc", "industry_code_nzsioc", "industry_name_nzsioc", "industry_code_anzsic06",
+               "variable_code", "variable_name", "variable_category", "units")
+#: The checks with what they count where rows are flawed, and some values and outcomes altered.
+DIRTY_CONDITIONS = {
+    "DQ_COMPLETENESS_REQUIRED_DIMENSIONS": "year IS NULL OR " + " OR ".join(f"trim({d}) = ''" for d in _DIMENSIONS),
+    "DQ_VALIDITY_VALUE_STATE": "value_status = 'PUBLISHED' AND m = 20",
+    "DQ_CONTRACT_VALIDATION_OUTCOME": "m = 21",
+    "DQ_CONTRACT_LINEAGE": "no_file OR other_sha OR number NOT BETWEEN 1 AND stated OR stored <> stated OR same_number > 1",
+    "DQ_INFO_NEGATIVE_PUBLISHED_ROWS": "value_status = 'PUBLISHED' AND value_numeric < 0 AND m <> 20",
+}
+
+
+def _dirty_checks() -> str:
+    counts = " UNION ALL ".join(
+        f"SELECT {i} AS check_number, '{rule}' AS rule_id, '{severity}' AS severity, "
+        + ("CAST(NULL AS BIGINT) AS affected_rows" if condition is None
+           else f"(SELECT {_count(DIRTY_CONDITIONS.get(rule, condition))} FROM described) AS affected_rows")
+        for i, (rule, severity, condition) in enumerate(QUALITY, start=1))
+    return f"""
+        , described AS (
+            SELECT *, count(*) OVER (PARTITION BY record_id) AS same_record,
+                   count(*) OVER (PARTITION BY ingestion_id, {IDENTITY}, variable_code) AS same_grain FROM dirty),
+        counted AS ({counts})
+        SELECT CAST(check_number AS INTEGER) AS check_number, rule_id, severity, affected_rows,
+               CASE WHEN affected_rows IS NULL OR affected_rows = 0 OR severity = 'INFORMATIONAL'
+                    THEN 'PASS' ELSE 'FAIL' END AS status FROM counted"""
+
+
 def oracle_sql() -> dict[str, str]:
     rank = {kind: TO_GOLD + f", board AS ({_ranked(kind)}) SELECT {RANKED} FROM board "
             "WHERE rank_position <= 5"
@@ -373,6 +419,27 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 3, 'Gold', 'REQUIRED', upper(sha256(concat_ws(chr(10),
             'aes-gold-metrics-v1', 'aes-gold-rules-v3',
             upper(sha256(upper(sha256('R1')) || ':' || upper(sha256('R1'))))))), gfp FROM gold_print)"""
+    silver_rows = TO_SILVER + """
+        SELECT record_id, year, industry_aggregation_nzsioc, industry_code_nzsioc,
+               industry_name_nzsioc, industry_code_anzsic06, variable_code, variable_name,
+               variable_category, units, value_raw, CAST(value_numeric AS DOUBLE) AS value_numeric,
+               value_status, failed = '' AS is_valid, failed AS validation_rule_ids, ingestion_id,
+               CAST(dataset_year AS INTEGER) AS dataset_year, source_row_count, source_row_number,
+               sfp AS silver_input_fingerprint
+        FROM silver, silver_print"""
+    lineage = f"""
+        , records AS (SELECT {IDENTITY}, record_id, ingestion_id,
+            CASE variable_code WHEN 'H01' THEN 1 WHEN 'H23' THEN 2 ELSE 3 END AS number
+            FROM silver WHERE variable_code IN ('H01', 'H23', 'H40')),
+        roles AS (
+            SELECT *, 'M' || number AS metric_id, 'current' AS role FROM records
+            UNION ALL SELECT *, 'M' || (number + 3), 'current' FROM records
+            UNION ALL SELECT * REPLACE (year + 1 AS year), 'M' || (number + 3), 'prior' FROM records)
+        SELECT metric_record_id, metric_id, role, record_id, ingestion_id
+        FROM roles JOIN (SELECT metric_record_id, metric_id, {IDENTITY} FROM gold)
+        USING (metric_id, {IDENTITY})"""
+    # A record without a year still has an id.
+    of_dirty = _of_dirty(GOLD).replace("CAST(year AS VARCHAR)", "coalesce(CAST(year AS VARCHAR), '<null>')")
     audits = {
         "audit_silver": TO_SILVER + f"""
             SELECT 'published_with_null_numeric' AS check_name,
@@ -450,14 +517,7 @@ def oracle_sql() -> dict[str, str]:
             FROM verdicts""",
         "value_status_counts": TO_SILVER + """
             SELECT value_status, count(*) AS rows FROM silver GROUP BY value_status""",
-        "silver_snapshot": TO_SILVER + """
-            SELECT record_id, year, industry_aggregation_nzsioc, industry_code_nzsioc,
-                   industry_name_nzsioc, industry_code_anzsic06, variable_code, variable_name,
-                   variable_category, units, value_raw, CAST(value_numeric AS DOUBLE) AS value_numeric,
-                   value_status, failed = '' AS is_valid, failed AS validation_rule_ids, ingestion_id,
-                   CAST(dataset_year AS INTEGER) AS dataset_year, source_row_count, source_row_number,
-                   sfp AS silver_input_fingerprint
-            FROM silver, silver_print""",
+        "silver_snapshot": silver_rows,
         "quality_report": _chain(CELLS, SILVER, QUALITY_CHECKS) + """
             SELECT CAST(check_number AS INTEGER) AS check_number, rule_id, severity, status,
                    affected_rows FROM checks""",
@@ -477,17 +537,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT year, industry_aggregation_nzsioc, industry_code_nzsioc,
                    CASE variable_code WHEN 'H01' THEN 'M1' WHEN 'H23' THEN 'M2' ELSE 'M3' END AS metric_id,
                    record_id, ingestion_id FROM silver WHERE variable_code IN ('H01', 'H23', 'H40')""",
-        "gold_lineage": TO_GOLD + f"""
-            , records AS (SELECT {IDENTITY}, record_id, ingestion_id,
-                CASE variable_code WHEN 'H01' THEN 1 WHEN 'H23' THEN 2 ELSE 3 END AS number
-                FROM silver WHERE variable_code IN ('H01', 'H23', 'H40')),
-            roles AS (
-                SELECT *, 'M' || number AS metric_id, 'current' AS role FROM records
-                UNION ALL SELECT *, 'M' || (number + 3), 'current' FROM records
-                UNION ALL SELECT * REPLACE (year + 1 AS year), 'M' || (number + 3), 'prior' FROM records)
-            SELECT metric_record_id, metric_id, role, record_id, ingestion_id
-            FROM roles JOIN (SELECT metric_record_id, metric_id, {IDENTITY} FROM gold)
-            USING (metric_id, {IDENTITY})""",
+        "gold_lineage": TO_GOLD + lineage,
         "metric_status_counts": TO_GOLD + """
             SELECT metric_id, metric_status, count(*) AS rows FROM gold GROUP BY ALL""",
         "level_counts": TO_GOLD + """
@@ -603,6 +653,52 @@ def oracle_sql() -> dict[str, str]:
             SELECT {", ".join(RAW_COLUMNS)}, files.source_sha256, files.row_count,
                    row_number() OVER (PARTITION BY release, Year ORDER BY source_row_number) AS source_row_number
             FROM broken JOIN files USING (release, Year)""",
+        "flawed_quality": _chain(CELLS, FLAWED, DIRTY) + _dirty_checks(),
+        "flawed_gold": _chain(CELLS, SILVER, FLAWED, DIRTY, of_dirty) + f"""
+            SELECT {GOLD_COLUMNS.rsplit(",", 1)[0]} FROM gold""",
+        "stored_lineage": _chain(CELLS, SILVER, FLAWED, DIRTY, of_dirty) + _of_dirty(lineage),
+        "silver_refresh": silver_rows,
+        "deferred_plan": _chain(CELLS, PAIRS) + f"""
+            , facts AS (SELECT {_count("new_release IS NOT NULL AND old_release IS NOT NULL")} AS overlapping,
+                {_count("new_release IS NOT NULL AND old_release IS NOT NULL AND (value_changed OR metadata_changed)")} AS changed
+                FROM pairs)
+            SELECT CAST(n AS INTEGER) AS layer_order, layer, 'DEFERRED' AS action, CAST(0 AS INTEGER) AS current_identities,
+                CAST(NULL AS VARCHAR) AS expected_identity, 'DEFERRED_REVISION' AS pipeline_status,
+                'NEW_ARTIFACT' AS artifact_status, overlapping AS overlap_observations,
+                changed AS changed_existing_observations
+            FROM (VALUES (1, 'Bronze'), (2, 'Silver'), (3, 'Gold')) t(n, layer), facts""",
+        "revision_outcomes": _chain(CELLS, PAIRS) + f"""
+            , sides AS (SELECT *, new_release IS NOT NULL AS incoming, old_release IS NOT NULL AS kept FROM pairs),
+            facts AS (SELECT {_count("incoming AND kept")} AS o,
+                {_count("incoming AND kept AND NOT value_changed AND NOT metadata_changed")} AS u,
+                {_count("incoming AND kept AND value_changed")} AS v, {_count("incoming AND kept AND metadata_changed")} AS m,
+                {_count("incoming AND NOT kept")} AS added, {_count("kept AND NOT incoming")} AS absent,
+                {_count("incoming AND kept AND (value_changed OR metadata_changed)")} AS moved,
+                {_count("incoming")} AS fresh, {_count("kept")} AS old FROM sides)
+            SELECT 'newer' AS case, 'ELIGIBLE' AS overall_result, o AS overlapping_observations,
+                u AS unchanged_republications, v AS revised_values, m AS revised_metadata,
+                added AS newly_added_observations, absent AS observations_absent_from_incoming,
+                added + moved AS current_view_observations_changed FROM facts
+            UNION ALL SELECT 'older', 'DEFERRED_AMBIGUOUS', o, u, v, m, absent, added, absent + moved FROM facts
+            UNION ALL SELECT 'other', 'NOT_REVISION', 0, 0, 0, 0, fresh, old, fresh FROM facts""",
+        "hot_group_facts": RAW + """
+            , coded AS (SELECT CASE WHEN source_row_number % 3 = 0 THEN 'HOT' ELSE Industry_code_NZSIOC END AS code,
+                Variable_code FROM bronze),
+            sized AS (SELECT *, count(*) OVER (PARTITION BY code) AS code_rows FROM coded)
+            SELECT code, Variable_code, code_rows, count(*) AS rows FROM sized GROUP BY ALL""",
+        "string_array_malformed": RAW + """
+            SELECT CAST(source_row_number % 10 AS INTEGER) AS kind, source_row_number % 10 < 3 AS accepted,
+                CASE source_row_number % 10 WHEN 0 THEN 'a|b' WHEN 1 THEN '' WHEN 2 THEN '' END AS items,
+                count(*) AS rows FROM bronze GROUP BY ALL""",
+        "catalog_retry": TO_SILVER + """
+            , sizes AS (SELECT (SELECT count(*) FROM bronze WHERE release = 'R2') AS newer,
+                (SELECT count(*) FROM bronze) AS stored, (SELECT count(*) FROM silver) AS chosen)
+            SELECT CAST(1 AS INTEGER) AS step, 'append without commit' AS name, newer AS visible, false AS duplicate FROM sizes
+            UNION ALL SELECT 2, 'append', stored, false FROM sizes
+            UNION ALL SELECT 3, 'append again', stored, true FROM sizes
+            UNION ALL SELECT 4, 'snapshot with a wrong count', 0, false
+            UNION ALL SELECT 5, 'snapshot', chosen, false FROM sizes
+            UNION ALL SELECT 6, 'snapshot again', chosen, true FROM sizes""",
         "load_runs": TO_SILVER + f"""
             , older AS (SELECT * FROM bronze WHERE release = 'R1'),
             facts AS (SELECT

@@ -155,11 +155,20 @@ def ingest(warehouse: Warehouse, release: Release, *, clock: Clock = utc_now) ->
 
 
 def store_bronze(warehouse: Warehouse, ingestion: Ingestion) -> AppendResult:
-    """Append the artifact, and bring the current releases up to date where they were."""
-    before, artifact = bronze_fingerprint(warehouse), ingestion.metadata.ingestion_id
-    result = warehouse.bronze.append(ingestion.bronze_rows, artifact, ingestion.metadata.row_count)
+    return append_artifact(
+        warehouse, ingestion.bronze_rows, ingestion.metadata.ingestion_id, ingestion.metadata.row_count
+    )
+
+
+def append_artifact(warehouse: Warehouse, rows: DataFrame, ingestion_id: str, expected_rows: int) -> AppendResult:
+    """Append Bronze rows, and bring the current releases up to date where they were.
+
+    Only the new artifact and the stored current releases are read for that.
+    """
+    before = bronze_fingerprint(warehouse)
+    result = warehouse.bronze.append(rows, ingestion_id, expected_rows)
     if not result.duplicate and warehouse.current.is_current(before, SILVER_SCHEMA_VERSION):
-        added = warehouse.bronze.read().where(F.col("ingestion_id") == artifact)
+        added = warehouse.bronze.read().where(F.col("ingestion_id") == ingestion_id)
         merged = merged_releases(warehouse.current.read(), added)
         warehouse.current.publish(merged, bronze_fingerprint(warehouse), SILVER_SCHEMA_VERSION)
     return result
@@ -366,7 +375,7 @@ MESSAGES = {
     "NO_OP": "The artifact is already current or is not an overlapping revision.",
     "NOT_REVISION": "The artifact is already current or is not an overlapping revision.",
 }
-_COUNTERS = (
+COUNTERS = (
     "overlapping_observations",
     "unchanged_republications",
     "revised_values",
@@ -388,7 +397,7 @@ def _report(result: str, metadata: ArtifactMetadata, previous, counts, transitio
         precedence_rule=PRECEDENCE_RULE,
         previous_releases=previous,
         incoming_release={"release_identity": identity, **metadata.to_dict()},
-        **{name: int(counts.get(name, 0)) for name in _COUNTERS},
+        **{name: int(counts.get(name, 0)) for name in COUNTERS},
         value_transition_counts=dict(sorted(transitions.items())),
         silver_rebuild_required=eligible,
         gold_rebuild_required=eligible,

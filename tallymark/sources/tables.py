@@ -119,7 +119,8 @@ class BronzeTable:
         columns = [*FACT_TYPES, ATTEMPT]
         if self._facts.exists():
             return self._facts.read(ddl({**FACT_TYPES, ATTEMPT: "string"})).select(*columns)
-        if not self.store.exists():
+        # Rows with attempts and no facts are uncommitted ones, not an older table's.
+        if not self.store.exists() or ATTEMPT in self._stored().columns:
             return self.store.spark.createDataFrame([], ddl({**FACT_TYPES, ATTEMPT: "string"}))
         found = artifact_facts(self._stored()).withColumn(ATTEMPT, F.lit(""))
         self._facts.write(found.select(*columns), "append")
