@@ -43,48 +43,61 @@ def number_in_buckets(
     )
 
 
-def number_globally(
-    rows: DataFrame, group: Sequence[str], order: Sequence[Column], position: str
+#: Cut points per group: no stretch between two of them has much more than this share of it.
+CUTS = 128
+TIE_CUTS = 32
+
+
+def number_by_cuts(
+    rows: DataFrame,
+    group: Sequence[str],
+    score: str,
+    ties: Sequence[str],
+    position: str,
+    most: int,
 ) -> DataFrame:
-    """Number each group's rows 1..n by ``order``, however large a group is.
+    """Number each group's rows 1..n by falling ``score``, then ``ties``, up to ``most``.
+
+    Lazy, however large a group is. Approximate quantiles of a group, from one map-side
+    combined aggregate, cut it into stretches; their sizes say where each begins, and
+    whether it begins within ``most`` at all. Only the stretches that do are sorted, each
+    by itself. A score on a cut point may be that of very many rows: it is a stretch of
+    its own, cut further by the first letters of the first tie break, a text.
 
-    A range-partitioned sort splits even one huge group over many tasks. Sampled
-    range bounds differ between runs, so the sorted rows are fixed by a reliable
-    checkpoint before partition counts are taken.
+    Quantiles are broadcast, so ``group`` should have few values.
     """
-    from tallymark.session import ensure_checkpoint_dir
+    letters = F.expr(f"CAST(conv(rpad(hex(left({ties[0]}, 6)), 12, '0'), 16, 10) AS BIGINT)")
+    scored = rows.withColumn("_score", F.expr(score)).withColumn("_letters", F.coalesce(letters, F.lit(-1)))
 
-    ensure_checkpoint_dir(rows.sparkSession)
-    keys = [F.col(name) for name in group]
-    placed = (
-        rows.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .select(
-            "*",
-            F.spark_partition_id().alias("_part"),
-            F.monotonically_increasing_id().alias("_seq"),
-        )
-        .checkpoint()
-    )
-    spans = placed.groupBy(*group, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first")
-    )
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
+    def quantiles(count: int) -> str:
+        return "array(" + ", ".join(f"{i / count}D" for i in range(count + 1)) + ")"
+
+    cuts = scored.groupBy(*group).agg(
+        F.expr(f"approx_percentile(_score, {quantiles(CUTS)}, 1000) AS _cuts"),
+        F.expr(f"approx_percentile(_letters, {quantiles(TIE_CUTS)}, 1000) AS _tie_cuts"),
+    ).select(*(F.col(g).alias(f"_g_{g}") for g in group), F.array_distinct("_cuts").alias("_cuts"), F.array_distinct("_tie_cuts").alias("_tie_cuts"))
+    same = " AND ".join(f"{g} <=> _g_{g}" for g in group)
+    on_cut = "array_contains(_cuts, _score)"
+    placed = scored.join(F.broadcast(cuts), F.expr(same)).selectExpr(
+        *rows.columns,
+        "_score",
+        # One key without nulls, so that the join below needs no shuffle of its own.
+        f"to_json(struct({', '.join(group)})) AS _group",
+        f"2 * size(filter(_cuts, c -> c > _score)) + if({on_cut}, 1, 0) AS _stretch",
+        f"if({on_cut}, size(filter(_tie_cuts, c -> c < _letters)), 0) AS _part",
     )
-    offsets = spans.select(
-        *[F.col(name).alias(f"_g_{name}") for name in group],
-        F.col("_part").alias("_g_part"),
-        "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    order = [F.desc("_score"), *map(F.asc, ties)]
+    bucket = ["_stretch", "_part"]
+    before = Window.partitionBy("_group").orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    begins = (
+        placed.groupBy("_group", *bucket).agg(F.count(F.lit(1)).alias("_n"))
+        .select("_group", *bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .where(F.col("_offset") < most)
     )
-    same_span = F.col("_part") == F.col("_g_part")
-    for name in group:
-        same_span = same_span & F.col(name).eqNullSafe(F.col(f"_g_{name}"))
+    within = F.row_number().over(Window.partitionBy("_group", *bucket).orderBy(*order))
     return (
-        placed.join(offsets, same_span)
-        .withColumn(
-            position, (F.col("_offset") + F.col("_seq") - F.col("_first") + 1).cast("bigint")
-        )
+        placed.join(begins, ["_group", *bucket])
+        .withColumn(position, (F.col("_offset") + within).cast("bigint"))
+        .where(F.col(position) <= most)
         .select(*rows.columns, position)
     )

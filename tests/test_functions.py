@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.hashing import (
@@ -12,7 +13,7 @@ from tallymark.functions.hashing import (
     silver_fingerprint,
     silver_fingerprint_of,
 )
-from tallymark.functions.ordering import number_globally, number_in_buckets
+from tallymark.functions.ordering import number_by_cuts, number_in_buckets
 from tallymark.functions.skew import attach_group_facts
 from tallymark.functions.text import is_known_definition, is_string_array, string_array
 
@@ -78,10 +79,25 @@ def test_numbering_matches_a_plain_window(spark):
     rows = spark.range(500).selectExpr("id % 3 AS g", "CAST((id * 37) % 101 AS INT) AS v", "id")
     window = Window.partitionBy("g").orderBy("v", "id")
     expected = {(r.id, r.p) for r in rows.select("id", F.row_number().over(window).alias("p")).collect()}
-    far = number_globally(rows, ["g"], [F.col("v"), F.col("id")], "p")
+    texts = rows.withColumn("t", F.expr("lpad(CAST(id AS STRING), 3, '0')"))
+    far = number_by_cuts(texts, ["g"], "-v", ["t"], "p", 1_000)
     assert {(r.id, r.p) for r in far.collect()} == expected
     near = number_in_buckets(
         rows.withColumn("b", F.floor(F.col("v") / 10)), ["g"], ["b"], ["v", "id"], position="p", total="n"
     )
     assert {(r.id, r.p) for r in near.collect()} == expected
     assert {(r.g, r.n) for r in near.collect()} == {(0, 167), (1, 167), (2, 166)}
+
+
+def test_cuts_follow_ties_nulls_and_the_bound(spark):
+    """Half of a group on one score, decimals that doubles cannot hold, missing texts, a group of one."""
+    rows = spark.range(3_000).selectExpr(
+        "if(id = 7, 'one', if(id % 3 = 0, NULL, 'g')) AS g",
+        "CAST(CASE WHEN id % 2 = 0 THEN 5 ELSE pmod(xxhash64(id), 97) / 7 END AS DECIMAL(38,18)) + CAST(id % 2 AS DECIMAL(38,18)) * 0.000000000000000001 AS s",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE concat('C', id % 400) END AS code", "CAST(id AS STRING) AS id")
+    order = [F.desc("s"), F.asc("code"), F.asc("id")]
+    numbered = rows.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    for most in (1, 600, 10**9):
+        expected = {tuple(r) for r in numbered.where(F.col("p") <= most).select("g", "id", "p").collect()}
+        found = number_by_cuts(rows, ["g"], "s", ["code", "id"], "p", most)
+        assert {tuple(r) for r in found.select("g", "id", "p").collect()} == expected
