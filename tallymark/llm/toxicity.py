@@ -15,9 +15,10 @@ the stretch does not matter. A segment has the score of its best stretch, and is
 significant by that law; the document's evidence is the sum of its significant segments'
 log p-values, mapped to 0..1 by a logistic curve.
 
-The classifier is fitted on a bounded sample: ``TRAIN_ROWS`` labelled documents chosen
-by hash, a fifth of them for calibration, and ``MAX_FEATURES`` tokens and stems with
-most evidence. Scoring covers every whole text.
+The classifier is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled documents
+chosen by hash, a fifth of them for calibration, and every token and stem that two of
+them hold. What reaches the driver follows from that sample, not from the corpus.
+Scoring covers every whole text.
 
 Null and empty texts have no tokens and get the score of no evidence. Without labels of
 both kinds, every score is 0. Rows repeat as they come; other columns are ignored.
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from tallymark.llm.bytehash import Powers, letter_spans, lower_latin, prefix_sums, row_chunks, span_hashes, utf8
 
 TRAIN_ROWS = 40_000
-MAX_FEATURES = 200_000
 #: Bytes of the stems behind a word, longest first; a word is level 0.
 STEMS = (8, 6, 4)
 #: Documents that a prior is worth.
@@ -203,14 +203,18 @@ def stretch_score(scores: np.ndarray, words: np.ndarray) -> float:
 
 
 def _sample(labels: DataFrame, usable: Column, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents by hash of their id; ``fit`` marks four fifths."""
+    """About ``rows`` labelled documents, those with the least hashes; ``fit`` marks four fifths.
+
+    The bound on the hash follows from the number of labels, so nothing is sorted or sent
+    to the driver; twice ``rows`` are never exceeded.
+    """
     one = labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    order = F.xxhash64("doc_id")
-    return (
-        one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-        .orderBy(order, "doc_id").limit(rows)
-        .withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) != 0)
-    )
+    one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    count = one.count()
+    if count > rows:
+        bound = int(rows / count * (1 << 32))
+        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < bound).limit(2 * rows)
+    return one.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) != 0)
 
 
 def _log_odds(share: np.ndarray) -> np.ndarray:
@@ -294,9 +298,9 @@ def _evidence(model: Model, tokens, best) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents; ``usable`` is a condition on ``doc_id``."""
+    """Fit on about ``rows`` labelled documents; ``usable`` is a condition on ``doc_id``."""
     usable = F.lit(True) if usable is None else usable
-    # At most ``rows`` rows of three short columns: a bounded broadcast.
+    # At most twice ``rows`` rows of three short columns: a bounded broadcast.
     sample = F.broadcast(_sample(labels, usable, rows))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
     training = known.where("fit").select("text", "toxic")
@@ -304,12 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, row
     if len(sizes) < 2:
         return Model([np.empty(0, np.uint64)] * (len(STEMS) + 1), [np.empty(0)] * (len(STEMS) + 1), -DRIFT)
     share = sizes[1] / (sizes[0] + sizes[1])
-    seen = F.col("toxic") + F.col("clean")
     counts = (
         training.mapInArrow(_count_batches, COUNTS_SCHEMA)
         .groupBy("level", "token", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(seen > 1)
-        .orderBy((F.abs(F.col("toxic") - seen * share) / F.sqrt(seen)).desc(), "level", "token").limit(MAX_FEATURES)
+        .where(F.col("toxic") + F.col("clean") > 1)
         .toPandas()
     )
     model = _fit_weights(counts, share)
