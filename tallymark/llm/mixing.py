@@ -11,10 +11,12 @@ early, and a rerun draws the same. A target first takes complete epochs of its s
 the remainder takes the documents in key order whose midpoint of the running sum lies
 within it, which ends at most half a document away from the target.
 
-The running sum needs no source in one task: keys fall into key ranges with a bounded
-expected number of documents, sums of ranges are added up, and each range adds its own
-documents to what came before. A source with a third of all rows has a third of the
-ranges.
+The running sum needs no source in one task: keys fall into key ranges, sums of ranges
+are added up, and each range adds its own documents to what came before. A source with a
+third of all rows has a third of the ranges. Ranges are equal slices of e^(-key * w), w
+the least weight; a document weighing more falls into a slice at most its weight over w
+times as often, so a range expects at most four times ``RANGE_ROWS`` documents. A document
+without an id draws by its text.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0 and
 are taken 0 words. Equal rows draw equal keys and stand next to each other. Extra columns
@@ -82,9 +84,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     return found.withColumn("target", target).select("source", "source_size", "documents", "target")
 
 
-def _uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the id's digest; the same in every run."""
-    number = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
+def _uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the digest of the id, or else of the text; the same in every run."""
+    named = F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))
+    number = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double")
     return (number + 0.5) / float(1 << 52)
 
 
@@ -99,23 +102,24 @@ def plan(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         F.xxhash64("text").alias("mark"),
         F.col("source").cast("string").alias("source"),
         size_in_words(F.col("text")).alias("size"),
+        _uniform(F.col("doc_id"), F.col("text")).alias("draw"),
     )
     if weights is not None:
         sized = sized.join(weights, "doc_id", "left")
         weight = F.coalesce("quality", F.lit(QUALITY[None]))
     else:
         weight = F.lit(QUALITY[None])
-    draw = _uniform(F.col("doc_id"))
     keyed = stage(
-        sized.withColumn("key", -F.log(draw) / weight).select("doc_id", "mark", "source", "size", "key"),
+        sized.withColumn("key", -F.log("draw") / weight).select("doc_id", "mark", "source", "size", "key"),
         "mix_sizes",
     )
     wanted = targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")))
-    # 1 - e^-key grows with the key and lies in (0, 1): equal slices of it are key ranges.
+    # 1 - e^(-key * w) grows with the key and lies in (0, 1): equal slices of it are key ranges.
+    least = min(QUALITY.values())
     slices = F.ceil(F.col("documents") / RANGE_ROWS)
     placed = (
         keyed.join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices))
+        .withColumn("slice", F.floor((1 - F.exp(-F.col("key") * least)) * slices))
         .select("doc_id", "mark", "source", "size", "key", "slice", "source_size", "target")
     )
     placed = stage(placed, "mix_slices")

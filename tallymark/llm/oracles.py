@@ -50,7 +50,7 @@ def op3() -> str:
                ELSE {mixing.QUALITY[None]} END AS quality FROM labels GROUP BY doc_id),
     sized AS (
         SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, {_WORDS})), 0) AS size,
-               -ln((('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+               -ln((('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.text, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
                    / CAST(coalesce(q.quality, {mixing.QUALITY[None]}) AS DOUBLE) AS key
         FROM documents d LEFT JOIN quality q USING (doc_id)),
     sources AS (
