@@ -6,43 +6,57 @@ one, averaged so that it weighs as much as a word. The sums are divided by the s
 root of the number of words, as neighbouring words are not independent, and a softmax
 gives the share of the best language.
 
-The model is counted over all usable texts, whole; it keeps per language the ``WORDS``
-most frequent words and the ``GRAMS`` most frequent n-grams of each length, for the
-``LANGUAGES`` most frequent languages, which bounds what is broadcast.
+Counts cover all usable texts, whole, and all languages. The vocabulary holds about the
+``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams of each length of every
+language; a term in it has its full count in each language that uses it, and frequencies
+divide by a language's full total. The model is sparse, so it grows with these counts
+and not with terms times languages; should it exceed ``ENTRIES`` counts, the vocabulary
+of every language is halved until it does not. No language is left out.
 
-Words are runs of letters, lower-cased. Null texts and texts without a letter are
-``und`` with score 0, as is every text when there is nothing to learn from. Repeated
-rows count each time; other columns are ignored.
+The most frequent terms of a language are found by a histogram of its counts: the count
+down to which terms fit the vocabulary, and, of the terms with just the next lower count,
+a share chosen by hash.
+
+Words are runs of letters and marks, lower-cased, in any script. Null texts and texts
+without a letter are ``und`` with score 0, as is every text when there is nothing to learn
+from. Long texts are handled whole, alone in a block. Repeated rows count each time; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallymark.llm.bytehash import Powers, hash_terms, letter_spans, lower_latin, prefix_sums, row_chunks, span_hashes, utf8
+from tallymark.llm.bytehash import Powers, hash_terms, prefix_sums, row_chunks, span_hashes, utf8, word_spans
 from tallymark.session import stage
 
 WORDS = 20_000
 GRAMS = 10_000
-LANGUAGES = 64
+#: Counts of terms in languages that a model holds at most, about 16 bytes each.
+ENTRIES = 8_000_000
 LONGEST = 4
 #: Count that every word and n-gram has beforehand in every language.
 SMOOTHING = 0.1
 UNKNOWN = "und"
-#: Scores of unseen words that a task remembers.
-REMEMBERED = 200_000
+#: Numbers that a task remembers for unseen words.
+REMEMBERED = 2_000_000
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased words with one space between them."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]++", " ")
 
 
 def _words(data: np.ndarray, bounds: np.ndarray, powers: Powers):
-    """Lower-cased bytes, spans and hashes of all words, and the first word of each row."""
-    lowered = lower_latin(data)
-    start, end = letter_spans(lowered, bounds)
-    hashes = span_hashes(prefix_sums(lowered, powers), start, end, powers)
-    return lowered, start, end, hashes, np.searchsorted(start, bounds)
+    """Spans and hashes of all words, and the first word of each row."""
+    start, end = word_spans(data, bounds)
+    return start, end, span_hashes(prefix_sums(data, powers), start, end, powers), np.searchsorted(start, bounds)
 
 
 def _count_batches(batches):
@@ -52,11 +66,10 @@ def _count_batches(batches):
         langs = batch.column("lang").dictionary_encode()
         codes, names = np.asarray(langs.indices), langs.dictionary.to_pylist()
         for low, high in row_chunks(bounds):
-            lowered, start, end, hashes, first = _words(
-                data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], powers
-            )
+            block = data[bounds[low] : bounds[high]]
+            start, end, hashes, first = _words(block, bounds[low : high + 1] - bounds[low], powers)
             lang = np.repeat(codes[low:high], np.diff(first))
-            raw = lowered.tobytes()
+            raw = block.tobytes()
             for code in np.unique(lang):
                 own = np.flatnonzero(lang == code)
                 _, at, number = np.unique(hashes[own], return_index=True, return_counts=True)
@@ -67,103 +80,167 @@ def _count_batches(batches):
                 )
 
 
-def _most_frequent(counts: DataFrame, keys: list[str], term: str, limit: int) -> DataFrame:
-    ranked = Window.partitionBy(*keys).orderBy(F.col("n").desc(), term)
-    return counts.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit).drop("rank")
+@dataclass
+class Terms:
+    """Terms by sorted hash, each with its languages and what it adds to their scores there.
+
+    ``base`` is the log frequency of a term that a language never uses; ``gain`` is what
+    the counts of term i, at ``begin[i]`` to ``begin[i + 1]``, add to it.
+    """
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of terms, -1 where unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, place, -1)
+
+    def add(self, total: np.ndarray, row: np.ndarray, place: np.ndarray) -> None:
+        """Add the scores of terms at ``place`` to the rows ``row`` of ``total``."""
+        size = self.begin[place + 1] - self.begin[place]
+        entry = np.repeat(self.begin[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        width = total.shape[1]
+        flat = np.bincount(np.repeat(row, size) * width + self.lang[entry], self.gain[entry], minlength=total.size)
+        total += flat.reshape(total.shape)
+        total += np.bincount(row, minlength=len(total))[:, None] * self.base
+
+
+def _terms(found, totals: np.ndarray, place: dict[str, int]) -> Terms:
+    """The table of ``term, lang, n`` rows, given each language's full total."""
+    names = sorted(set(found.term))
+    hashes = hash_terms(names) if names else np.empty(0, np.uint64)
+    order = np.argsort(hashes)
+    number = {names[i]: k for k, i in enumerate(order)}
+    row = np.array([number[t] for t in found.term], np.int64)
+    lang = np.array([place[x] for x in found.lang], np.int32)
+    by_row = np.lexsort((lang, row))
+    begin = np.searchsorted(row[by_row], np.arange(len(names) + 1))
+    gain = np.log1p(found.n.to_numpy(float) / SMOOTHING)
+    base = np.log(SMOOTHING) - np.log(totals + SMOOTHING * max(1, len(names)))
+    return Terms(hashes[order], begin, lang[by_row], gain[by_row], base)
+
+
+def _vocabulary(counts: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``keys, term`` of about the ``limit`` most frequent terms of each key."""
+    sizes = counts.groupBy(*keys, "n").agg(F.count("*").alias("terms"))
+    # One row per key and count that occurs: few, as most counts are small.
+    falling = Window.partitionBy(*keys).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = sizes.withColumn("upto", F.sum("terms").over(falling))
+    fitting = F.when(F.col("upto") <= limit, F.col("n"))
+    edge = reached.groupBy(*keys).agg(
+        F.min(fitting).alias("least"), F.coalesce(F.max(F.when(F.col("upto") <= limit, F.col("upto"))), F.lit(0)).alias("taken"),
+        F.max(F.when(F.col("upto") > limit, F.col("n"))).alias("next"),
+        F.max(F.when(F.col("upto") > limit, F.struct("n", "terms"))).alias("after"),
+    )
+    share = (F.lit(limit) - F.col("taken")) / F.col("after.terms")
+    drawn = F.pmod(F.xxhash64("term"), F.lit(1 << 30)) < share * (1 << 30)
+    # One row per key.
+    return counts.join(F.broadcast(edge), keys).where(
+        (F.col("n") >= F.col("least")) | ((F.col("n") == F.col("next")) & drawn)
+    ).select(*keys, "term")
 
 
-def fit(docs: DataFrame, usable: Column) -> dict:
-    """Counts as arrays: languages, word hashes and log frequencies, n-gram scores."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text")
+def fit(docs: DataFrame, usable: Column, words: int = WORDS, grams: int = GRAMS) -> dict:
+    """Languages, and the terms of words and of n-grams of each length."""
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    plain = known.select(F.col("lang").cast("string").alias("lang"), plain_words(F.col("text")).alias("text"))
     counts = stage(
-        known.mapInArrow(_count_batches, "lang STRING, word STRING, n BIGINT").groupBy("lang", "word").agg(F.sum("n").alias("n")),
+        plain.mapInArrow(_count_batches, "lang STRING, word STRING, n BIGINT")
+        .groupBy("lang", F.col("word").alias("term")).agg(F.sum("n").alias("n")),
         "language_words",
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).toPandas()
-    langs = sorted(totals.lang)
-    if not langs:
-        return {"langs": []}
-    # A bounded list: at most LANGUAGES names.
-    counts = counts.where(F.col("lang").isin(langs))
-    bounded = F.concat(F.lit("^"), "word", F.lit("$"))
+    bounded = F.concat(F.lit("^"), "term", F.lit("$"))
     spans = F.expr(
         f"flatten(transform(sequence(1, {LONGEST}), k -> transform(sequence(1, greatest(char_length(b) - k + 1, 0)), "
         "i -> struct(k AS size, substring(b, i, k) AS gram))))"
     )
-    grams = (
+    spelled = stage(
         counts.select("lang", "n", bounded.alias("b")).select("lang", "n", F.explode(spans).alias("g"))
-        .where(f"char_length(g.gram) = g.size").groupBy("lang", F.col("g.size").alias("size"), F.col("g.gram").alias("gram"))
-        .agg(F.sum("n").alias("n"))
+        .where("char_length(g.gram) = g.size").groupBy("lang", F.col("g.size").alias("size"), F.col("g.gram").alias("term"))
+        .agg(F.sum("n").alias("n")),
+        "language_grams",
     )
-    words = _most_frequent(counts, ["lang"], "word", WORDS).toPandas()
-    grams = _most_frequent(grams, ["lang", "size"], "gram", GRAMS).toPandas()
+    every = counts.withColumn("size", F.lit(0)).unionByName(spelled)
+    # One row per language and length.
+    totals = every.groupBy("lang", "size").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(set(totals.lang))
+    if not langs:
+        return {"langs": []}
     place = {lang: i for i, lang in enumerate(langs)}
-    return {
-        "langs": langs,
-        "words": _log_shares(words.word, words.lang, words.n, place, hashed=True),
-        "grams": [
-            _log_shares(own.gram, own.lang, own.n, place, hashed=False)
-            for own in (grams[grams["size"] == k] for k in range(1, LONGEST + 1))
-        ],
-    }
-
-
-def _log_shares(terms, langs, numbers, place, *, hashed: bool):
-    """Terms and their log share in each language; as sorted hashes if ``hashed``."""
-    names = sorted(set(terms))
-    row = {t: i for i, t in enumerate(names)}
-    table = np.full((len(names), len(place)), SMOOTHING)
-    for term, lang, n in zip(terms, langs, numbers):
-        table[row[term], place[lang]] += n
-    table = np.log(table / table.sum(axis=0)).astype(np.float32) if len(names) else table
-    if not hashed:
-        return {t: table[i] for t, i in row.items()}
-    hashes = hash_terms(names)
-    order = np.argsort(hashes)
-    return hashes[order], table[order]
+    while True:
+        # Every language's counts of the terms that some language's vocabulary holds.
+        chosen = (
+            _vocabulary(counts, ["lang"], words).select(F.lit(0).alias("size"), "term")
+            .union(_vocabulary(spelled, ["lang", "size"], grams).select("size", "term")).distinct()
+        )
+        held = stage(every.join(chosen, ["size", "term"]), "language_model")
+        if held.count() <= ENTRIES or words <= 1:
+            break
+        words, grams = -(-words // 2), -(-grams // 2)
+    found = held.toPandas()
+    model = []
+    for size in range(LONGEST + 1):
+        full = np.zeros(len(langs))
+        for lang, n in zip(*(totals[totals["size"] == size][c] for c in ("lang", "n"))):
+            full[place[lang]] = n
+        model.append(vars(_terms(found[found["size"] == size], full, place)))
+    return {"langs": langs, "terms": model}
 
 
-def unseen_word(word: str, grams: list[dict], width: int) -> np.ndarray:
+def unseen_word(word: str, grams: list[Terms], width: int) -> np.ndarray:
     """Mean log share of the word's longest known n-grams; even if none is known."""
     padded = f"^{word}$"
-    for size in range(LONGEST, 0, -1):
+    for size in range(min(LONGEST, len(padded)), 0, -1):
         table = grams[size - 1]
-        found = [table[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in table]
-        if found:
-            return np.mean(found, axis=0)
-    return np.zeros(width, np.float32)
+        place = table.find(hash_terms([padded[i : i + size] for i in range(len(padded) - size + 1)]))
+        place = place[place >= 0]
+        if len(place):
+            total = np.zeros((1, width))
+            table.add(total, np.zeros(len(place), np.int64), place)
+            return total[0] / len(place)
+    return np.zeros(width)
 
 
 def _predict_batches(shared):
     def run(batches):
-        model, powers, memory = shared.value, Powers(), {}
-        langs = model["langs"]
-        hashes, table = model["words"]
+        langs, powers, memory = shared.value["langs"], Powers(), {}
+        known, *grams = (Terms(**t) for t in shared.value["terms"])
+        width = len(langs)
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             letters = np.asarray(batch.column("letters").fill_null(False))
             for low, high in row_chunks(bounds):
-                lowered, start, end, own, first = _words(
-                    data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], powers
-                )
+                block = data[bounds[low] : bounds[high]]
+                start, end, own, first = _words(block, bounds[low : high + 1] - bounds[low], powers)
                 unique, at, inverse = np.unique(own, return_index=True, return_inverse=True)
-                slot = np.minimum(np.searchsorted(hashes, unique), max(0, len(hashes) - 1))
-                hit = hashes[slot] == unique
-                scores = np.zeros((len(unique), len(langs)), np.float32)
-                scores[hit] = table[slot[hit]]
-                if len(memory) > REMEMBERED:
+                row = np.repeat(np.arange(high - low), np.diff(first))
+                place = known.find(unique)
+                total, seen = np.zeros((high - low, width)), place[inverse] >= 0
+                known.add(total, row[seen], place[inverse[seen]])
+                if len(memory) * width > REMEMBERED:
                     memory.clear()
-                raw = lowered.tobytes()
-                for i in np.flatnonzero(~hit):
+                raw = block.tobytes()
+                missing = np.flatnonzero(place < 0)
+                new = {}
+                for i in missing:
                     code = int(unique[i])
                     if code not in memory:
-                        word = raw[start[at[i]] : end[at[i]]].decode("utf-8", "replace")
-                        memory[code] = unseen_word(word, model["grams"], len(langs))
-                    scores[i] = memory[code]
-                sums = np.zeros((len(own) + 1, len(langs)))
-                np.cumsum(scores[inverse], axis=0, dtype=np.float64, out=sums[1:])
-                words = np.diff(first)
-                total = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(words, 1))[:, None]
+                        memory[code] = unseen_word(raw[start[at[i]] : end[at[i]]].decode("utf-8", "replace"), grams, width)
+                    new[i] = memory[code]
+                if len(missing):
+                    # A row's unseen words, each as often as it stands there.
+                    pair, times = np.unique(row[~seen] * len(unique) + inverse[~seen], return_counts=True)
+                    for cut in range(0, len(pair), 50_000):
+                        part = pair[cut : cut + 50_000]
+                        scores = np.array([new[i] for i in part % len(unique)]) * times[cut : cut + 50_000, None]
+                        np.add.at(total, part // len(unique), scores)
+                total /= np.sqrt(np.maximum(np.diff(first), 1))[:, None]
                 share = np.exp(total - total.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)
                 best = share.argmax(axis=1)
@@ -182,9 +259,8 @@ def _predict_batches(shared):
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs(doc_id, text)``."""
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("text").rlike(r"\p{L}").alias("letters")
-    )
+    letters = F.col("text").rlike(r"\p{L}").alias("letters")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_words(F.col("text")).alias("text"), letters)
     if not model["langs"]:
         return texts.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

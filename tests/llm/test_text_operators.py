@@ -287,13 +287,91 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def terms(scores, width=2):
+    """A table in which the languages' scores of each term are given."""
+    names = sorted(scores, key=lambda t: int(bytehash.hash_terms([t])[0]))
+    hashes = bytehash.hash_terms(names) if names else np.empty(0, np.uint64)
+    gain = np.array([x for n in names for x in scores[n]], float)
+    return language.Terms(hashes, np.arange(len(names) + 1) * width, np.tile(np.arange(width), len(names)), gain, np.zeros(width))
+
+
 def test_unseen_words_fall_back():
-    grams = [{"k": np.array([-1.0, -5.0])}, {"ka": np.array([-2.0, -9.0])}, {}, {}]
+    grams = [terms({"k": [-1.0, -5.0]}), terms({"ka": [-2.0, -9.0]}), terms({}), terms({})]
     assert language.unseen_word("kaz", grams, 2).tolist() == [-2.0, -9.0]
     assert language.unseen_word("xkx", grams, 2).tolist() == [-1.0, -5.0]
     assert language.unseen_word("q", grams, 2).tolist() == [0.0, 0.0]
 
 
+def plain_language_scores(rows, asked):
+    """Shares of languages by the definition, with every word and n-gram in the vocabulary."""
+    split = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    words, grams = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        for w in split(text):
+            words[lang][w] += 1
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    grams[lang, k][f"^{w}$"[i : i + k]] += 1
+    langs = sorted(words)
+
+    def share(table, lang, key, term):
+        vocabulary = len({t for other in langs for t in table[key(other)]})
+        own = table[key(lang)]
+        return math.log((own[term] + 0.1) / (sum(own.values()) + 0.1 * vocabulary))
+
+    def score(lang, w):
+        if any(w in words[x] for x in langs):
+            return share(words, lang, lambda x: x, w)
+        for k in range(4, 0, -1):
+            found = [g for i in range(len(w) + 3 - k) if any((g := f"^{w}$"[i : i + k]) in grams[x, k] for x in langs)]
+            if found:
+                return sum(share(grams, lang, lambda x: (x, k), g) for g in found) / len(found)
+        return 0.0
+
+    out = []
+    for text in asked:
+        own = split(text)
+        total = np.array([sum(score(x, w) for w in own) for x in langs]) / math.sqrt(len(own))
+        part = np.exp(total - total.max())
+        out.append((langs[int(part.argmax())], float(part.max() / part.sum())))
+    return out
+
+
+def test_scores_follow_the_definition(spark):
+    rng = random.Random(12)
+    letters = {"el": "αβγδε", "en": "abcde", "ru": "абвгд"}
+    word = lambda lang: "".join(rng.choice(letters[lang] + "xy") for _ in range(rng.randrange(1, 5)))
+    rows = [(" ".join(word(lang) for _ in range(rng.randrange(1, 25))).title(), lang) for lang in rng.choices(list(letters), k=60)]
+    asked = [f"\u201c{word(a)}\u00a0{word(b)}\u2014{word(a).upper()}7{word(a)}\u2019" for a in letters for b in letters for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, x, "clash") for i, (t, x) in enumerate(rows)], "doc_id LONG, text STRING, lang STRING, letters STRING")
+    model = language.fit(docs.repartition(3), usable=F.lit(True))
+    texts = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(asked)], "doc_id LONG, text STRING, letters STRING")
+    found = {r.doc_id: r for r in language.predict(texts, model).collect()}
+    for i, (lang, score) in enumerate(plain_language_scores(rows, asked)):
+        assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-6
+    assert language.predict(texts.limit(0), model).count() == 0
+
+
+def test_many_languages_and_rare_words_keep_their_counts(spark, monkeypatch):
+    """No language is left out, and a word beyond a language's own list has its count there."""
+    own = lambda n: chr(97 + n // 26) + chr(97 + n % 26)
+    rows = [(n, f"common{own(n)} " * 9 + "loan", f"l{n:02d}") for n in range(70)]
+    rows += [(100 + n, f"often{own(n % 20)} " * 30 + "thing " * (n % 2), "zz") for n in range(400)]
+    rows += [(600 + n, "thing", "aa") for n in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    # Twenty words of zz come before its "thing", which only aa has in its list.
+    model = language.fit(docs, F.lit(True), words=20, grams=20)
+    zz = model["langs"].index("zz")
+    known = language.Terms(**model["terms"][0])
+    place = int(known.find(bytehash.hash_terms(["thing"]))[0])
+    gain = dict(zip(known.lang[known.begin[place] : known.begin[place + 1]], known.gain[known.begin[place] : known.begin[place + 1]]))
+    assert len(model["langs"]) == 72 and abs(gain[zz] - math.log1p(200 / language.SMOOTHING)) < 1e-6
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(found[n] == f"l{n:02d}" for n in range(70))
+    monkeypatch.setattr(language, "ENTRIES", 100)
+    assert len(language.fit(docs, F.lit(True))["langs"]) == 72
+
+
 # --- operator 8 ---------------------------------------------------------------------
 
 
