@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import chat, mixing, near_duplicates, url_trust, vantage
+from tallymark.llm import chat, lattice, mixing, near_duplicates, repeated_text, url_trust, vantage
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -166,6 +166,43 @@ def op10() -> str:
     FROM judged LEFT JOIN ranks USING (host)"""
 
 
+def op1() -> str:
+    """Every window by its digest; texts as hexadecimal, two letters a byte."""
+    w = repeated_text.WINDOW
+    return f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+    windows AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * w})) AS m
+        FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {w - 1})) AS i FROM texts)),
+    twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY m) > 1),
+    runs AS (SELECT r, min(i) AS low, max(i) + {w} AS high FROM (
+        SELECT r, i, sum(gap) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+            SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {w} THEN 0 ELSE 1 END AS gap FROM twice))
+        GROUP BY r, run),
+    cut AS (SELECT r, count(*) AS n, sum(high - low) AS gone, max(high) AS rest,
+               string_agg(substr(h, 2 * coalesce(before, 0) + 1, 2 * (low - coalesce(before, 0))), '' ORDER BY low) AS kept
+        FROM (SELECT *, lag(high) OVER (PARTITION BY r ORDER BY low) AS before FROM runs) JOIN texts USING (r) GROUP BY r)
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+           sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * rest + 1) END)) AS kept_sha256
+    FROM texts LEFT JOIN cut USING (r)"""
+
+
+def op6() -> str:
+    """All pairs of a label."""
+    return f"""WITH RECURSIVE rows AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    sound AS (
+        SELECT * FROM rows WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0
+          AND list_position(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x)), true) IS NULL
+          AND list_position(list_transform(v, lambda x: x <> 0), true) IS NOT NULL),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= {lattice.COSINE}),
+    reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM rows UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = reach.a) AS n_links,
+           min(b) AS component_id, min(b) = a AS kept FROM reach GROUP BY a"""
+
+
 def op13() -> str:
     """Every distance; equal where the relaxed search finds all neighbours."""
     return f"""WITH sound AS (
@@ -181,9 +218,11 @@ def op13() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_repeated_text": op1(),
         "op2_perspectives": op2(),
         "op3_mixing": op3(),
         "op4_near_duplicates": op4(),
+        "op6_lattice": op6(),
         "op10_url_trust": op10(),
         "op13_nearest": op13(),
     }
