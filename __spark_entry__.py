@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from tallymark.contracts import (  # noqa: E402
 from tallymark.functions.hashing import (  # noqa: E402
     gold_fingerprint,
     gold_fingerprint_of,
-    revision_id_of,
+    revision_fingerprint,
     row_digest,
     sha256_lines,
     silver_fingerprint,
@@ -53,14 +55,18 @@ from tallymark.session import ensure_checkpoint_dir, stage  # noqa: E402
 from tallymark.sources import commerce  # noqa: E402
 from tallymark.sources.csv_artifact import read_artifacts  # noqa: E402
 
-# The corpus operators and their pipeline may be absent; everything else works without.
-try:
-    import corpus_pipeline
-    from tallymark.llm import queries as corpus_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tallymark.llm"):
-        raise
-    corpus_pipeline = corpus_queries = None
+def _if_present(module: str):
+    """The corpus operators and their pipeline may be absent; everything else works without."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "tallymark.llm", "numpy"):
+            raise
+        return None
+
+
+corpus_queries = _if_present("tallymark.llm.queries")
+corpus_pipeline = _if_present("corpus_pipeline")
 
 PROCESSED_AT = datetime(2026, 3, 4, 5, 6, 7, tzinfo=UTC)
 
@@ -106,7 +112,7 @@ def _gold(spark: SparkSession, folder: str) -> DataFrame:
     return _to_gold(stage(_silver(spark, folder), "silver"))
 
 
-def _stored_gold(spark: SparkSession, folder: str) -> DataFrame:
+def stored_gold(spark: SparkSession, folder: str) -> DataFrame:
     """Gold as it is published: partitioned by metric, sorted for look-ups.
 
     Serving reads a stored snapshot. It is built by the first query of a session that
@@ -384,17 +390,17 @@ REQUEST = BenchmarkRequest(2000, "M4", "Level 4", "top_increases")
 
 
 def benchmark_query(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.benchmark(_stored_gold(spark, folder), REQUEST).selectExpr(*RANKED_COLUMNS)
+    return ranking.benchmark(stored_gold(spark, folder), REQUEST).selectExpr(*RANKED_COLUMNS)
 
 
 def benchmark_sql(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = serving.benchmark_sql(spark, _stored_gold(spark, folder), REQUEST)
+    ranked = serving.benchmark_sql(spark, stored_gold(spark, folder), REQUEST)
     return ranked.selectExpr(*RANKED_COLUMNS)
 
 
 def served_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     request = BenchmarkRequest(2000, "M5", "Level 3", "largest_movements")
-    return serving.served_benchmark(_stored_gold(spark, folder), request).selectExpr(
+    return serving.served_benchmark(stored_gold(spark, folder), request).selectExpr(
         "rank_position", "ranking_type", "year", "industry_code", "industry_name",
         "aggregation_level", "metric_id", "metric_name",
         "round(metric_value, 6) AS metric_value",
@@ -404,14 +410,14 @@ def served_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def industry_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    return serving.industry_catalogue(_stored_gold(spark, folder)).selectExpr(
+    return serving.industry_catalogue(stored_gold(spark, folder)).selectExpr(
         "industry_code", "industry_name", "aggregation_level",
         "array_join(transform(available_years, y -> CAST(y AS STRING)), ',') AS available_years",
     )
 
 
 def catalogue_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    return serving.catalogue_sql(spark, _stored_gold(spark, folder), year=2000, level="Level 3").selectExpr(
+    return serving.catalogue_sql(spark, stored_gold(spark, folder), year=2000, level="Level 3").selectExpr(
         "industry_code", "industry_name", "aggregation_level",
         "array_join(transform(available_years, y -> CAST(y AS STRING)), ',') AS available_years",
     )
@@ -419,26 +425,26 @@ def catalogue_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 def performance_sql(spark: SparkSession, folder: str) -> DataFrame:
     return serving.performance_sql(
-        spark, _stored_gold(spark, folder), code="asia", year=2000, level="Level 1"
+        spark, stored_gold(spark, folder), code="asia", year=2000, level="Level 1"
     ).selectExpr(*SERVED_COLUMNS)
 
 
 def trend_sql(spark: SparkSession, folder: str) -> DataFrame:
     return serving.trend_sql(
-        spark, _stored_gold(spark, folder), code="EUROPE", metric_id="M5", level="Level 1",
+        spark, stored_gold(spark, folder), code="EUROPE", metric_id="M5", level="Level 1",
         start_year=1996, end_year=2001,
     ).selectExpr(*SERVED_COLUMNS)
 
 
 def industry_performance(spark: SparkSession, folder: str) -> DataFrame:
     return serving.industry_performance(
-        _stored_gold(spark, folder), code="asia", year=2000, level="Level 1"
+        stored_gold(spark, folder), code="asia", year=2000, level="Level 1"
     ).selectExpr(*SERVED_COLUMNS)
 
 
 def industry_trend(spark: SparkSession, folder: str) -> DataFrame:
     trend = serving.industry_trend(
-        _stored_gold(spark, folder), code="EUROPE", metric_id="M5", level="Level 1",
+        stored_gold(spark, folder), code="EUROPE", metric_id="M5", level="Level 1",
         start_year=1996, end_year=2001,
     )
     return serving.relative_magnitude(trend).selectExpr(
@@ -502,17 +508,9 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     history = _bronze(spark, folder)
     of_silver = silver_fingerprint(history)
     of_gold = gold_fingerprint(of_silver, "fingerprint")
-    shas = [row.source_sha256 for row in history.select("source_sha256").distinct().collect()]
-    of_revision = revision_id_of([sha for sha in shas if sha != R2_SHA], R2_SHA)
-    return (
-        of_silver.select(F.lit("silver").alias("name"), "fingerprint")
-        .unionByName(of_gold.select(F.lit("gold").alias("name"), "fingerprint"))
-        .unionByName(
-            of_silver.select(
-                F.lit("revision").alias("name"), F.lit(of_revision).alias("fingerprint")
-            )
-        )
-    )
+    of_revision = revision_fingerprint(history, R2_SHA)
+    named = ((of_silver, "silver"), (of_gold, "gold"), (of_revision, "revision"))
+    return reduce(DataFrame.unionByName, [f.select(F.lit(name).alias("name"), "fingerprint") for f, name in named])
 
 
 def row_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -606,6 +604,41 @@ def audit_gold(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_gold(_gold_table(spark, folder))
 
 
+def acceptance_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Total income of whole regions, as their current rows state it, held against the metric; one year in three is stated wrongly."""
+    history = _bronze(spark, folder)
+    stated = F.regexp_replace("Value", ",", "").cast("bigint")
+    wrong = F.when(F.col("Year").cast("int") % 3 == 0, 1).otherwise(0)
+    points = current_view.select_current(history).where("Variable_code = 'H01' AND Industry_aggregation_NZSIOC = 'Level 1'")
+    expected = points.select(
+        F.col("Year").cast("int").alias("year"),
+        F.col("Industry_aggregation_NZSIOC").alias("industry_aggregation_nzsioc"),
+        F.col("Industry_code_NZSIOC").alias("industry_code_nzsioc"),
+        F.lit("M1").alias("metric_id"),
+        (stated + wrong).cast("string").alias("expected_value"),
+        F.lit(None).cast("int").alias("decimals"),
+        F.lit("PUBLISHED").alias("expected_status"),
+    )
+    return audit.acceptance_points(_to_gold(stage(_to_silver(history), "silver")), expected).select(
+        *IDENTITY, "metric_id", "expected_value", "metric_status", "verified"
+    )
+
+
+def bronze_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored Bronze, read back: its columns in order, their types, and how many rows fill each."""
+    bronze = Warehouse.at(spark, _scratch(spark, "contract")).bronze
+    history = _bronze(spark, folder)
+    for sha in (R1_SHA, R2_SHA):
+        rows = history.where(F.col("ingestion_id") == sha)
+        bronze.append(rows, sha, rows.count())
+    stored = bronze.read()
+    types = ", ".join(
+        f"struct({i} AS position, '{f.name}' AS name, '{f.dataType.simpleString()}' AS type, `{f.name}` AS filled)"
+        for i, f in enumerate(stored.schema, 1)
+    )
+    return stored.agg(*(F.count(name).alias(name) for name in stored.columns)).selectExpr(f"inline(array({types}))")
+
+
 def audit_rankings(spark: SparkSession, folder: str) -> DataFrame:
     metrics = _gold_table(spark, folder)
     rankings = [
@@ -798,18 +831,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audit_rankings, lineage_audit, string_array_normalise, csv_ingest_roundtrip,
         idempotent_append, snapshot_rerun, csv_artifact_facts, csv_line_breaks, load_runs,
         flawed_quality, flawed_gold, stored_lineage, silver_refresh, deferred_plan, revision_outcomes,
-        hot_group_facts, string_array_malformed, catalog_retry,
+        hot_group_facts, string_array_malformed, catalog_retry, acceptance_points, bronze_contract,
     )
     return {
         "current_view": current_rows,
         **{f"rank_{kind}": _rank(kind) for kind in RANKING_TYPES},
         **{query.__name__: query for query in plain},
-        **({**corpus_queries.queries(), "pipeline": corpus_pipeline.run} if corpus_queries else {}),
+        **(corpus_queries.queries() if corpus_queries else {}),
+        **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    if corpus_queries is None:
-        return oracles.oracle_sql()
-    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {**oracles.oracle_sql(), **corpus_queries.oracle_sql(), **whole}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    return {**oracles.oracle_sql(), **(corpus_queries.oracle_sql() if corpus_queries else {}), **whole}

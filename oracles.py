@@ -10,6 +10,11 @@ RAW_COLUMNS = (
     "Year", "Industry_aggregation_NZSIOC", "Industry_code_NZSIOC", "Industry_name_NZSIOC", "Units",
     "Variable_code", "Variable_name", "Variable_category", "Value", "Industry_code_ANZSIC06",
 )
+BRONZE_COLUMNS = [(name, "string") for name in RAW_COLUMNS] + [
+    ("ingestion_id", "string"), ("source_file", "string"), ("source_url", "string"), ("source_sha256", "string"),
+    ("dataset_year", "int"), ("dataset_version", "string"), ("ingestion_timestamp", "timestamp"),
+    ("row_count", "bigint"), ("schema_version", "string"), ("source_row_number", "bigint"),
+]
 KEY = "Year, Industry_aggregation_NZSIOC, Industry_code_NZSIOC, Variable_code"
 IDENTITY = "year, industry_aggregation_nzsioc, industry_code_nzsioc"
 
@@ -690,6 +695,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(source_row_number % 10 AS INTEGER) AS kind, source_row_number % 10 < 3 AS accepted,
                 CASE source_row_number % 10 WHEN 0 THEN 'a|b' WHEN 1 THEN '' WHEN 2 THEN '' END AS items,
                 count(*) AS rows FROM bronze GROUP BY ALL""",
+        "acceptance_points": TO_GOLD + """
+            SELECT year, industry_aggregation_nzsioc, industry_code_nzsioc, metric_id,
+                   CAST(CAST(round(exact) AS BIGINT) + CASE WHEN year % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS expected_value,
+                   metric_status, year % 3 <> 0 AS verified
+            FROM gold WHERE metric_id = 'M1' AND industry_aggregation_nzsioc = 'Level 1'""",
+        "bronze_contract": RAW + f"""
+            SELECT CAST(position AS INTEGER) AS position, name, type, (SELECT count(*) FROM bronze) AS filled
+            FROM (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(BRONZE_COLUMNS, 1))})
+                t(position, name, type)""",
         "catalog_retry": TO_SILVER + """
             , sizes AS (SELECT (SELECT count(*) FROM bronze WHERE release = 'R2') AS newer,
                 (SELECT count(*) FROM bronze) AS stored, (SELECT count(*) FROM silver) AS chosen)

@@ -59,6 +59,13 @@ def gold_fingerprint(fingerprints: DataFrame, column: str = "silver_input_finger
     )
 
 
+def revision_fingerprint(previous: DataFrame, incoming_sha: str) -> DataFrame:
+    """One row: the identity of a revision of the releases ``previous(source_sha256)`` by another."""
+    lines = F.array_sort(F.collect_set(F.when(F.col("source_sha256") != incoming_sha, F.col("source_sha256"))))
+    whole = F.concat(F.array(F.lit(REVISION_VERSION)), lines, F.array(F.lit(incoming_sha)))
+    return previous.select("source_sha256").distinct().agg(digest_lines(whole).alias("fingerprint"))
+
+
 def sha256_lines(lines: Iterable[str]) -> str:
     """Driver-side twin of :func:`digest_lines` for a handful of identities."""
     return hashlib.sha256("\n".join(lines).encode("utf-8")).hexdigest().upper()

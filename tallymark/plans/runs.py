@@ -22,7 +22,7 @@ from tallymark.errors import DuplicateKeyError, IntegrityError, SourceTableError
 from tallymark.functions.hashing import (
     gold_fingerprint_of,
     revision_id_of,
-    silver_fingerprint_of,
+    silver_fingerprint,
 )
 from tallymark.operators.bronze import ArtifactMetadata, iso_instant, to_bronze
 from tallymark.operators.current_view import CURRENT_TYPES, current_releases, merged_releases, require_unambiguous
@@ -175,10 +175,8 @@ def append_artifact(warehouse: Warehouse, rows: DataFrame, ingestion_id: str, ex
 
 
 def bronze_fingerprint(warehouse: Warehouse) -> str:
-    """Identity of the stored artifacts, from their facts."""
-    return silver_fingerprint_of(
-        (row.ingestion_id, row.source_sha256) for row in warehouse.bronze.artifacts().collect()
-    )
+    """Identity of the stored artifacts, from their facts; only the digest comes back."""
+    return silver_fingerprint(warehouse.bronze.artifacts()).first()["fingerprint"]
 
 
 def stored_current_releases(warehouse: Warehouse) -> DataFrame:
