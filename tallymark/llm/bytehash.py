@@ -105,12 +105,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[n
     return hashes, np.searchsorted(start, bounds)
 
 
-def hash_terms(terms: list[str]) -> np.ndarray:
+def hash_terms(terms: list[str], powers: Powers | None = None) -> np.ndarray:
     """The hashes that texts give these words."""
     encoded = [t.encode() for t in terms]
     end = np.cumsum([len(e) for e in encoded], dtype=np.int64)
     start = np.concatenate([[0], end[:-1]]).astype(np.int64)
-    powers = Powers()
+    powers = powers or Powers()
     return span_hashes(prefix_sums(np.frombuffer(b"".join(encoded), np.uint8), powers), start, end, powers)
 
 

@@ -195,16 +195,30 @@ def fit(docs: DataFrame, usable: Column, words: int = WORDS, grams: int = GRAMS)
 
 def unseen_word(word: str, grams: list[Terms], width: int) -> np.ndarray:
     """Mean log share of the word's longest known n-grams; even if none is known."""
-    padded = f"^{word}$"
-    for size in range(min(LONGEST, len(padded)), 0, -1):
-        table = grams[size - 1]
-        place = table.find(hash_terms([padded[i : i + size] for i in range(len(padded) - size + 1)]))
-        place = place[place >= 0]
-        if len(place):
-            total = np.zeros((1, width))
-            table.add(total, np.zeros(len(place), np.int64), place)
-            return total[0] / len(place)
-    return np.zeros(width)
+    return unseen_words([word], grams, width, Powers())[0]
+
+
+def unseen_words(words: list[str], grams: list[Terms], width: int, powers: Powers) -> np.ndarray:
+    """A row of such means for every word; all words of a length of n-grams at once."""
+    out, open_ = np.zeros((len(words), width)), range(len(words))
+    for size in range(LONGEST, 0, -1):
+        owner, pieces = [], []
+        for i in open_:
+            padded = f"^{words[i]}$"
+            parts = [padded[j : j + size] for j in range(len(padded) - size + 1)]
+            pieces += parts
+            owner += [i] * len(parts)
+        if not pieces:
+            continue
+        place = grams[size - 1].find(hash_terms(pieces, powers))
+        hit = place >= 0
+        owner = np.array(owner)[hit]
+        total = np.zeros_like(out)
+        grams[size - 1].add(total, owner, place[hit])
+        known = np.bincount(owner, minlength=len(words))
+        out += total / np.maximum(known, 1)[:, None]
+        open_ = [i for i in open_ if not known[i]]
+    return out
 
 
 def _predict_batches(shared):
@@ -227,19 +241,18 @@ def _predict_batches(shared):
                     memory.clear()
                 raw = block.tobytes()
                 missing = np.flatnonzero(place < 0)
-                new = {}
-                for i in missing:
-                    code = int(unique[i])
-                    if code not in memory:
-                        memory[code] = unseen_word(raw[start[at[i]] : end[at[i]]].decode("utf-8", "replace"), grams, width)
-                    new[i] = memory[code]
+                fresh = [i for i in missing if int(unique[i]) not in memory]
+                words = [raw[start[at[i]] : end[at[i]]].decode("utf-8", "replace") for i in fresh]
+                memory.update(zip(unique[fresh].tolist(), unseen_words(words, grams, width, powers)))
                 if len(missing):
                     # A row's unseen words, each as often as it stands there.
-                    pair, times = np.unique(row[~seen] * len(unique) + inverse[~seen], return_counts=True)
-                    for cut in range(0, len(pair), 50_000):
-                        part = pair[cut : cut + 50_000]
-                        scores = np.array([new[i] for i in part % len(unique)]) * times[cut : cut + 50_000, None]
-                        np.add.at(total, part // len(unique), scores)
+                    number = np.full(len(unique), -1)
+                    number[missing] = np.arange(len(missing))
+                    scores = np.array([memory[code] for code in unique[missing].tolist()])
+                    pair, times = np.unique(row[~seen] * len(missing) + number[inverse[~seen]], return_counts=True)
+                    for k in range(width):
+                        weight = scores[pair % len(missing), k] * times
+                        total[:, k] += np.bincount(pair // len(missing), weight, minlength=len(total))
                 total /= np.sqrt(np.maximum(np.diff(first), 1))[:, None]
                 share = np.exp(total - total.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)
