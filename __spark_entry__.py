@@ -33,7 +33,7 @@ from tallymark.functions.hashing import (  # noqa: E402
     silver_fingerprint,
     silver_fingerprint_of,
 )
-from tallymark.errors import IntegrityError  # noqa: E402
+from tallymark.errors import IntegrityError, NoMatchingDataError  # noqa: E402
 from tallymark.functions.skew import attach_group_facts  # noqa: E402
 from tallymark.functions.text import is_string_array, string_array  # noqa: E402
 from tallymark.operators import (  # noqa: E402
@@ -279,6 +279,14 @@ def stored_lineage(spark: SparkSession, folder: str) -> DataFrame:
     return warehouse.gold.read(table="lineage").drop("source_sha256")
 
 
+def known_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """All definitions, and what is taken for none of them, as the row rule judges it."""
+    rows = _to_silver(stage(commerce.redefined_release(spark, folder), "redefined"))
+    unknown = F.array_contains("validation_rule_ids", "VARIABLE_DEFINITION_UNEXPECTED")
+    definition = ("variable_code", "variable_name", "variable_category", "units")
+    return rows.groupBy(*definition, (~unknown).alias("known")).agg(F.count("*").alias("rows"))
+
+
 def value_status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return silver.status_counts(_silver(spark, folder))
 
@@ -452,6 +460,24 @@ def industry_trend(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lookup_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Look-ups of stored Gold, two of them for what it does not hold: nothing found is an error."""
+    metrics = stored_gold(spark, folder)
+    lookups = {
+        "performance": serving.industry_performance(metrics, code="asia", year=2000, level="Level 1"),
+        "trend": serving.industry_trend(metrics, code="EUROPE", metric_id="M5", level="Level 1"),
+        "other level": serving.industry_performance(metrics, code="asia", year=2000, level="Level 3"),
+        "other year": serving.industry_catalogue(metrics, year=2024),
+    }
+    found = []
+    for name, rows in lookups.items():
+        try:
+            found.append((name, "FOUND", serving.require_matches(rows, name).count()))
+        except NoMatchingDataError:
+            found.append((name, "NO_MATCH", 0))
+    return spark.createDataFrame(found, "lookup STRING, outcome STRING, rows BIGINT")
+
+
 def trend_magnitudes(spark: SparkSession, folder: str) -> DataFrame:
     """Relative magnitudes of every series at once."""
     served = _gold(spark, folder).selectExpr(*serving.SERVED_METRIC)
@@ -831,7 +857,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         audit_rankings, lineage_audit, string_array_normalise, csv_ingest_roundtrip,
         idempotent_append, snapshot_rerun, csv_artifact_facts, csv_line_breaks, load_runs,
         flawed_quality, flawed_gold, stored_lineage, silver_refresh, deferred_plan, revision_outcomes,
-        hot_group_facts, string_array_malformed, catalog_retry, acceptance_points, bronze_contract,
+        hot_group_facts, string_array_malformed, catalog_retry, acceptance_points, bronze_contract, known_definitions, lookup_outcomes,
     )
     return {
         "current_view": current_rows,

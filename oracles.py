@@ -6,6 +6,8 @@ and one aggregation per metric, where the Spark operators use combined forms.
 
 from __future__ import annotations
 
+from tallymark.contracts import VARIABLE_DEFINITIONS
+
 RAW_COLUMNS = (
     "Year", "Industry_aggregation_NZSIOC", "Industry_code_NZSIOC", "Industry_name_NZSIOC", "Units",
     "Variable_code", "Variable_name", "Variable_category", "Value", "Industry_code_ANZSIC06",
@@ -445,6 +447,9 @@ def oracle_sql() -> dict[str, str]:
         USING (metric_id, {IDENTITY})"""
     # A record without a year still has an id.
     of_dirty = _of_dirty(GOLD).replace("CAST(year AS VARCHAR)", "coalesce(CAST(year AS VARCHAR), '<null>')")
+    definitions = ", ".join(
+        "({}, {})".format(i, ", ".join(f"'{text}'" for text in definition)) for i, definition in enumerate(VARIABLE_DEFINITIONS)
+    )
     audits = {
         "audit_silver": TO_SILVER + f"""
             SELECT 'published_with_null_numeric' AS check_name,
@@ -695,6 +700,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(source_row_number % 10 AS INTEGER) AS kind, source_row_number % 10 < 3 AS accepted,
                 CASE source_row_number % 10 WHEN 0 THEN 'a|b' WHEN 1 THEN '' WHEN 2 THEN '' END AS items,
                 count(*) AS rows FROM bronze GROUP BY ALL""",
+        "known_definitions": RAW + f"""
+            , known AS (SELECT * FROM (VALUES {definitions}) t(i, variable_code, variable_name, variable_category, units))
+            SELECT variable_code, CASE WHEN source_row_number % 9 = 0 THEN upper(variable_name) ELSE variable_name END AS variable_name,
+                   variable_category, known.units, source_row_number % 9 <> 0 AS known, count(*) AS rows
+            FROM (SELECT source_row_number FROM bronze WHERE release = 'R1')
+            JOIN known ON i = source_row_number % {len(VARIABLE_DEFINITIONS)} GROUP BY ALL""",
+        "lookup_outcomes": TO_GOLD + f"""
+            SELECT 'performance' AS lookup, 'FOUND' AS outcome, {_count("industry_code_nzsioc = 'ASIA' AND year = 2000 AND industry_aggregation_nzsioc = 'Level 1'")} AS rows FROM gold
+            UNION ALL SELECT 'trend', 'FOUND', {_count("industry_code_nzsioc = 'EUROPE' AND metric_id = 'M5' AND industry_aggregation_nzsioc = 'Level 1'")} FROM gold
+            UNION ALL SELECT 'other level', 'NO_MATCH', 0 UNION ALL SELECT 'other year', 'NO_MATCH', 0""",
         "acceptance_points": TO_GOLD + """
             SELECT year, industry_aggregation_nzsioc, industry_code_nzsioc, metric_id,
                    CAST(CAST(round(exact) AS BIGINT) + CASE WHEN year % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS expected_value,

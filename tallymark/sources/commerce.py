@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.contracts import METRICS, RAW_SCHEMA_VERSION
+from tallymark.contracts import METRICS, RAW_SCHEMA_VERSION, VARIABLE_DEFINITIONS
 from tallymark.functions.ordering import number_in_buckets
 from tallymark.operators.bronze import BRONZE_COLUMNS
 
@@ -212,3 +212,12 @@ def flawed_release(spark: SparkSession, folder: str) -> DataFrame:
         for name, flaws in FLAWS.items()
     }
     return rows.selectExpr(*(f"{changed.get(name, name)} AS {name}" for name in rows.columns))
+
+
+def redefined_release(spark: SparkSession, folder: str) -> DataFrame:
+    """The older release with its rows dealt over all known definitions; of every ninth the name is in capitals."""
+    rows = bronze_history(spark, folder).where("dataset_year = 2025")
+    known = F.array(*(F.array(*map(F.lit, definition)) for definition in VARIABLE_DEFINITIONS))
+    own = F.get(known, (F.col("source_row_number") % len(VARIABLE_DEFINITIONS)).cast("int"))
+    name = F.when(F.col("source_row_number") % 9 == 0, F.upper(own[1])).otherwise(own[1])
+    return rows.withColumns({"Variable_code": own[0], "Variable_name": name, "Variable_category": own[2], "Units": own[3]})
