@@ -16,9 +16,9 @@ significant by that law; the document's evidence is the sum of its significant s
 log p-values, mapped to 0..1 by a logistic curve.
 
 The classifier is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled documents
-chosen by hash, a fifth of them for calibration, and every token and stem that two of
-them hold. What reaches the driver follows from that sample, not from the corpus.
-Scoring covers every whole text.
+chosen by hash, a fifth of them for calibration, and about ``MAX_FEATURES`` tokens and
+stems with most evidence among them, found by a histogram of the evidence. Only these
+reach the driver. Scoring covers every whole text.
 
 Null and empty texts have no tokens and get the score of no evidence. Without labels of
 both kinds, every score is 0. Rows repeat as they come; other columns are ignored.
@@ -34,8 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.bytehash import Powers, letter_spans, lower_latin, prefix_sums, row_chunks, span_hashes, utf8
+from tallymark.session import stage
 
 TRAIN_ROWS = 40_000
+MAX_FEATURES = 200_000
+#: Steps of evidence in its histogram, per standard deviation.
+STEPS = 64
 #: Bytes of the stems behind a word, longest first; a word is level 0.
 STEMS = (8, 6, 4)
 #: Documents that a prior is worth.
@@ -217,6 +221,19 @@ def _sample(labels: DataFrame, usable: Column, rows: int) -> DataFrame:
     return one.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) != 0)
 
 
+def _strongest(counts: DataFrame) -> Column:
+    """Which of the ``counts`` have the most evidence, about ``MAX_FEATURES``; the last step in part, by hash."""
+    left, least, part = MAX_FEATURES, None, 0.0
+    for step, size in sorted(counts.groupBy("step").agg(F.count("*")).collect(), reverse=True):
+        if size > left:
+            part = left / size
+            break
+        left, least = left - size, step
+    drawn = F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(part * (1 << 30))
+    above = F.lit(False) if least is None else F.col("step") >= least
+    return above | ((F.col("step") == step) & drawn) if part else above
+
+
 def _log_odds(share: np.ndarray) -> np.ndarray:
     return np.log(share) - np.log1p(-share)
 
@@ -308,12 +325,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, row
     if len(sizes) < 2:
         return Model([np.empty(0, np.uint64)] * (len(STEMS) + 1), [np.empty(0)] * (len(STEMS) + 1), -DRIFT)
     share = sizes[1] / (sizes[0] + sizes[1])
-    counts = (
+    seen = F.col("toxic") + F.col("clean")
+    evidence = F.abs(F.col("toxic") - seen * share) / F.sqrt(seen)
+    counts = stage(
         training.mapInArrow(_count_batches, COUNTS_SCHEMA)
         .groupBy("level", "token", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") + F.col("clean") > 1)
-        .toPandas()
+        .where(seen > 1).withColumn("step", F.floor(evidence * STEPS)),
+        "token_counts",
     )
+    counts = counts.where(_strongest(counts)).drop("step").toPandas()
     model = _fit_weights(counts, share)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model).copy())
     found = known.where("NOT fit").select("text", "toxic").mapInArrow(
