@@ -150,6 +150,33 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_documents_without_ids_draw_apart(spark, monkeypatch):
+    """A third of the rows has no id, most are labelled bad; no key range is much larger than expected."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rng = random.Random(11)
+    rows = [(None if i % 3 == 0 else i, prose(rng, rng.randrange(1, 30)), "big" if i % 7 else None, i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING, key INT").repartition(3)
+    weights = spark.createDataFrame([(i, 0.5) for i in range(900) if i % 5], "doc_id LONG, quality DOUBLE")
+    slices = []
+    staged = mixing.stage
+
+    def seen(frame, name):
+        stored = staged(frame, name)
+        if name == "mix_slices":
+            slices.extend(r["count"] for r in stored.groupBy("source", "slice").count().collect())
+        return stored
+
+    monkeypatch.setattr(mixing, "stage", seen)
+    found = mixing.plan(docs, weights).collect()
+    again = mixing.plan(docs, weights).collect()
+    assert len(found) == 900 and sorted(map(str, found)) == sorted(map(str, again))
+    assert max(slices) <= 4 * mixing.RANGE_ROWS
+    for source in ("big", None):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+        assert all(r.taken <= 2 * r.size for r in own)
+
+
 # --- operator 4 ---------------------------------------------------------------------
 
 
