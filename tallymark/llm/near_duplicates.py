@@ -48,6 +48,8 @@ SMALL = 96
 COLLISION = 0.0212
 #: Estimates up to so many standard errors below the limit still go to verification.
 ERRORS = 5
+#: Bytes of text sketched at once; few, as sets and sketches take many times their text.
+BLOCK_BYTES = 1 << 18
 
 SKETCH_SCHEMA = (
     "doc_id BIGINT, n_shingles BIGINT, f1 BIGINT, f2 BIGINT, filled BIGINT, sketch ARRAY<INT>, "
@@ -148,7 +150,7 @@ def _sketch_batches(batches):
     powers = Powers()
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
-        for low, high in row_chunks(bounds):
+        for low, high in row_chunks(bounds, BLOCK_BYTES):
             own = bounds[low : high + 1] - bounds[low]
             words, first = word_hashes(lower_ascii(data[bounds[low] : bounds[high]]), own, powers)
             sizes, f1, f2, sketch, bands, small = _sketch_block(words, first)
@@ -170,7 +172,7 @@ def _set_batches(batches):
     powers = Powers()
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
-        for low, high in row_chunks(bounds):
+        for low, high in row_chunks(bounds, BLOCK_BYTES):
             own = bounds[low : high + 1] - bounds[low]
             words, first = word_hashes(lower_ascii(data[bounds[low] : bounds[high]]), own, powers)
             value, begins = shingles(words, first)
