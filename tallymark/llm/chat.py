@@ -10,9 +10,12 @@ text headed by ``name: ``. Spans are code points, end exclusive, of the assistan
 and its end mark.
 
 A conversation may be of any length. It is cut by turn number into bands of ``TURNS``
-turns and these into parts of ``TURNS`` rows at most, so no conversation is gathered in
-one task; parts of a rendering, in order of band and part, make up the whole. Speakers meet
-turns by a join on the conversation, which AQE splits where one holds very many rows.
+turns and these into parts of ``TURNS`` rows at most; parts of a rendering, in order of
+band and part, make up the whole. Places in a band are running sums: rows are counted,
+sorted into ranges of equal size and numbered within their range, and a band that spans
+several ranges adds what lies in the ranges before. So neither a long conversation nor a
+band without turn numbers is gathered in one task. Speakers meet turns by a join on the
+conversation, which AQE splits where one holds very many rows.
 
 Order: turn, then role, then text; rows without a turn number come last, in a band of
 their own (null). Rows that repeat are rendered each time. A null or empty role is the
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallymark.session import stage
+
 TURNS = 64
 CONTEXT = ("system", "tool")
 UNKNOWN = "unknown"
@@ -42,10 +47,7 @@ def rendered(turns: DataFrame) -> DataFrame:
         role.alias("speaker"),
         F.coalesce("text", F.lit("")).alias("said"),
     ).withColumn("band", F.floor(F.col("turn") / TURNS))
-    order = Window.partitionBy("conv_id", "band").orderBy(F.col("turn").asc_nulls_last(), "speaker", "said")
-    placed = rows.withColumn("place", F.row_number().over(order)).withColumn(
-        "part", F.floor((F.col("place") - 1) / TURNS)
-    )
+    placed = _placed(rows).withColumn("part", F.floor((F.col("place") - 1) / TURNS))
     # Few short rows: the speakers of each conversation, combined before the shuffle.
     speakers = rows.where(~F.col("speaker").isin(*CONTEXT)).select(
         F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")
@@ -67,6 +69,33 @@ def rendered(turns: DataFrame) -> DataFrame:
     )
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``: their number within conversation and band, from 1."""
+    columns = ["conv_id", "band", "turn", "speaker", "said"]
+    # Equal rows are one with a count, so no value fills a range by itself.
+    counted = rows.groupBy(*columns).agg(F.count("*").alias("copies"))
+    ranged = stage(
+        counted.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        .withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()),
+        "ordered_turns",
+    )
+    band = ["conv_id", "band"]
+    inside = ranged.groupBy(*band, "range").agg(F.sum("copies").alias("inside"))
+    # Only the last band of a range goes on in the next one: at most two rows a range.
+    before = Window.partitionBy(*band).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = inside.withColumn("ahead", F.sum("inside").over(before)).where("ahead IS NOT NULL").select(
+        F.col("conv_id").alias("of"), F.col("band").alias("in"), F.col("range").alias("on"), "ahead"
+    )
+    until = Window.partitionBy(*band, "range").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("within", F.sum("copies").over(until)).join(
+        F.broadcast(offsets),
+        (F.col("range") == F.col("on")) & F.col("conv_id").eqNullSafe(F.col("of")) & F.col("band").eqNullSafe(F.col("in")),
+        "left",
+    )
+    last = F.coalesce("ahead", F.lit(0)) + F.col("within")
+    return summed.withColumn("place", F.explode(F.sequence(last - F.col("copies") + 1, last))).select(*columns, "place")
+
+
 def _mask(pieces: Column) -> Column:
     """Spans of the assistant's pieces, from running lengths."""
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, stop: INT>>)")

@@ -170,6 +170,25 @@ def test_every_speaker_gets_a_rendering(spark, monkeypatch):
     assert chat.rendered(turns.limit(0)).count() == 0
 
 
+def test_bands_without_numbers_span_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 4)
+    rows = [(7, None, "ann" if i % 3 else "bob", f"text {i:03}") for i in range(120)] + [(7, 2, "bob", "again")] * 30
+    rows += [(None, None, "ann", f"t{i}") for i in range(40)] + [(8, i, "cy", "x" * i) for i in range(30)]
+    turns = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING").repartition(5)
+    own = turns.select("conv_id", "turn", F.col("role").alias("speaker"), F.col("text").alias("said"))
+    placed = chat._placed(own.withColumn("band", F.floor(F.col("turn") / chat.TURNS))).collect()
+    bands = collections.defaultdict(list)
+    for r in placed:
+        bands[r.conv_id, r.band].append((r.place, (r.turn is None, r.turn or 0, r.speaker, r.said)))
+    assert len(placed) == len(rows)
+    for band in bands.values():
+        band.sort()
+        assert [p for p, _ in band] == list(range(1, len(band) + 1))
+        assert [r for _, r in band] == sorted(r for _, r in band)
+    parts = chat.rendered(turns).where("conv_id = 7 AND perspective = 'ann'").collect()
+    assert sum(r.n_turns for r in parts) == 150 and max(r.n_turns for r in parts) == 4
+
+
 # --- pipeline -----------------------------------------------------------------------
 
 
