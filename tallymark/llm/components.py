@@ -13,9 +13,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points all larger neighbours of a node, and then all smaller ones, at
     the smallest node near it; the number of rounds grows with the logarithm of the
-    longest path. Links are deduplicated before every shuffle, so a node with very many
-    neighbours is one aggregate whose map side is combined and a join that AQE can
-    split. Every round is written to the shared folder: a lost executor costs tasks of
+    longest path. Links are deduplicated before every shuffle. A node with very many
+    neighbours is one aggregate whose map side is combined, and its result is written
+    before it meets the links again, so that the join has exchanges of its own, which
+    AQE can split (or none, where the result is small). Every round is written to the shared folder: a lost executor costs tasks of
     one round, not the whole history.
     """
     edges = stage(
@@ -25,14 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours above a node move to the smallest of its neighbourhood.
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"))
+        lowest = stage(both.groupBy("v").agg(F.least("v", F.min("u")).alias("m")), "lowest")
         large = (
             both.where("u > v").join(lowest, "v")
             .select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         )
         large = stage(large, "links")
         # Small star: a node and its lower neighbours move to the lowest of them.
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
+        lowest = stage(large.groupBy("v").agg(F.min("u").alias("m")), "lowest")
         moved = large.join(lowest, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         small = stage(moved.union(lowest.select("v", F.col("m").alias("u"))).distinct(), "links")
         # Done when all are stars: one way up for each node, and none that is also a root.
