@@ -13,8 +13,10 @@ characters, which bounds what goes to the workers; each block is one pass over t
 documents, with no shuffle, so neither long documents nor frequent passages meet in one
 task beyond their own row.
 
-Null and empty texts match nothing; items with fewer than ``LEAST_CHARS`` normalised
-characters are skipped, as they say too little to be recognised. An item found several
+Null and empty texts match nothing. Items of every length are looked for, those without
+an edit to spend by exact match; ``least_chars`` leaves shorter ones out, where a
+benchmark has items too common to tell anything. Extra columns of either side are ignored
+or kept as they are. An item found several
 times in a document is one row, with its best passage. Repeated documents give repeated
 rows; repeated items are found once each.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.bytehash import mix
 
 ERRORS_PERCENT = 5
-LEAST_CHARS = 20
+LEAST_CHARS = 1
 BLOCK_CHARS = 4_000_000
 #: Longest part of a piece that is hashed; shorter pieces make classes of their own.
 ANCHOR = 16
@@ -173,14 +175,14 @@ def _match_batches(shared):
     return run
 
 
-def blocks(benchmark: DataFrame):
+def blocks(benchmark: DataFrame, least_chars: int = LEAST_CHARS):
     """Lists of ``(item_id, normalised text)`` of at most ``BLOCK_CHARS`` characters each."""
     block: list[tuple[int, str]] = []
     room = BLOCK_CHARS
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     for item_id, text in rows.distinct().toLocalIterator():
         item = normalise(text)
-        if len(item) < LEAST_CHARS:
+        if len(item) < max(1, least_chars):
             continue
         if block and len(item) > room:
             yield block
@@ -191,7 +193,7 @@ def blocks(benchmark: DataFrame):
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per document and item found in it: distance, budget and the passage.
 
     ``start`` and ``stop`` are offsets in the normalised text; ``stop`` is where the best
@@ -200,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], MATCH_SCHEMA)
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, least_chars):
         out = out.union(texts.mapInArrow(_match_batches(spark.sparkContext.broadcast(block)), MATCH_SCHEMA))
     return out
 
@@ -215,12 +217,12 @@ def _clean_batches(shared):
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` without the rows in which an item is found; all columns stay.
 
     Every row is judged by its own text, whatever its doc_id.
     """
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, least_chars):
         rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
         shared = docs.sparkSession.sparkContext.broadcast(block)
         docs = rows.mapInArrow(_clean_batches(shared), rows.select("row").schema).select("row.*")

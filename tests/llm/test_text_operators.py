@@ -443,6 +443,9 @@ def test_edited_items_are_found(spark):
         assert decontamination.best_passage(item, text, r.budget)[0] == r.distance
     kept = {r.doc_id for r in decontamination.decontaminated(docs, benchmark).collect()}
     assert kept == set(range(65)) - {r.doc_id for r in found}
+    short = frame(spark, ["it is Too,  SHORT here", "to short", prose(rng, 20, 3000)])
+    assert [r.item_id for r in decontamination.contaminated(short, benchmark).collect()] == [20]
+    assert decontamination.contaminated(short, benchmark, least_chars=10).count() == 0
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
