@@ -3,10 +3,12 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import INCOME, NOW, RETURN, SHA_A, SURPLUS
 
 from tallymark.contracts import GOLD_TYPES
 from tallymark.errors import SchemaContractError
+from tallymark.functions.skew import attach_group_facts
 from tallymark.operators.audit import audit_gold, mixed_definitions
 from tallymark.operators.gold import (
     build_gold,
@@ -147,3 +149,21 @@ def test_contract_and_audit(gold_of, bronze):
     silver = to_silver(bronze([{}]), fingerprint="F", processed_at=NOW)
     with pytest.raises(SchemaContractError):
         build_gold(silver.drop("units"), fingerprint="G", processed_at=NOW)
+
+
+def joins_of(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [kind for line in plan.splitlines() for kind in ("BroadcastHashJoin", "SortMergeJoin") if kind in line]
+
+
+def test_no_side_that_grows_is_broadcast(spark, bronze):
+    """However small the files are taken to be: of group facts only the hot groups are broadcast."""
+    rows = stage(bronze([cell("CC", 2024, "1"), cell("CC", 2025, "2")]), "bronze")
+    silver = stage(to_silver(rows, fingerprint="F", processed_at=NOW), "silver")
+    gold = stage(build_gold(silver, fingerprint="G", processed_at=NOW), "gold")
+    assert joins_of(gold_lineage(silver, gold)) == ["SortMergeJoin"]
+    assert gold_lineage(silver, gold).count() == 5
+    sizes = stage(rows.groupBy("Year").agg(F.count("*").alias("year_rows")), "sizes")
+    attached = attach_group_facts(rows.select("Year"), sizes, ["Year"], "year_rows")
+    assert sorted(joins_of(attached)) == ["BroadcastHashJoin", "SortMergeJoin"]
+    assert [r.year_rows for r in attached.collect()] == [1, 1]
