@@ -167,3 +167,19 @@ def test_no_side_that_grows_is_broadcast(spark, bronze):
     attached = attach_group_facts(rows.select("Year"), sizes, ["Year"], "year_rows")
     assert sorted(joins_of(attached)) == ["BroadcastHashJoin", "SortMergeJoin"]
     assert [r.year_rows for r in attached.collect()] == [1, 1]
+
+
+def test_no_generated_method_is_too_long_to_be_compiled(spark, bronze):
+    """Past HotSpot's limit every row would go through the interpreter; Spark then runs operator by operator."""
+    rows = stage(bronze([cell("CC", 2024, "1"), cell("CC", 2025, "2")]), "bronze")
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    silver = stage(to_silver(rows, fingerprint="F", processed_at=NOW), "silver")
+    assert spark.conf.get(limit) == "8000"
+    spark.conf.unset(limit)
+    build_gold(silver, fingerprint="G", processed_at=NOW)
+    assert spark.conf.get(limit) == "8000"
+    spark.conf.set(limit, "4000")
+    build_gold(silver, fingerprint="G", processed_at=NOW)
+    assert spark.conf.get(limit) == "4000"
+    spark.conf.unset(limit)
