@@ -84,6 +84,12 @@ def lineage_audit(silver: DataFrame, bronze: DataFrame) -> DataFrame:
     return _named(missing, "lineage_or_raw_value_mismatches")
 
 
+#: What an audit of Gold reads.
+AUDITED = (
+    *GOLD_GRAIN, "metric_value", "metric_status", "silver_input_fingerprints", "gold_schema_version",
+)
+
+
 def audit_gold(gold: DataFrame) -> DataFrame:
     repeated = (
         gold.groupBy(*GOLD_GRAIN)

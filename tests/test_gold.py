@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -10,9 +11,11 @@ from tallymark.contracts import GOLD_TYPES
 from tallymark.errors import SchemaContractError
 from tallymark.functions.skew import attach_group_facts
 from tallymark.operators.audit import audit_gold, mixed_definitions
+from tallymark.operators.current_view import select_current
 from tallymark.operators.gold import (
     build_gold,
     gold_lineage,
+    level_counts,
     metric_lineage,
     metric_status_counts,
 )
@@ -183,3 +186,26 @@ def test_no_generated_method_is_too_long_to_be_compiled(spark, bronze):
     build_gold(silver, fingerprint="G", processed_at=NOW)
     assert spark.conf.get(limit) == "4000"
     spark.conf.unset(limit)
+
+
+def test_unread_inputs_are_not_computed(spark, bronze):
+    """A count by level needs no values, statuses or lineage: none of them is aggregated or shuffled."""
+    rows = stage(bronze([cell("CC", 2024, "1"), cell("CC", 2025, "2")]), "bronze")
+    silver = stage(to_silver(rows, fingerprint="F", processed_at=NOW), "silver")
+    gold = build_gold(silver, fingerprint="G", processed_at=NOW)
+    levels = level_counts(gold)
+    plan = levels._jdf.queryExecution().executedPlan().toString()
+    assert not [name for name in ("record_id", "source_sha256", "value_numeric", "Window") if name in plan]
+    assert [r.rows for r in levels.collect()] == [12]
+    plan = metric_status_counts(gold)._jdf.queryExecution().executedPlan().toString()
+    assert not [name for name in ("record_id", "source_sha256", "collect_set") if name in plan]
+
+
+def test_keys_are_sorted_by_what_tells_rows_apart(spark, bronze):
+    """Sorts compare a few bytes of the first key; years and levels are the same for millions of rows."""
+    rows = stage(bronze([cell("CC", 2024, "1"), cell("CC", 2025, "2")]), "bronze")
+    silver = to_silver(rows, fingerprint="F", processed_at=NOW)
+    for frame in (select_current(rows), build_gold(silver, fingerprint="G", processed_at=NOW)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        first = re.findall(r"Sort \[(\w+?)#", plan)
+        assert first and not {"Year", "year", "Industry_aggregation_NZSIOC", "industry_aggregation_nzsioc"} & set(first)
