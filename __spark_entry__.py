@@ -55,6 +55,7 @@ from tallymark.plans.runs import Warehouse  # noqa: E402
 from tallymark.session import ensure_checkpoint_dir, stage  # noqa: E402
 from tallymark.sources import commerce  # noqa: E402
 from tallymark.sources.csv_artifact import read_artifacts  # noqa: E402
+from tallymark.sources.tables import SnapshotResult, SnapshotTable  # noqa: E402
 
 def _if_present(module: str):
     """The corpus operators and their pipeline may be absent; everything else works without."""
@@ -101,14 +102,20 @@ def _silver(spark: SparkSession, folder: str) -> DataFrame:
     return _to_silver(_bronze(spark, folder))
 
 
-def _to_gold(snapshot: DataFrame) -> DataFrame:
+def _to_gold(snapshot: DataFrame, ranges: Iterable[str] = ()) -> DataFrame:
     return gold.build_gold(
         snapshot,
         fingerprint=GOLD_PRINT,
         processed_at=PROCESSED_AT,
+        ranges=tuple(ranges),
     )
 
 
+def _publish_gold(store: SnapshotTable, snapshot: DataFrame) -> SnapshotResult:
+    metrics = _to_gold(snapshot, runs.GOLD_LAYOUT["sort"])
+    return store.publish(metrics, GOLD_PRINT, GOLD_SCHEMA_VERSION, arranged=True)
+
+
 def _gold(spark: SparkSession, folder: str) -> DataFrame:
     """Gold as a plan, for what reads it once: Silver is then neither stored nor whole."""
     return _to_gold(_silver(spark, folder))
@@ -123,8 +130,7 @@ def stored_gold(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _PUBLISHED:
         store = Warehouse.at(spark, _scratch(spark, "serving")).gold
-        metrics = _to_gold(stage(_silver(spark, folder), "silver"))
-        store.publish(metrics, GOLD_PRINT, GOLD_SCHEMA_VERSION)
+        _publish_gold(store, _silver(spark, folder))
         _PUBLISHED[key] = store
     return _PUBLISHED[key].read()
 
@@ -829,11 +835,7 @@ def snapshot_rerun(spark: SparkSession, folder: str) -> DataFrame:
         ("silver", warehouse.silver.publish(snapshot, SILVER_PRINT, SILVER_SCHEMA_VERSION))
         for _ in range(2)
     ]
-    metrics = _to_gold(warehouse.silver.read())
-    results += [
-        ("gold", warehouse.gold.publish(metrics, GOLD_PRINT, GOLD_SCHEMA_VERSION))
-        for _ in range(2)
-    ]
+    results += [("gold", _publish_gold(warehouse.gold, warehouse.silver.read())) for _ in range(2)]
     return spark.createDataFrame(
         [(layer, r.fingerprint, r.rows, r.duplicate) for layer, r in results],
         "layer STRING, fingerprint STRING, rows BIGINT, duplicate BOOLEAN",

@@ -224,9 +224,10 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
         silver,
         fingerprint=fingerprint,
         processed_at=clock(),
+        ranges=GOLD_LAYOUT["sort"],
     )
     return warehouse.gold.publish(
-        gold, fingerprint, GOLD_SCHEMA_VERSION,
+        gold, fingerprint, GOLD_SCHEMA_VERSION, arranged=True,
         counts=gold_counts(), beside={"lineage": lambda stored: gold_lineage(silver, stored)},
     )
 

@@ -290,17 +290,20 @@ class SnapshotTable:
 
     def publish(
         self, frame: DataFrame, fingerprint: str, schema_version: str, expected_rows: int | None = None,
-        *, counts: Mapping[str, Column] | None = None, beside: Beside | None = None,
+        *, counts: Mapping[str, Column] | None = None, beside: Beside | None = None, arranged: bool = False,
     ) -> SnapshotResult:
         """Replace the snapshot unless the same fingerprint is already published.
 
+        Rows that come ``arranged``, in ranges and sorted by partition and then as the table
+        is, are written as they come; others are brought into that order first.
+
         Rows are counted as they are written, with whatever else ``counts`` asks for, and
         compared with what is stored, and with the ``expected_rows`` of the input where
         the caller has them. All of this comes before the pointer.
         """
         if self.is_current(fingerprint, schema_version):
             return self.reuse(fingerprint, expected_rows)
-        if self.partition:
+        if self.partition and not arranged:
             frame = laid_out(frame, self.partition, *self.sort)
         written = Observation()
         asked = {name: column.alias(name) for name, column in (counts or {}).items()}

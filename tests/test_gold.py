@@ -209,3 +209,18 @@ def test_keys_are_sorted_by_what_tells_rows_apart(spark, bronze):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         first = re.findall(r"Sort \[(\w+?)#", plan)
         assert first and not {"Year", "year", "Industry_aggregation_NZSIOC", "industry_aggregation_nzsioc"} & set(first)
+
+
+def test_industry_years_are_dealt_out_before_they_become_six_rows(spark, bronze, gold_of):
+    """Ranges are sampled and shuffled on one narrow row per industry and year, and give the same Gold."""
+    rows = [cell(f"C{i}", year, str(i), kind) for i in range(30) for year in (2023, 2024, 2026) for kind in (INCOME, SURPLUS)]
+    ranges = ("industry_aggregation_nzsioc", "year", "industry_code_nzsioc")
+    dealt, plain = gold_of(rows, ranges=ranges), gold_of(rows)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and 0 < plan.index("Expand") < plan.index("rangepartitioning")
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    order = ("metric_id", *ranges)
+    for part in dealt.rdd.glom().collect():
+        assert part == sorted(part, key=lambda r: tuple(r[name] for name in order))
+    assert {r.prior_input_status for r in dealt.where("year = 2026 AND metric_id = 'M4'").collect()} == {"UNAVAILABLE"}
+    assert {r.prior_input_status for r in dealt.where("year = 2024 AND metric_id = 'M4'").collect()} == {"PUBLISHED"}

@@ -156,3 +156,11 @@ def test_catalog_layout(spark, bronze, tmp_path):
     with pytest.raises(IntegrityError):
         warehouse.gold.publish(warehouse.gold.read(), "G", "v", 1, beside={"lineage": lambda g: g.selectExpr("metric_record_id", "1 AS x")})
     assert warehouse.gold.read().count() == 18 and warehouse.gold.read(table="lineage").count() > 0
+
+
+def test_arranged_rows_are_written_as_they_come(spark, tmp_path, monkeypatch):
+    table = SnapshotTable(spark, str(tmp_path / "t"), {"id": "bigint", "part": "string"}, partition="part", sort=("id",))
+    rows = spark.range(100, numPartitions=3).selectExpr("id", "if(id % 10 = 0, 'few', 'most') AS part")
+    monkeypatch.setattr(tables, "laid_out", lambda *_: pytest.fail("rows are brought into order again"))
+    assert table.publish(rows.sortWithinPartitions("part", "id"), "F", "v", arranged=True).rows == 100
+    assert sorted(r.id for r in table.read().where("part = 'few'").collect()) == list(range(0, 100, 10))
