@@ -552,3 +552,10 @@ def test_words_are_split_and_hashed_as_bytes():
     words = [(t or "").encode().split() for t in texts]
     assert np.diff(first).tolist() == [len(w) for w in words]
     assert hashes.tolist() == bytehash.hash_terms([x.decode() for w in words for x in w]).tolist()
+
+
+def test_stored_texts_are_packed_tightly(spark):
+    found = pii.find(frame(spark, ["mail me at a.b@c.de", "nothing here", None]))
+    assert found.count() == 3
+    files = found.inputFiles()
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
