@@ -154,3 +154,24 @@ def test_timestamps_need_an_offset():
     for bad in ("2026-01-02T03:04:05", "yesterday"):
         with pytest.raises(ValueError):
             parse_instant(bad)
+
+
+def test_quote_states_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """What a line does to the state is stored; neither the blocks' starts nor the lines read it off the text again."""
+    from tallymark.sources import csv_artifact
+
+    path = tmp_path / "breaks.csv"
+    row = ",".join(["a"] * (len(csv_artifact.RAW_COLUMNS) - 1))
+    path.write_text(",".join(csv_artifact.RAW_COLUMNS) + f'\n{row},"x\ny"\n{row},z\n')
+    plans, whole = {}, csv_artifact.stage
+
+    def staged(frame, name, **options):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return whole(frame, name, **options)
+
+    monkeypatch.setattr(csv_artifact, "stage", staged)
+    last = csv_artifact.RAW_COLUMNS[-1]
+    found = {r.source_row_number: r[last] for r in csv_artifact.read_artifacts(spark, str(path)).collect()}
+    assert found == {1: "x\ny", 2: "z"}
+    assert "aggregate(" in plans["csv-states"]
+    assert "aggregate(" not in plans["csv-starts"] and "aggregate(" not in plans["csv-lines"]
