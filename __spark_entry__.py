@@ -395,10 +395,9 @@ def _rank(ranking_type: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def rank_whole_partitions(spark: SparkSession, folder: str) -> DataFrame:
     """No bound on N: every eligible row gets its position."""
-    metrics = _gold_table(spark, folder, BENCHMARK_INPUT_TYPES)
-    ranked = ranking.rank_changes(
-        metrics, ranking_type="largest_movements", top_n=1_000_000_000
-    )
+    kind = "largest_movements"
+    metrics = ranking.admitted(_gold(spark, folder), kind).select(*BENCHMARK_INPUT_TYPES)
+    ranked = ranking.rank_changes(stage(metrics, "ranked"), ranking_type=kind, top_n=1_000_000_000)
     return ranked.selectExpr(
         "ranking_type", "rank_position", "year", "industry_aggregation_nzsioc", "metric_id",
         "industry_code_nzsioc", METRIC_VALUE,

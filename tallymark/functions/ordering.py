@@ -66,25 +66,32 @@ def number_by_cuts(
 
     Quantiles are broadcast, so ``group`` should have few values.
     """
-    letters = F.expr(f"CAST(conv(rpad(hex(left({ties[0]}, 6)), 12, '0'), 16, 10) AS BIGINT)")
-    scored = rows.withColumn("_score", F.expr(score)).withColumn("_letters", F.coalesce(letters, F.lit(-1)))
+    letters = f"coalesce(CAST(conv(rpad(hex(left({ties[0]}, 6)), 12, '0'), 16, 10) AS BIGINT), -1L)"
+    scored = rows.withColumn("_score", F.expr(score))
 
     def quantiles(count: int) -> str:
         return "array(" + ", ".join(f"{i / count}D" for i in range(count + 1)) + ")"
 
-    cuts = scored.groupBy(*group).agg(
+    cuts = scored.withColumn("_letters", F.expr(letters)).groupBy(*group).agg(
         F.expr(f"approx_percentile(_score, {quantiles(CUTS)}, 1000) AS _cuts"),
         F.expr(f"approx_percentile(_letters, {quantiles(TIE_CUTS)}, 1000) AS _tie_cuts"),
-    ).select(*(F.col(g).alias(f"_g_{g}") for g in group), F.array_distinct("_cuts").alias("_cuts"), F.array_distinct("_tie_cuts").alias("_tie_cuts"))
+    ).select(
+        *(F.col(g).alias(f"_g_{g}") for g in group),
+        # One key without nulls, so that the join below needs no shuffle of its own.
+        F.to_json(F.struct(*group)).alias("_group"),
+        F.array_distinct("_cuts").alias("_cuts"),
+        F.array_distinct("_tie_cuts").alias("_tie_cuts"),
+    )
     same = " AND ".join(f"{g} <=> _g_{g}" for g in group)
-    on_cut = "array_contains(_cuts, _score)"
-    placed = scored.join(F.broadcast(cuts), F.expr(same)).selectExpr(
+    near = _passed(scored.join(F.broadcast(cuts), F.expr(same)), "_cuts", "<=", "_score", "_reached", CUTS + 1)
+    near = near.withColumn("_on_cut", F.expr("coalesce(get(_cuts, _reached - 1) = _score, false)"))
+    near = near.withColumn("_letters", F.expr(f"CASE WHEN _on_cut THEN {letters} END"))
+    placed = _passed(near, "_tie_cuts", "<", "_letters", "_part", TIE_CUTS + 1).selectExpr(
         *rows.columns,
         "_score",
-        # One key without nulls, so that the join below needs no shuffle of its own.
-        f"to_json(struct({', '.join(group)})) AS _group",
-        f"2 * size(filter(_cuts, c -> c > _score)) + if({on_cut}, 1, 0) AS _stretch",
-        f"if({on_cut}, size(filter(_tie_cuts, c -> c < _letters)), 0) AS _part",
+        "_group",
+        "2 * (size(_cuts) - _reached) + if(_on_cut, 1, 0) AS _stretch",
+        "_part",
     )
     order = [F.desc("_score"), *map(F.asc, ties)]
     bucket = ["_stretch", "_part"]
@@ -101,3 +108,15 @@ def number_by_cuts(
         .where(F.col(position) <= most)
         .select(*rows.columns, position)
     )
+
+
+def _passed(rows: DataFrame, cuts: str, compared: str, value: str, name: str, most: int) -> DataFrame:
+    """Add how many of the rising ``cuts``, ``most`` at most, stand in that relation to ``value``.
+
+    Found by halving. Each step is a column of its own and stays in generated code, where
+    a lambda over all cuts is interpreted for every one of them; none passes a null value.
+    """
+    rows = rows.withColumn(name, F.lit(0))
+    for step in (1 << i for i in reversed(range(most.bit_length()))):
+        rows = rows.withColumn(name, F.expr(f"{name} + if(get({cuts}, {name} + {step - 1}) {compared} {value}, {step}, 0)"))
+    return rows

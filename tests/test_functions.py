@@ -101,3 +101,10 @@ def test_cuts_follow_ties_nulls_and_the_bound(spark):
         expected = {tuple(r) for r in numbered.where(F.col("p") <= most).select("g", "id", "p").collect()}
         found = number_by_cuts(rows, ["g"], "s", ["code", "id"], "p", most)
         assert {tuple(r) for r in found.select("g", "id", "p").collect()} == expected
+
+
+def test_cuts_are_searched_in_generated_code(spark):
+    """A lambda over every cut is interpreted, for each row as often as there are cuts."""
+    rows = spark.range(10).selectExpr("id % 2 AS g", "CAST(id AS DECIMAL(38,18)) AS s", "CAST(id AS STRING) AS t")
+    plan = number_by_cuts(rows, ["g"], "s", ["t"], "p", 10**9)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
