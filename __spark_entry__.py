@@ -108,6 +108,7 @@ def _to_gold(snapshot: DataFrame, ranges: Iterable[str] = ()) -> DataFrame:
         fingerprint=GOLD_PRINT,
         processed_at=PROCESSED_AT,
         ranges=tuple(ranges),
+        silver_fingerprint=SILVER_PRINT,
     )
 
 
@@ -637,7 +638,7 @@ def audit_silver(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_gold(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.audit_gold(_gold_table(spark, folder, audit.AUDITED))
+    return audit.audit_gold(_gold(spark, folder))
 
 
 def acceptance_points(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,35 +84,26 @@ def lineage_audit(silver: DataFrame, bronze: DataFrame) -> DataFrame:
     return _named(missing, "lineage_or_raw_value_mismatches")
 
 
-#: What an audit of Gold reads.
-AUDITED = (
-    *GOLD_GRAIN, "metric_value", "metric_status", "silver_input_fingerprints", "gold_schema_version",
-)
+#: Rows of Gold that an audit counts, by check.
+GOLD_LEAKS = {
+    "protected_numeric_leaks": "metric_status IN ('CONFIDENTIAL', 'SUPPRESSED') AND metric_value IS NOT NULL",
+    "unavailable_numeric_leaks": "metric_status <> 'PUBLISHED' AND metric_value IS NOT NULL",
+    "missing_lineage_rows": (
+        "size(silver_input_fingerprints) = 0 OR gold_input_fingerprint IS NULL OR gold_schema_version IS NULL"
+    ),
+}
 
 
 def audit_gold(gold: DataFrame) -> DataFrame:
-    repeated = (
-        gold.groupBy(*GOLD_GRAIN)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .agg(F.expr("sum(n - 1) AS rows"))
-    )
-    leaks = _counts(
-        gold,
-        {
-            "protected_numeric_leaks": (
-                "metric_status IN ('CONFIDENTIAL', 'SUPPRESSED') AND metric_value IS NOT NULL"
-            ),
-            "unavailable_numeric_leaks": (
-                "metric_status <> 'PUBLISHED' AND metric_value IS NOT NULL"
-            ),
-            "missing_lineage_rows": (
-                "size(silver_input_fingerprints) = 0 OR gold_input_fingerprint IS NULL "
-                "OR gold_schema_version IS NULL"
-            ),
-        },
+    """All checks from one pass, in which rows are counted by their grain."""
+    per_grain = gold.groupBy(*GOLD_GRAIN).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.expr(f"count_if({condition}) AS {name}") for name, condition in GOLD_LEAKS.items()],
     )
-    return leaks.unionByName(_named(repeated, "repeated_grain_rows"))
+    sums = {**{name: name for name in GOLD_LEAKS}, "repeated_grain_rows": "n - 1"}
+    wide = per_grain.agg(*[F.expr(f"coalesce(sum({count}), 0L) AS {name}") for name, count in sums.items()])
+    pairs = ", ".join(f"struct({quoted(name)} AS a, {name} AS b)" for name in sums)
+    return wide.selectExpr(f"inline(array({pairs})) AS (check_name, rows)")
 
 
 def mixed_definitions(silver: DataFrame) -> DataFrame:

@@ -224,3 +224,29 @@ def test_industry_years_are_dealt_out_before_they_become_six_rows(spark, bronze,
         assert part == sorted(part, key=lambda r: tuple(r[name] for name in order))
     assert {r.prior_input_status for r in dealt.where("year = 2026 AND metric_id = 'M4'").collect()} == {"UNAVAILABLE"}
     assert {r.prior_input_status for r in dealt.where("year = 2024 AND metric_id = 'M4'").collect()} == {"PUBLISHED"}
+
+
+def test_gold_is_audited_in_one_pass(gold_of):
+    """Rows twice and a value under a protected status; a second check is not a second scan."""
+    gold = gold_of([cell("AA", 2024, "1"), cell("AA", 2025, "C")])
+    leak = gold.where("metric_id = 'M1' AND year = 2025").withColumn("metric_value", F.lit(1).cast("decimal(38,18)"))
+    stored = stage(gold.unionByName(gold).unionByName(leak), "audited")
+    audited = audit_gold(stored)
+    assert {r.check_name: r.rows for r in audited.collect()} == {
+        "protected_numeric_leaks": 1,
+        "unavailable_numeric_leaks": 1,
+        "missing_lineage_rows": 0,
+        "repeated_grain_rows": 13,
+    }
+    assert audited._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert {r.rows for r in audit_gold(stored.limit(0)).collect()} == {0}
+
+
+def test_a_known_fingerprint_is_not_collected(bronze):
+    """Gold is the same, and its aggregates hold no objects."""
+    rows = bronze([cell("AA", 2024, "1"), cell("AA", 2025, "C"), cell("BB", 2025, "3")])
+    silver = to_silver(rows, fingerprint="F", processed_at=NOW)
+    plain, known = (build_gold(silver, fingerprint="G", processed_at=NOW, silver_fingerprint=f) for f in (None, "F"))
+    assert sorted(map(repr, known.collect())) == sorted(map(repr, plain.collect()))
+    aggregated = [gold._jdf.queryExecution().optimizedPlan().toString().count("collect_set") for gold in (plain, known)]
+    assert aggregated[0] and not aggregated[1]
