@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.contracts import IDENTITY, METADATA_TYPES, RANKING_PARTITION
 from tallymark.functions.text import quoted
+from tallymark.session import stage
 
 GOLD_GRAIN = ("gold_input_fingerprint", *IDENTITY, "metric_id")
 
@@ -151,7 +152,8 @@ def audit_rankings(rankings: list[DataFrame], gold: DataFrame) -> DataFrame:
         "ranking_type", "rank_position", *RANKING_PARTITION, "metric_unit", "metric_value",
         "absolute_metric_value", "metric_record_id",
     ]
-    ranked = reduce(DataFrame.unionByName, [frame.select(*columns) for frame in rankings])
+    # Read by three checks; a ranking would be made anew for each.
+    ranked = stage(reduce(DataFrame.unionByName, [frame.select(*columns) for frame in rankings]), "ranked")
     per_row = _counts(
         ranked,
         {
