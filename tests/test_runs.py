@@ -110,3 +110,15 @@ def test_catalog_tables(spark, tmp_path):
     loaded = runs.run_initial_load(warehouse, first, clock=clock)
     assert (loaded.silver.rows, loaded.gold.rows, loaded.quality["overall_result"]) == (2, 12, "PASS")
     assert runs.run_incremental(warehouse, first, clock=clock).status == "NO_OP"
+
+
+def test_a_retried_snapshot_is_made_once(spark, monkeypatch):
+    """Two attempts write the same stored Silver; neither joins and checks the history again."""
+    import __spark_entry__ as registry
+
+    staged, made = [], registry.stage
+    monkeypatch.setattr(registry, "stage", lambda frame, name, **options: staged.append(name) or made(frame, name, **options))
+    steps = registry.catalog_retry(spark, "/root/testdata/sf0.001").orderBy("step").collect()
+    assert staged == ["bronze", "silver"]
+    assert [r.duplicate for r in steps] == [False, False, True, False, False, True]
+    assert steps[3].visible == 0 and steps[4].visible == steps[5].visible > 0
