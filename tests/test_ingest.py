@@ -175,3 +175,21 @@ def test_quote_states_are_worked_out_once(spark, tmp_path, monkeypatch):
     assert found == {1: "x\ny", 2: "z"}
     assert "aggregate(" in plans["csv-states"]
     assert "aggregate(" not in plans["csv-starts"] and "aggregate(" not in plans["csv-lines"]
+
+
+def test_windows_hold_a_stretch_of_a_block(spark, tmp_path, monkeypatch):
+    """However large a block is, few lines are put in order as one; records go on over many stretches and are parsed once."""
+    monkeypatch.setattr(csv_artifact, "STRETCH_LINES", 5)
+    rng = random.Random(5)
+    fields = ["x", '"a, b"', '"two\nlines"', '"q ""\n"" q"', '"\n\n\n"']
+    lines = [line(str(n), rng.choice(fields), rng.choice(fields)) for n in range(60)] + ["", line("60", '"' + "z\n" * 40 + '"'), line("61")]
+    write(tmp_path / "a.csv", *lines)
+    content, staged, whole = (tmp_path / "a.csv").read_text("utf-8-sig"), {}, csv_artifact.stage
+    monkeypatch.setattr(csv_artifact, "stage", lambda frame, name, **options: staged.setdefault(name, whole(frame, name, **options)))
+    found = read_artifacts(spark, str(tmp_path / "a.csv")).orderBy("source_row_number").collect()
+    wanted = [row for row in list(csv.reader(io.StringIO(content, newline="")))[1:] if row]
+    assert [[r[c] for c in RAW_COLUMNS] for r in found] == wanted
+    assert [r.source_row_number for r in found] == list(range(1, len(wanted) + 1))
+    per_stretch = [r["count"] for r in staged["csv-lines"].groupBy("file", "block", "stretch").count().collect()]
+    assert max(per_stretch) <= 5 < sum(per_stretch) / 10
+    assert staged["csv-records"].count() == len(wanted)
