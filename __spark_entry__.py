@@ -52,7 +52,7 @@ from tallymark.operators.bronze import ArtifactMetadata  # noqa: E402
 from tallymark.operators.ranking import BenchmarkRequest  # noqa: E402
 from tallymark.plans import runs  # noqa: E402
 from tallymark.plans.runs import Warehouse  # noqa: E402
-from tallymark.session import ensure_checkpoint_dir, stage  # noqa: E402
+from tallymark.session import ensure_checkpoint_dir, shuffles_freed, stage  # noqa: E402
 from tallymark.sources import commerce  # noqa: E402
 from tallymark.sources.csv_artifact import read_artifacts  # noqa: E402
 from tallymark.sources.tables import SnapshotResult, SnapshotTable  # noqa: E402
@@ -744,7 +744,8 @@ def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     )
     files = rows.repartition(*own).sortWithinPartitions(*own, "source_row_number").select(*RAW_COLUMNS, *own)
     exact = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    files.write.options(**exact).partitionBy(*own).csv(path)
+    with shuffles_freed(spark):
+        files.write.options(**exact).partitionBy(*own).csv(path)
     longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)

@@ -60,7 +60,8 @@ def utc_now() -> datetime:
 GOLD_LAYOUT = {
     "partition": "metric_id",
     "sort": ("industry_aggregation_nzsioc", "year", "industry_code_nzsioc"),
-    "beside": {"lineage": ("metric_record_id",)},
+    # It comes in the order of its records.
+    "beside": {"lineage": ()},
 }
 
 
@@ -215,9 +216,8 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
     The records behind every metric are published with it, as the table ``lineage``.
     """
     silver = warehouse.silver.require("The Silver table")
-    fingerprint = gold_fingerprint_of(
-        row.fingerprint for row in warehouse.silver.fingerprints().collect()
-    )
+    of_silver = warehouse.silver.pointer()["fingerprint"]
+    fingerprint = gold_fingerprint_of([of_silver])
     if warehouse.gold.is_current(fingerprint, GOLD_SCHEMA_VERSION):
         return warehouse.gold.reuse(fingerprint)
     gold = build_gold(
@@ -225,10 +225,11 @@ def refresh_gold(warehouse: Warehouse, *, clock: Clock = utc_now) -> SnapshotRes
         fingerprint=fingerprint,
         processed_at=clock(),
         ranges=GOLD_LAYOUT["sort"],
+        silver_fingerprint=of_silver,
     )
     return warehouse.gold.publish(
         gold, fingerprint, GOLD_SCHEMA_VERSION, arranged=True,
-        counts=gold_counts(), beside={"lineage": lambda stored: gold_lineage(silver, stored)},
+        counts=gold_counts(), beside={"lineage": lambda stored: gold_lineage(silver, stored, arranged=True)},
     )
 
 

@@ -21,8 +21,11 @@ from tallymark.errors import IntegrityError, SourceTableError
 from tallymark.operators.bronze import ArtifactMetadata, iso_instant, parse_instant
 from tallymark.operators.serving import table_identifier
 from tallymark.operators.silver import FACT_TYPES, artifact_facts
+from tallymark.session import shuffles_freed
 
 ATTEMPT = "attempt_id"
+#: Ids are digests in hexadecimal, of which zstd keeps half and the default codec all.
+_WRITER = {"parquet": {"compression": "zstd"}}
 
 
 class PathStore:
@@ -43,8 +46,9 @@ class PathStore:
 
     def write(self, frame: DataFrame, mode: str, **options: str) -> None:
         partition = options.pop("partitionBy", None)
-        writer = frame.write.format(self.fmt).mode(mode).options(**options)
-        (writer.partitionBy(partition) if partition else writer).save(self.path)
+        writer = frame.write.format(self.fmt).mode(mode).options(**{**_WRITER.get(self.fmt, {}), **options})
+        with shuffles_freed(self.spark):
+            (writer.partitionBy(partition) if partition else writer).save(self.path)
 
     def sibling(self, name: str) -> PathStore:
         """A table beside this one."""
@@ -70,8 +74,9 @@ class CatalogStore:
 
     def write(self, frame: DataFrame, mode: str, **options) -> None:
         partition = options.pop("partitionBy", None)
-        writer = frame.write.format(self.fmt).mode(mode).options(**options)
-        (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name)
+        writer = frame.write.format(self.fmt).mode(mode).options(**{**_WRITER.get(self.fmt, {}), **options})
+        with shuffles_freed(self.spark):
+            (writer.partitionBy(partition) if partition else writer).saveAsTable(self.name)
 
     def sibling(self, name: str) -> CatalogStore:
         return CatalogStore(self.spark, *self.parts[:-1], f"{self.parts[-1]}_{name}", fmt=self.fmt)
@@ -197,7 +202,8 @@ class SnapshotResult:
 _POINTER = (
     "fingerprint STRING, schema_version STRING, rows BIGINT, counts MAP<STRING, BIGINT>, location STRING, published BIGINT"
 )
-#: Tables derived from the stored rows and published with them, by name.
+#: Tables derived from the stored rows and published with them, by name; laid out by what the
+#: snapshot table names for them, or as they come.
 Beside = Mapping[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -239,8 +245,9 @@ class SnapshotTable:
             rows = frame.withColumn(ATTEMPT, F.lit(location))
             store.write(rows, "append", partitionBy=[ATTEMPT, *columns])
             return location
-        writer = frame.write.format(self.fmt).mode("errorifexists")
-        (writer.partitionBy(self.partition) if self.partition and not table else writer).save(self._folder(location, table))
+        writer = frame.write.format(self.fmt).mode("errorifexists").options(**_WRITER.get(self.fmt, {}))
+        with shuffles_freed(self.spark):
+            (writer.partitionBy(self.partition) if self.partition and not table else writer).save(self._folder(location, table))
         return location
 
     def _folder(self, location: str, table: str | None) -> str:
@@ -316,7 +323,8 @@ class SnapshotTable:
         if rows != seen["rows"] or expected_rows not in (None, rows):
             raise IntegrityError(f"{self.path} would hold {rows} rows of {seen['rows']}, expected {expected_rows}.")
         for name, made in (beside or {}).items():
-            self._write(laid_out(made(stored), *self.beside[name]), location, name)
+            order = self.beside[name]
+            self._write(laid_out(made(stored), *order) if order else made(stored), location, name)
         last = self.pointer()
         found = {name: int(seen[name]) for name in asked}
         # Pointers are numbered: a clock set back cannot hide a newer snapshot.

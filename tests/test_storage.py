@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from conftest import NOW, SHA_A, SHA_B, SHA_C
 from pyspark.sql import functions as F
 
 from tallymark.errors import IntegrityError
 from tallymark.operators.current_view import current_releases
+from tallymark.operators.gold import gold_lineage
 from tallymark.operators.silver import artifact_facts, build_silver
 from tallymark.plans import runs
 from tallymark.plans.runs import Warehouse
+from tallymark.session import stage
 from tallymark.sources import tables
 from tallymark.sources.tables import PathStore, SnapshotTable
 
@@ -164,3 +168,48 @@ def test_arranged_rows_are_written_as_they_come(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "laid_out", lambda *_: pytest.fail("rows are brought into order again"))
     assert table.publish(rows.sortWithinPartitions("part", "id"), "F", "v", arranged=True).rows == 100
     assert sorted(r.id for r in table.read().where("part = 'few'").collect()) == list(range(0, 100, 10))
+
+
+def test_published_lineage_shuffles_no_digests(spark, bronze, tmp_path):
+    """Ids are made from what names a row after it was dealt out; digests are stored with zstd."""
+    warehouse = Warehouse.at(spark, str(tmp_path / "w"))
+    runs.append_artifact(warehouse, *artifact(bronze, SHA_A, 2024, [2020, 2020, 2021, 2022, 2024]))
+    runs.refresh_silver(warehouse, clock=clock)
+    runs.refresh_gold(warehouse, clock=clock)
+    silver, gold = warehouse.silver.read(), warehouse.gold.read()
+    made = gold_lineage(silver, gold, arranged=True)
+    assert "metric_record_id:" not in made._jdf.queryExecution().executedPlan().toString(), "read from Gold"
+    wanted = sorted(map(tuple, gold_lineage(silver, gold).collect()))
+    assert {r[0] for r in wanted} <= {r.metric_record_id for r in gold.collect()} and len(wanted) == 13
+    assert sorted(map(tuple, warehouse.gold.read(table="lineage").collect())) == wanted
+    by_file = made.select("metric_record_id", F.spark_partition_id().alias("part")).collect()
+    assert [r[0] for r in sorted(by_file, key=lambda r: r.part)] == [r[0] for r in wanted]
+    files = [str(f) for name in ("silver", "gold") for f in (tmp_path / "w" / name).rglob("*.parquet")]
+    assert files and all(".zstd." in f for f in files)
+
+
+def shuffles(spark, *, but=(), wait=0):
+    """Ids of the shuffles on disk but for some; their files may go a moment after their query."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = disk.getAllBlocks().mkString(" ").split()
+    found = {block.split("_")[1] for block in blocks if block.startswith("shuffle_")} - set(but)
+    if not found or not wait:
+        return found
+    time.sleep(0.2)
+    return shuffles(spark, but=but, wait=wait - 1)
+
+
+def test_writes_leave_no_shuffles_behind(spark, tmp_path):
+    """What a write shuffled goes with its end, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(spark), spark.conf.get(name)
+    rows = spark.range(1_000).groupBy((F.col("id") % 7).alias("id")).agg(F.lit("p").alias("part"))
+    table = SnapshotTable(spark, str(tmp_path / "t"), {"id": "bigint", "part": "string"}, partition="part", sort=("id",), beside={"also": ("id",)})
+    staged = stage(rows, "grouped")
+    PathStore(spark, str(tmp_path / "p")).write(rows, "append")
+    assert not shuffles(spark, but=before, wait=20) and staged.select("id").distinct().count() == 7
+    before = shuffles(spark)
+    assert table.publish(rows, "F", "v", beside={"also": lambda stored: stored.join(rows, ["id", "part"])}).rows == 7
+    # Of a publication only the count of its rows is left.
+    assert len(shuffles(spark, but=before, wait=20)) <= 1 and spark.conf.get(name) == setting
+    assert table.read(table="also").count() == 7
