@@ -9,7 +9,7 @@ from conftest import NOW, SHA_A, SHA_B, SHA_C
 from pyspark.sql import functions as F
 
 from tallymark.errors import IntegrityError
-from tallymark.operators.current_view import current_releases
+from tallymark.operators.current_view import current_releases, require_unambiguous
 from tallymark.operators.gold import gold_lineage
 from tallymark.operators.silver import artifact_facts, build_silver
 from tallymark.plans import runs
@@ -213,3 +213,11 @@ def test_writes_leave_no_shuffles_behind(spark, tmp_path):
     # Of a publication only the count of its rows is left.
     assert len(shuffles(spark, but=before, wait=20)) <= 1 and spark.conf.get(name) == setting
     assert table.read(table="also").count() == 7
+
+
+def test_small_results_free_what_they_shuffled(spark, bronze):
+    """A history is shuffled to be judged; of that nothing stays on disk."""
+    rows = stage(artifact(bronze, SHA_A, 2024, [2020, 2020, 2021])[0], "history")
+    before = shuffles(spark)
+    assert require_unambiguous(rows) == 3
+    assert not shuffles(spark, but=before, wait=20)
